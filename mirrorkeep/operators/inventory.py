@@ -158,4 +158,5 @@ def best_replica(inv: DataFrame, policy: str = "replica") -> DataFrame:
 def core_to_best(inv: DataFrame, policy: str = "replica") -> DataFrame:
     """Every core with the best replica of its shard, null when there is none."""
     cores = cores_by_shard(inv).drop("node")
-    return lookup(cores, best_replica(inv, policy), scoped(inv, "collection", "shard"))
+    on = scoped(inv, "collection", "shard")
+    return lookup(cores, best_replica(inv, policy), on, weigh=inv)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import scoped, shared_scope
+from ..common import materialize, scoped, shared_scope
 from ..functions.naming import Rules, map_forward, map_reverse, shard_key
 from ..functions.status import source_gate
 from .inventory import collections, cores_by_collection, exclude_default
@@ -18,23 +18,28 @@ def symmetry_table(src_inv: DataFrame, fallback: str = "first_two") -> DataFrame
     Replica 1 and 2 are told by the end of the core name. ``fallback='any'`` adds
     the lowest replica of all.
     """
-    src = cores_by_collection(src_inv).withColumn("shard_key", shard_key(F.col("core")))
+    src = src_inv.withColumn("shard_key", shard_key(F.col("core")))
+    # Of a repeated core the last row wins here too.
     picks = [
-        F.max(F.when(F.col("core") == F.concat("shard_key", F.lit(f"_replica{i}")),
-                     F.struct("core", "node"))).alias(f"r{i}")
+        F.max(
+            F.when(
+                F.col("core") == F.concat("shard_key", F.lit(f"_replica{i}")),
+                F.struct("rn", "node", "core"),
+            )
+        ).alias(f"r{i}")
         for i in (1, 2)
     ]
     if fallback == "any":
         number = F.regexp_extract("core", r"_replica(\d+)$", 1).try_cast("long")
-        picks.append(
-            F.min(F.struct(number.isNull().alias("odd"), number.alias("number"), "core", "node"))
-            .alias("low")
-        )
+        low = F.struct(number.isNull().alias("odd"), number.alias("number"), "core")
+        last = F.struct(low.alias("low"), (-F.col("rn")).alias("last"), F.col("node"))
+        picks.append(F.min(last).alias("low"))
     out = src.groupBy(*scoped(src, "collection", "shard_key")).agg(*picks)
-    candidates = [F.col("r1"), F.col("r2")]
+    candidates = [F.struct(F.col(f"r{i}.core"), F.col(f"r{i}.node")) for i in (1, 2)]
+    candidates = [F.when(F.col(f"r{i}").isNotNull(), c) for i, c in zip((1, 2), candidates)]
     how = F.when(F.col("r1").isNotNull(), "replica1").when(F.col("r2").isNotNull(), "replica2")
     if fallback == "any":
-        candidates.append(F.struct(F.col("low.core"), F.col("low.node")))
+        candidates.append(F.struct(F.col("low.low.core"), F.col("low.node")))
         how = how.otherwise("any")
     elif fallback != "first_two":
         raise ValueError(f"unknown fallback {fallback!r}")
@@ -64,15 +69,21 @@ def peer_match(
     safe for a shard or a collection that holds most of the replicas.
     """
     scope = shared_scope(src_inv, dst_inv)
+    source_names = [
+        map_reverse(F.col("collection"), rules).alias("collection"),
+        map_reverse(F.col("core"), rules).alias("core"),
+        shard_key(map_reverse(F.col("core"), rules)).alias("shard_key"),
+    ]
     src = cores_by_collection(src_inv)
-    dst = cores_by_collection(exclude_default(dst_inv), "shard").select(
+    dst_inv = exclude_default(dst_inv)
+    raw = dst_inv.select(*scope, *source_names)
+    dst = cores_by_collection(dst_inv, "shard").select(
         *scope,
         F.col("collection").alias("dest_collection"),
         "shard",
         F.col("core").alias("dest_core"),
         F.col("node").alias("dest_node"),
-        map_reverse(F.col("collection"), rules).alias("collection"),
-        map_reverse(F.col("core"), rules).alias("core"),
+        *source_names,
     )
     known = collections(src_inv).select(*scope, "collection").distinct()
     if wanted is not None:
@@ -82,9 +93,9 @@ def peer_match(
             "left_semi",
         )
     on = [*scope, "collection"]
-    dst = lookup(dst, known, on, "left_semi").withColumn("shard_key", shard_key(F.col("core")))
+    dst = lookup(dst, known, on, "left_semi", weigh=raw)
     exact = dst.join(src.withColumn("found", F.lit(True)), [*on, "core"], "left")
-    both = lookup(exact, symmetry_table(src_inv, fallback), [*on, "shard_key"])
+    both = lookup(exact, symmetry_table(src_inv, fallback), [*on, "shard_key"], weigh=raw)
     found = F.col("found").isNotNull()
     return both.select(
         *scope,
@@ -107,8 +118,10 @@ def replication_plan(peers: DataFrame, best: DataFrame, skip_failures: bool = Tr
     """One copy request per destination core, from the best core of its source shard.
 
     ``best`` comes from ``core_to_best``. A core without a healthy source becomes a
-    failed row; with ``skip_failures=False`` the first such row raises.
+    failed row; with ``skip_failures=False`` the first such row raises. The peers are
+    written to the shared folder first, as they are read more than once.
     """
+    peers = materialize(peers, "peers")
     sources = best.select(
         *scoped(best, "collection"),
         F.col("core").alias("source_core"),

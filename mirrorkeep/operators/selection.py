@@ -99,9 +99,8 @@ def mapping_roundtrip(names: DataFrame, rules: Rules) -> DataFrame:
     """
     keys = scoped(names, "collection")
     scope = keys[:-1]
-    mapped = names.select(*keys).distinct().withColumn(
-        "dest_collection", map_forward(F.col("collection"), rules)
-    )
+    named = names.select(*keys, map_forward(F.col("collection"), rules).alias("dest_collection"))
+    mapped = named.distinct()
     back = map_reverse(F.col("dest_collection"), rules)
     # Only the shared destination names travel back to the names, not every count.
     shared = (
@@ -110,7 +109,7 @@ def mapping_roundtrip(names: DataFrame, rules: Rules) -> DataFrame:
         .where("sources > 1")
     )
     return (
-        lookup(mapped, shared, [*scope, "dest_collection"])
+        lookup(mapped, shared, [*scope, "dest_collection"], weigh=named)
         .select(
             *keys,
             "dest_collection",

@@ -50,15 +50,25 @@ def hot_keys(df: DataFrame, keys: list[str]) -> dict[int, int]:
     }
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+def lookup(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str = "left",
+    weigh: DataFrame | None = None,
+) -> DataFrame:
     """Equi-join of any table with one that has a single row per key.
 
     ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``. Rows of a hot
     key on the left are spread over several pieces by a hash of the whole row,
     and the one matching right row is repeated once per piece: at most two extra
     right rows per shuffle partition in total.
+
+    The left keys are read once more to find the hot ones. Where the left table
+    is the outcome of shuffles, ``weigh`` names a cheaper table with the same keys,
+    for instance the one it was derived from. It only steers the cut.
     """
-    hot = hot_keys(left, on)
+    hot = hot_keys(left if weigh is None else weigh, on)
     if not hot:
         return left.join(right, on, how)
     spark = left.sparkSession

@@ -87,7 +87,8 @@ def match_data(pairs: DataFrame, source: str = "src_", replica: str = "dst_") ->
 def post_copy_check(plan: DataFrame, src_status: DataFrame, dst_status: DataFrame) -> DataFrame:
     """Diagnostics of every copy request, from the status of both cores after the copy.
 
-    The status tables have one row per core, with the columns in ``STATUS``. A
+    The plan is a written table. The status tables have one row per core, with the
+    columns in ``STATUS``. A
     replica without any status is ``unverified``: it may answer queries, but its data
     was not compared. A request that had no source keeps its failure.
     """
@@ -104,7 +105,7 @@ def post_copy_check(plan: DataFrame, src_status: DataFrame, dst_status: DataFram
     joined = plan.withColumnRenamed("reason", "plan_reason").join(
         dst, shared_scope(plan, dst, "dest_core"), "left"
     )
-    joined = lookup(joined, src, shared_scope(joined, src, "source_core"))
+    joined = lookup(joined, src, shared_scope(joined, src, "source_core"), weigh=plan)
     verdict = data_match("src_", "dst_")
     gate_ok, _, gate_reason = source_gate(F.col("dst_core"), F.col("dst_available"))
     status = (

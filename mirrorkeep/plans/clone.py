@@ -42,7 +42,8 @@ def created_replicas(create: DataFrame, src_inv: DataFrame) -> DataFrame:
     """
     keys = scoped(src_inv, "collection")
     shards = src_inv.select(*keys, "shard").distinct()
-    rows = lookup(shards, create.select(*keys, "dest_collection", "replication_factor"), keys, "inner")
+    made = create.select(*keys, "dest_collection", "replication_factor")
+    rows = lookup(shards, made, keys, "inner", weigh=src_inv)
     numbered = rows.withColumn("rn", F.explode(F.sequence(F.lit(1), "replication_factor")))
     return numbered.select(
         *keys[:-1],
@@ -71,12 +72,16 @@ def plan_clone(
 ) -> ClonePlan:
     """The plan of a clone, without writing any content: the dry run.
 
+    The two inventories it works on go to the shared folder, as each is used in
+    several steps.
     ``strict`` raises on the first unknown collection or shard count that differs;
     otherwise the collections concerned are left out and listed as violations.
     """
     wanted = select_collections(src_inv, names, include, exclude)
     unknown = missing_in_source(wanted, src_inv)
-    chosen = lookup(src_inv, wanted, scoped(wanted, "collection"), "left_semi")
+    chosen = materialize(
+        lookup(src_inv, wanted, scoped(wanted, "collection"), "left_semi"), "clone-source"
+    )
     create = missing_in_dest(
         chosen,
         dst_inv,
@@ -86,7 +91,9 @@ def plan_clone(
         replication_factor=replication_factor,
     )
     dst_cols = [*scoped(dst_inv, "collection"), "shard", "core", "rn", "node"]
-    after = dst_inv.select(*dst_cols).unionByName(created_replicas(create, chosen))
+    after = materialize(
+        dst_inv.select(*dst_cols).unionByName(created_replicas(create, chosen)), "clone-dest"
+    )
     targets = wanted.select(
         *scoped(wanted), map_forward(F.col("collection"), rules).alias("collection")
     ).distinct()

@@ -57,7 +57,10 @@ def scan_cluster_state(docs: DataFrame) -> DataFrame:
     """
     keep = scoped(docs)
     state = docs.select(*keep, F.from_json("doc", STATE).alias("state"))
-    per_collection = state.select(*keep, F.explode("state").alias("collection", "c"))
+    # A plain explode would have Spark test the map first, which parses it twice.
+    per_collection = state.select(
+        *keep, F.explode_outer("state").alias("collection", "c")
+    ).where(F.col("collection").isNotNull())
     per_shard = per_collection.select(
         *keep,
         "collection",
@@ -120,7 +123,10 @@ def replica_number(core: Column) -> Column:
 def scan_aliases(docs: DataFrame) -> DataFrame:
     """alias, target out of ``{"collection": {alias: target}}``; null content has no rows."""
     parsed = F.from_json("doc", "struct<collection:map<string,string>>")
-    return docs.select(*scoped(docs), F.explode(parsed["collection"]).alias("alias", "target"))
+    # See scan_cluster_state for why not a plain explode.
+    return docs.select(
+        *scoped(docs), F.explode_outer(parsed["collection"]).alias("alias", "target")
+    ).where(F.col("alias").isNotNull())
 
 
 def collection_config(

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorkeep.operators.skew import lookup, numbered
+from mirrorkeep.common import materialize
 from mirrorkeep.functions.naming import map_forward, parse_rules
+from mirrorkeep.operators.skew import lookup, numbered
 
 RULES = "_collection:_collectionnew,default:_copy"
 
@@ -66,15 +67,21 @@ def inv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def src_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv(spark, sf_dir).where("l_returnflag <> 'N'")
+def stored_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory as a written table, for queries that read it several times."""
+    return materialize(inv(spark, sf_dir), "inv")
+
 
+def src_inv(replicas: DataFrame) -> DataFrame:
+    """The source cluster: it lacks some replicas of the inventory."""
+    return replicas.where("l_returnflag <> 'N'")
 
-def dst_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = parse_rules(RULES)
-    new = map_forward(F.col("collection"), rules)
+
+def dst_inv(replicas: DataFrame) -> DataFrame:
+    """The destination cluster: renamed, with versions and times that are a bit off."""
+    new = map_forward(F.col("collection"), parse_rules(RULES))
     rest = F.substr("core", F.length("collection") + 1)
-    return inv(spark, sf_dir).select(
+    return replicas.select(
         new.alias("collection"),
         "shard",
         F.concat(new, rest).alias("core"),
@@ -293,7 +300,7 @@ def _value(tag: str, name: str, value) -> list:
     return [F.lit(f'<{tag} name="{name}">'), value, F.lit(f"</{tag}>")]
 
 
-def status_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def status_documents(replicas: DataFrame) -> DataFrame:
     """Status document of every core; the ones that are down report a start-up failure."""
     up = F.col("available")
     index = F.concat(
@@ -311,7 +318,7 @@ def status_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     core = F.concat(F.lit('<lst name="'), "core", F.lit('">'))
     failure = F.when(~up, F.concat(core, F.lit("index is locked</lst>"))).otherwise("")
-    return inv(spark, sf_dir).select(
+    return replicas.select(
         "collection",
         "core",
         F.concat(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorkeep.common import blank, shared_dir
+from mirrorkeep.common import blank, materialize, shared_dir
 from mirrorkeep.functions.naming import (
     Rules,
     map_config,
@@ -105,7 +105,8 @@ def collection_config(spark, sf_dir):
 
 @query
 def parse_core_status(spark, sf_dir):
-    return status.parse_core_status(t.status_documents(spark, sf_dir)).select(
+    docs = t.status_documents(t.inv(spark, sf_dir))
+    return status.parse_core_status(docs).select(
         "core", "available", "num_docs", "deleted_docs", "max_docs", "version", "last_modified",
         "current",
     )
@@ -161,8 +162,8 @@ def exclude_default(spark, sf_dir):
 
 @query
 def missing_in_source(spark, sf_dir):
-    wanted = inventory.collections(t.inv(spark, sf_dir))
-    return selection.missing_in_source(wanted, t.src_inv(spark, sf_dir))
+    inv = t.inv(spark, sf_dir)
+    return selection.missing_in_source(inventory.collections(inv), t.src_inv(inv))
 
 
 @named("shard_key")
@@ -183,7 +184,7 @@ def forward_names(spark, sf_dir):
 
 @named("map_reverse")
 def reverse_names(spark, sf_dir):
-    return t.dst_inv(spark, sf_dir).select(
+    return t.dst_inv(t.inv(spark, sf_dir)).select(
         "collection",
         "core",
         map_reverse(F.col("collection"), RULES).alias("source_collection"),
@@ -206,27 +207,23 @@ def config_by_rule(spark, sf_dir):
 
 @query
 def mapping_roundtrip(spark, sf_dir):
-    names = t.inv(spark, sf_dir).select("collection").unionByName(
-        t.dst_inv(spark, sf_dir).select("collection")
-    )
+    inv = t.inv(spark, sf_dir)
+    names = inv.select("collection").unionByName(t.dst_inv(inv).select("collection"))
     return selection.mapping_roundtrip(names, RULES)
 
 
 # Joins
 
 
-def _peers(spark, sf_dir):
-    return matching.peer_match(t.src_inv(spark, sf_dir), t.dst_inv(spark, sf_dir), RULES)
-
-
 @query
 def peer_match(spark, sf_dir):
-    return _peers(spark, sf_dir)
+    inv = t.stored_inv(spark, sf_dir)
+    return matching.peer_match(t.src_inv(inv), t.dst_inv(inv), RULES)
 
 
 @query
 def symmetry_fallback(spark, sf_dir):
-    return matching.symmetry_table(t.src_inv(spark, sf_dir)).select(
+    return matching.symmetry_table(t.src_inv(t.inv(spark, sf_dir))).select(
         "collection",
         "shard_key",
         F.col("instead.core").alias("core"),
@@ -235,14 +232,15 @@ def symmetry_fallback(spark, sf_dir):
     )
 
 
-def _plan(spark, sf_dir):
-    best = inventory.core_to_best(t.src_inv(spark, sf_dir))
-    return matching.replication_plan(_peers(spark, sf_dir), best)
+def _plan(src, dst):
+    peers = matching.peer_match(src, dst, RULES)
+    return matching.replication_plan(peers, inventory.core_to_best(src))
 
 
 @query
 def replication_plan(spark, sf_dir):
-    return _plan(spark, sf_dir)
+    inv = t.stored_inv(spark, sf_dir)
+    return _plan(t.src_inv(inv), t.dst_inv(inv))
 
 
 @query
@@ -257,21 +255,19 @@ def alias_verify(spark, sf_dir):
 
 @query
 def missing_in_dest(spark, sf_dir):
+    inv = t.inv(spark, sf_dir)
     configs = t.metadata_documents(spark, sf_dir).select(
         "collection", F.get_json_object("doc", "$.configName").alias("config")
     )
     return selection.missing_in_dest(
-        t.inv(spark, sf_dir),
-        t.src_inv(spark, sf_dir),
-        Rules(),
-        configs=configs,
-        replication_factor=4,
+        inv, t.src_inv(inv), Rules(), configs=configs, replication_factor=4
     )
 
 
 @query
 def shard_parity(spark, sf_dir):
-    return verify.shard_parity(t.inv(spark, sf_dir), t.src_inv(spark, sf_dir))
+    inv = t.inv(spark, sf_dir)
+    return verify.shard_parity(inv, t.src_inv(inv))
 
 
 def _size_parity(spark, sf_dir, **options):
@@ -302,7 +298,8 @@ def tree_diff(spark, sf_dir):
 
 @query
 def inventory_drift(spark, sf_dir):
-    return matching.inventory_drift(t.src_inv(spark, sf_dir), t.dst_inv(spark, sf_dir), RULES)
+    inv = t.stored_inv(spark, sf_dir)
+    return matching.inventory_drift(t.src_inv(inv), t.dst_inv(inv), RULES)
 
 
 # Aggregations and first-match picks
@@ -340,14 +337,14 @@ def all_nodes(spark, sf_dir):
 
 @query
 def shard_count(spark, sf_dir):
-    every = inventory.collections(t.inv(spark, sf_dir))
-    return inventory.shard_count(t.src_inv(spark, sf_dir), of=every)
+    inv = t.inv(spark, sf_dir)
+    return inventory.shard_count(t.src_inv(inv), of=inventory.collections(inv))
 
 
 @query
 def core_health(spark, sf_dir):
-    docs = status.parse_core_status(t.status_documents(spark, sf_dir))
-    return inventory.core_health(t.inv(spark, sf_dir), docs)
+    inv = t.stored_inv(spark, sf_dir)
+    return inventory.core_health(inv, status.parse_core_status(t.status_documents(inv)))
 
 
 @query
@@ -362,17 +359,17 @@ def leader_by_shard(spark, sf_dir):
 
 @query
 def best_replica(spark, sf_dir):
-    return inventory.best_replica(t.src_inv(spark, sf_dir))
+    return inventory.best_replica(t.src_inv(t.inv(spark, sf_dir)))
 
 
 @query
 def best_replica_freshest(spark, sf_dir):
-    return inventory.best_replica(t.src_inv(spark, sf_dir), policy="freshest")
+    return inventory.best_replica(t.src_inv(t.inv(spark, sf_dir)), policy="freshest")
 
 
 @query
 def core_to_best(spark, sf_dir):
-    return inventory.core_to_best(t.src_inv(spark, sf_dir))
+    return inventory.core_to_best(t.src_inv(t.stored_inv(spark, sf_dir)))
 
 
 # Status checks
@@ -390,8 +387,9 @@ def data_match(spark, sf_dir):
         s = _status_of(inv)
         return s.select(core.alias("pair"), *[F.col(c).alias(prefix + c) for c in s.columns])
 
-    src = side(t.src_inv(spark, sf_dir), "src_", F.col("core"))
-    dst = side(t.dst_inv(spark, sf_dir), "dst_", map_reverse(F.col("core"), RULES))
+    inv = t.stored_inv(spark, sf_dir)
+    src = side(t.src_inv(inv), "src_", F.col("core"))
+    dst = side(t.dst_inv(inv), "dst_", map_reverse(F.col("core"), RULES))
     return verify.match_data(src.join(dst, "pair")).select(
         "src_core", "dst_core", "unavailable", "behind", "drift", "ok", "reason"
     )
@@ -399,11 +397,10 @@ def data_match(spark, sf_dir):
 
 @query
 def post_copy_check(spark, sf_dir):
-    return verify.post_copy_check(
-        _plan(spark, sf_dir),
-        _status_of(t.src_inv(spark, sf_dir)),
-        _status_of(t.dst_inv(spark, sf_dir)),
-    )
+    inv = t.stored_inv(spark, sf_dir)
+    src, dst = t.src_inv(inv), t.dst_inv(inv)
+    plan = materialize(_plan(src, dst), "plan")
+    return verify.post_copy_check(plan, _status_of(src), _status_of(dst))
 
 
 @query
@@ -507,7 +504,7 @@ def clone_aliases(spark, sf_dir):
 
 @query
 def smoke_test(spark, sf_dir):
-    return verify.smoke_test(_size_parity(spark, sf_dir), t.dst_inv(spark, sf_dir))
+    return verify.smoke_test(_size_parity(spark, sf_dir), t.dst_inv(t.inv(spark, sf_dir)))
 
 
 @query
