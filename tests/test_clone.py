@@ -1,0 +1,150 @@
+import pytest
+from pyspark.sql import functions as F
+
+from mirrorkeep.functions.naming import Rules, parse_rules
+from mirrorkeep.operators import selection, verify
+from mirrorkeep.plans import clone, sync
+from tests.helpers import rows
+
+INV = "collection string, shard string, core string, rn int, node string, available boolean"
+
+
+def inv(spark, *cells):
+    """Cells are (collection, shard, replica numbers, numbers of those that are up)."""
+    out = [
+        (c, s, f"{c}_{s}_replica{n}", n, f"h{n}", n in up)
+        for c, s, numbers, up in cells
+        for n in numbers
+    ]
+    return spark.createDataFrame(out, INV)
+
+
+def contents(spark, *cells):
+    out = [(c, s, i, f"{c} {s} text {i}") for c, s, n in cells for i in range(n)]
+    return spark.createDataFrame(out, "collection string, shard string, doc_id long, text string")
+
+
+@pytest.fixture
+def source(spark):
+    return inv(
+        spark,
+        ("a", "shard1", [1, 2], [2]),
+        ("a", "shard2", [1], [1]),
+        ("b", "shard1", [1], []),
+        ("c", "shard1", [1], [1]),
+        ("c", "shard2", [1], [1]),
+        ("collection1", "shard1", [1], [1]),
+    )
+
+
+@pytest.fixture
+def target(spark):
+    # c has one shard less here; a and b are not there yet.
+    return inv(spark, ("c", "shard1", [1], [1]))
+
+
+@pytest.fixture
+def documents(spark):
+    cells = [("a", "shard1", 50), ("a", "shard2", 3), ("b", "shard1", 4), ("c", "shard1", 2)]
+    return contents(spark, *cells, ("collection1", "shard1", 1))
+
+
+def test_dry_run(spark, source, target):
+    plan = clone.plan_clone(source, target, replication_factor=2)
+    assert rows(plan.create, "collection", "shards", "replication_factor") == [
+        ("a", 2, 2), ("b", 1, 2),
+    ]
+    assert rows(plan.violations) == [("c", "shards differ: source 2, destination 1")]
+    assert rows(plan.requests, "dest_core", "source_core", "ok") == [
+        ("a_shard1_replica1", "a_shard1_replica2", True),
+        ("a_shard1_replica2", "a_shard1_replica2", True),
+        ("a_shard2_replica1", "a_shard2_replica1", True),
+        ("a_shard2_replica2", "a_shard2_replica1", True),
+        ("b_shard1_replica1", None, False),
+        ("b_shard1_replica2", None, False),
+    ]
+
+
+def test_strict_plan_raises(spark, source, target):
+    with pytest.raises(LookupError, match="shards differ"):
+        clone.plan_clone(source, target, strict=True)
+    with pytest.raises(LookupError, match="not at the source"):
+        clone.plan_clone(source, target, names=["a", "nowhere"], strict=True)
+    with pytest.raises(ValueError):
+        clone.plan_clone(source, target, names=[])
+
+
+def test_copy_is_lossless_and_renamed(spark, source, target, documents):
+    rules = parse_rules("default:_new")
+    empty = spark.createDataFrame([], INV)
+    done = clone.clone_collections(source, empty, documents, rules)
+    assert rows(done.diagnostics, "dest_core", "source_core", "status", "docs") == [
+        ("a_new_shard1_replica1", "a_shard1_replica2", "ok", 50),
+        ("a_new_shard2_replica1", "a_shard2_replica1", "ok", 3),
+        ("b_new_shard1_replica1", None, "failed", 0),
+        ("c_new_shard1_replica1", "c_shard1_replica1", "ok", 2),
+        ("c_new_shard2_replica1", "c_shard2_replica1", "ok", 0),
+    ]
+    copy = spark.read.schema(documents.schema).parquet(done.path)
+    want = documents.where("collection in ('a', 'c')").withColumn(
+        "collection", F.concat("collection", F.lit("_new"))
+    )
+    assert rows(copy.select(documents.columns)) == rows(want)
+    parity = verify.content_parity(want, copy)
+    assert all(r["same"] for r in parity.collect())
+
+
+def test_one_changed_text_is_seen(spark, documents):
+    other = documents.withColumn(
+        "text", F.when(F.col("doc_id") == 49, "changed").otherwise(F.col("text"))
+    )
+    bad = verify.content_parity(documents, other).where("not same")
+    assert rows(bad, "collection", "shard", "source_docs", "dest_docs") == [("a", "shard1", 50, 50)]
+
+
+def test_hot_shard_is_cut_and_whole(spark, source, documents, small_groups_hot):
+    empty = spark.createDataFrame([], INV)
+    done = clone.clone_collections(source, empty, documents, names=["a"])
+    copy = spark.read.parquet(done.path)
+    assert copy.count() == 53
+    assert {r["status"] for r in done.diagnostics.collect()} == {"ok"}
+
+
+def test_failures_raise_unless_skipped(spark, source, documents):
+    empty = spark.createDataFrame([], INV)
+    with pytest.raises(RuntimeError, match="b_shard1_replica1"):
+        clone.clone_collections(source, empty, documents, skip_failures=False, names=["b"])
+    done = clone.clone_collections(source, empty, documents, skip_failures=False, names=["a"])
+    assert done.diagnostics.count() == 2
+
+
+def test_missing_in_dest_configs(spark, source, target):
+    configs = spark.createDataFrame([("a", "own")], "collection string, config string")
+    got = selection.missing_in_dest(source, target, Rules(), configs=configs)
+    assert rows(got, "collection", "config") == [("a", "own"), ("b", None)]
+    ruled = selection.missing_in_dest(
+        source, target, Rules(), config_rules=parse_rules("a:cfg_a,default:std")
+    )
+    assert rows(ruled, "collection", "config", "max_shards_per_node") == [
+        ("a", "cfg_a", 500), ("b", "std", 500),
+    ]
+
+
+def test_delete(spark, documents, tmp_path):
+    plan = selection.delete_plan(documents, ["a", "collection1", "nowhere"])
+    assert rows(plan) == [("a", "drop"), ("collection1", "protected"), ("nowhere", "absent")]
+    out = clone.apply_delete(documents, plan, str(tmp_path / "kept"))
+    assert rows(spark.read.parquet(out).select("collection").distinct()) == [
+        ("b",), ("c",), ("collection1",),
+    ]
+    assert selection.delete_plan(documents, []).count() == 0
+
+
+def test_full_backup(spark, source, target, documents):
+    tree = spark.createDataFrame([("/a", "1")], "path string, data string")
+    none = spark.createDataFrame([], "path string, data string")
+    _, data, got = sync.full_backup(tree, none, source, target, documents)
+    assert rows(got.where("step = 'tree'")) == [("tree", "/a", "ok", "create")]
+    assert got.where("step = 'collection'").count() == data.diagnostics.count() == 3
+    with pytest.raises(RuntimeError, match="cluster clone failed"):
+        sync.full_backup(tree, none, source, target, documents, strict=True)
