@@ -1,0 +1,89 @@
+"""Every query against its SQL, on the smallest scale, and known counts on the next."""
+
+import glob
+import re
+
+import pytest
+
+import __spark_entry__ as entry
+from workload import check
+
+SMALL = "/root/testdata/sf0.001"
+MEDIUM = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return check.connect(SMALL)
+
+
+@pytest.mark.parametrize("name", entry.queries())
+def test_query_equals_sql(spark, con, name):
+    assert check.compare(spark, con, SMALL, name) == ""
+
+
+def test_every_query_has_sql():
+    assert set(entry.oracle_sql()) == set(entry.queries())
+
+
+def test_entry(spark):
+    df = entry.entry(spark)
+    assert df.columns == ["collection", "shard", "leader"]
+    assert df.count() > 0
+
+
+def count(spark, name, by):
+    df = entry.queries()[name](spark, MEDIUM)
+    return {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
+
+
+def test_known_counts(spark):
+    run = lambda name: entry.queries()[name](spark, MEDIUM)
+    leaders = run("leader_by_shard")
+    assert leaders.count() == 45_832
+    assert leaders.where("leader = 'NO_LEADER'").count() == 27_525
+    assert count(spark, "peer_match", "how") == {
+        "exact": 40_074, "replica1": 3_115, "replica2": 2_761, "unmatched": 12_540,
+    }
+    assert run("best_replica").count() == 18_279
+    best = run("core_to_best")
+    assert best.where("best_core is null").count() == 16_602
+    assert best.where("best_core is not null").count() == 23_472
+    assert count(spark, "data_match", "ok")[True] == 8_971
+    assert run("data_match").select("unavailable", "behind", "drift").distinct().count() == 8
+    assert count(spark, "alias_diff", "op") == {"create": 300, "repoint": 172, "skip": 1_028}
+    assert count(spark, "tree_diff", "op") == {"create": 63, "set": 63, "same": 124}
+    assert run("shard_parity").count() == 8_817
+    assert run("collection_size").count() == 20
+    assert count(spark, "completion_monitor", "outcome") == {
+        "done": 1_086, "timed out": 518, "never": 2_402,
+    }
+    runs = run("retry_gate")
+    assert runs.count() == 56
+    assert runs.select("core").distinct().count() == 51
+    assert runs.agg({"failures": "max"}).first()[0] == 5
+    assert run("latest_status").count() == 150
+    hosts = run("translate_host")
+    assert hosts.where("public is null").count() == 15_118
+
+
+def test_skew_paths_give_the_same_results(spark, con, small_groups_hot):
+    """The same queries with every larger group treated as hot."""
+    for name in ("translate_host", "peer_match", "core_to_best", "size_parity",
+                 "clone_with_rename", "mapping_roundtrip", "cores_by_shard"):
+        assert check.compare(spark, con, SMALL, name) == "", name
+
+
+def test_no_python_in_batch_plans(spark):
+    batch = [n for n in entry.queries() if not n.endswith("_stream")]
+    for name in ("peer_match", "replication_plan", "data_match", "retry_gate", "parse_core_status"):
+        assert name in batch
+        plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_sources_name_no_machine_folder():
+    for path in glob.glob("mirrorkeep/**/*.py", recursive=True):
+        text = open(path).read()
+        assert "localCheckpoint" not in text
+        assert not re.search(r"[\"']/tmp", text), path
