@@ -38,6 +38,19 @@ def live_nodes(inv: DataFrame) -> DataFrame:
     return all_nodes(inv.where(F.col("state") == "active"))
 
 
+def translate_hosts(
+    inv: DataFrame, host_map: DataFrame | None, column: str = "node"
+) -> DataFrame:
+    """Add the public name of each host; a host the map does not have gets null.
+
+    ``host_map`` has private and public, one row per private name.
+    """
+    if host_map is None:
+        raise ValueError("no host map to translate with")
+    hosts = host_map.select(*scoped(host_map), F.col("private").alias(column), "public")
+    return lookup(inv, hosts, shared_scope(inv, hosts, column))
+
+
 def cores_by_collection(inv: DataFrame, *extra: str) -> DataFrame:
     """One row per collection and core with its node; of a repeated core the last one wins.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import scoped
+from ..common import scoped, shared_scope
 
 # Time limit of a copy, number of failed status loads in a row that
 # ends the retries, and the pause between two polls.
@@ -116,6 +116,20 @@ def join_runs(runs: DataFrame, max_failures: int = MAX_FAILURES) -> DataFrame:
     return inner.unionByName(joined).where(F.col("failures") >= max_failures)
 
 
+def retry_verdict(gates: DataFrame, queryable: DataFrame) -> DataFrame:
+    """What becomes of each core whose retries ended.
+
+    A core that still answers queries (it is in ``queryable``) is kept as
+    ``unverified``, as its data was not compared; any other one has failed.
+    """
+    on = shared_scope(gates, queryable, "core")
+    answers = queryable.select(*on).distinct().withColumn("answers", F.lit(True))
+    cores = gates.select(*on).distinct()
+    return cores.join(answers, on, "left").select(
+        *on, F.when(F.col("answers"), "unverified").otherwise("failed").alias("verdict")
+    )
+
+
 def retry_gate(
     progress: DataFrame, max_failures: int = MAX_FAILURES, slice_length: str = SLICE
 ) -> DataFrame:

@@ -16,6 +16,10 @@ from ..operators.selection import missing_in_dest, missing_in_source, select_col
 from ..operators.skew import lookup
 from ..operators.verify import content_digest, shard_parity
 
+# Shards to copy are broadcast up to this many (three names each, some 100 MB), so
+# that the documents need not be shuffled to find theirs.
+MAX_BROADCAST_SHARDS = 500_000
+
 
 @dataclass(frozen=True)
 class ClonePlan:
@@ -144,21 +148,31 @@ def clone_collections(
     requests = materialize(plan.requests, "clone-plan")
     plan = ClonePlan(plan.create, requests, plan.violations)
     keys = scoped(contents, "collection")
-    units = (
-        requests.where("ok").select(*keys, "shard", "dest_collection").distinct()
-    )
-    cols = contents.columns
-    copied = (
-        lookup(contents, units, [*keys, "shard"], "inner")
-        .withColumn("collection", F.col("dest_collection"))
-        .select(*cols)
+    by = [*keys, "shard"]
+    units = materialize(
+        requests.where("ok").select(*by, "dest_collection").distinct(), "clone-shards"
     )
+    if units.count() <= MAX_BROADCAST_SHARDS:
+        found = contents.join(F.broadcast(units), by)
+    else:
+        found = lookup(contents, units, by, "inner")
+    copied = found.withColumn("collection", F.col("dest_collection")).select(*contents.columns)
     path = out or shared_dir(spark, "clone")
-    by = [*keys, "shard"]
     copied.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
     landed = spark.read.schema(copied.schema).parquet(path)
 
-    want = content_digest(copied).withColumnsRenamed({"docs": "want_docs", "digest": "want"})
+    # Both digests are combined where the documents are read; only sums are shuffled.
+    want = (
+        content_digest(contents)
+        .join(units, by)
+        .select(
+            *keys[:-1],
+            F.col("dest_collection").alias("collection"),
+            "shard",
+            F.col("docs").alias("want_docs"),
+            F.col("digest").alias("want"),
+        )
+    )
     have = content_digest(landed).withColumnsRenamed({"docs": "docs", "digest": "have"})
     shards = want.join(have, by, "full").select(
         *keys[:-1],
@@ -197,10 +211,11 @@ def clone_collections(
 def apply_delete(contents: DataFrame, plan: DataFrame, out: str) -> str:
     """Write the contents without the collections a delete plan drops.
 
-    The list in the plan is a request's argument, so it is short; it becomes a
-    filter on the partition column and nothing is shuffled.
+    The list in the plan is a request's argument, so it is short; it becomes a filter
+    on the partition column, and dropped collections are not read.
     """
     drop = [r["collection"] for r in plan.where("action = 'drop'").collect()]
     kept = contents.where(~F.col("collection").isin(drop)) if drop else contents
-    kept.write.partitionBy(*scoped(contents, "collection")).parquet(out)
+    by = scoped(contents, "collection")
+    kept.hint("rebalance", *by).write.partitionBy(*by).parquet(out)
     return out

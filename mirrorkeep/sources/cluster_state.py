@@ -120,6 +120,15 @@ def replica_number(core: Column) -> Column:
     return F.regexp_extract(core, r"_replica(\d+)$", 1).try_cast("int")
 
 
+def scan_live_nodes(docs: DataFrame) -> DataFrame:
+    """Hosts out of documents that list the names of the live nodes."""
+    # See scan_cluster_state for why not a plain explode.
+    names = docs.select(
+        *scoped(docs), F.explode_outer(F.from_json("doc", "array<string>")).alias("full")
+    ).where(F.col("full").isNotNull())
+    return names.select(*scoped(docs), node_name(F.col("full")).alias("node")).distinct()
+
+
 def scan_aliases(docs: DataFrame) -> DataFrame:
     """alias, target out of ``{"collection": {alias: target}}``; null content has no rows."""
     parsed = F.from_json("doc", "struct<collection:map<string,string>>")

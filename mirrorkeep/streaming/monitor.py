@@ -36,8 +36,15 @@ def _timed(progress: DataFrame, lateness: str) -> DataFrame:
     return progress.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
 
 
-def _append(changes: DataFrame, out: str, state: str | None) -> StreamingQuery:
-    """Append the changes of each micro-batch to ``out``, all input now available."""
+def _trigger(every: str | None) -> dict:
+    """All input now available, then stop; or a micro-batch ``every`` so often, for good."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def _append(
+    changes: DataFrame, out: str, state: str | None, every: str | None
+) -> StreamingQuery:
+    """Append the changes of each micro-batch to ``out``."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -47,7 +54,7 @@ def _append(changes: DataFrame, out: str, state: str | None) -> StreamingQuery:
         changes.writeStream.outputMode("update")
         .option("checkpointLocation", state or shared_dir(spark, "stream-state"))
         .foreachBatch(write)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )
 
@@ -58,6 +65,7 @@ def run_completion(
     lateness: str = LATENESS,
     bucket: str = "1 day",
     state: str | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Keep first sample and first completion of each request and time bucket."""
     ts = F.col("ts")
@@ -70,7 +78,7 @@ def run_completion(
         )
         .select("req", "started", "finished")
     )
-    return _append(changes, out, state)
+    return _append(changes, out, state, every)
 
 
 def read_completion(kept: DataFrame, timeout: str = COPY_LIMIT) -> DataFrame:
@@ -91,6 +99,7 @@ def run_latest(
     lateness: str = LATENESS,
     bucket: str = "1 day",
     state: str | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Keep the last sample of each core and time bucket."""
     changes = (
@@ -99,7 +108,7 @@ def run_latest(
         .agg(F.max(F.struct("ts", "event_id", "status")).alias("last"))
         .select("core", "last")
     )
-    return _append(changes, out, state)
+    return _append(changes, out, state, every)
 
 
 def read_latest(kept: DataFrame) -> DataFrame:
@@ -122,6 +131,7 @@ def run_samples(
     lateness: str = LATENESS,
     slice_length: str = SLICE,
     state: str | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Keep the samples of each core and slice; a slice holds a bounded number of polls."""
     changes = (
@@ -130,7 +140,7 @@ def run_samples(
         .agg(F.collect_list(F.struct("ts", "event_id", "status")).alias("samples"))
         .select("core", F.col("window.start").alias("slice"), "samples")
     )
-    return _append(changes, out, state)
+    return _append(changes, out, state, every)
 
 
 def read_retry_gate(
@@ -221,8 +231,9 @@ def run_overdue(
     timeout: str = COPY_LIMIT,
     lateness: str = LATENESS,
     state: str | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Write the alarms of all input now available to ``out``."""
+    """Write the alarms to ``out``."""
     alarms = overdue_alarms(progress, timeout, lateness)
     return (
         alarms.writeStream.outputMode("append")
@@ -231,6 +242,6 @@ def run_overdue(
         .option(
             "checkpointLocation", state or shared_dir(alarms.sparkSession, "stream-state")
         )
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )

@@ -140,6 +140,14 @@ def test_delete(spark, documents, tmp_path):
     assert selection.delete_plan(documents, []).count() == 0
 
 
+def test_more_shards_than_are_broadcast(spark, source, documents, monkeypatch, small_groups_hot):
+    monkeypatch.setattr(clone, "MAX_BROADCAST_SHARDS", 0)
+    empty = spark.createDataFrame([], INV)
+    done = clone.clone_collections(source, empty, documents, names=["a", "c"])
+    assert {r["status"] for r in done.diagnostics.collect()} == {"ok"}
+    assert spark.read.parquet(done.path).count() == 55
+
+
 def test_full_backup(spark, source, target, documents):
     tree = spark.createDataFrame([("/a", "1")], "path string, data string")
     none = spark.createDataFrame([], "path string, data string")

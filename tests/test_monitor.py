@@ -64,6 +64,13 @@ def test_retry_gate_default_limit(spark):
     assert rows(got, "core", "failures") == [("d", 10)]
 
 
+def test_retry_verdict(spark):
+    data = [(c, m, "failed") for c in ("c", "d") for m in range(3)]
+    gates = monitor.retry_gate(samples(spark, data), max_failures=3)
+    answers = spark.createDataFrame([("c",), ("c",), ("x",)], "core string")
+    assert rows(monitor.retry_verdict(gates, answers)) == [("c", "unverified"), ("d", "failed")]
+
+
 def test_completion(spark):
     data = [
         ("fast", 0, "replicating"), ("fast", 20, "done"), ("fast", 40, "done"),

@@ -1,6 +1,7 @@
 """Every query against its SQL, on the smallest scale, and known counts on the next."""
 
 import glob
+import os
 import re
 
 import pytest
@@ -83,7 +84,10 @@ def test_no_python_in_batch_plans(spark):
 
 
 def test_sources_name_no_machine_folder():
-    for path in glob.glob("mirrorkeep/**/*.py", recursive=True):
+    root = os.path.dirname(entry.__file__)
+    paths = glob.glob(f"{root}/mirrorkeep/**/*.py", recursive=True)
+    assert len(paths) > 10
+    for path in paths:
         text = open(path).read()
         assert "localCheckpoint" not in text
         assert not re.search(r"[\"']/tmp", text), path

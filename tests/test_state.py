@@ -80,6 +80,21 @@ def test_nodes_and_collections(spark):
     assert rows(inventory.collections(flat)) == [("books_v2",), ("films_v2",)]
 
 
+def test_live_node_list(spark):
+    table = docs(spark, ["onehost:8983_solr", "other:8983_solr", "onehost:7574_solr"], "[]", None)
+    assert rows(cluster_state.scan_live_nodes(table)) == [("onehost",), ("other",)]
+
+
+def test_hosts_are_translated(spark):
+    flat = inv(spark, base_state()).select("core", "node")
+    hosts = spark.createDataFrame([("onehost", "pub"), ("x", "y")], "private string, public string")
+    assert {r["public"] for r in inventory.translate_hosts(flat, hosts).collect()} == {"pub"}
+    none = inventory.translate_hosts(flat, hosts.where("private = 'x'"))
+    assert {r["public"] for r in none.collect()} == {None} and none.count() == 4
+    with pytest.raises(ValueError):
+        inventory.translate_hosts(flat, None)
+
+
 def test_views_by_collection_shard_and_node(spark):
     flat = inv(spark, base_state())
     cores = [

@@ -442,6 +442,10 @@ from (values ('collection1'), ('src1_collection'), ('src7_collection'), ('no_suc
     "latest_status_stream": _LATEST,
     "retry_gate": "select * from failed_runs",
     "retry_gate_stream": "select * from failed_runs",
+    "retry_verdict": """
+select distinct r.core,
+  case when r.core in (select core from progress where status='done') then 'unverified' else 'failed' end as verdict
+from failed_runs r""",
     # Alarms go off once the latest sample, less the allowed lateness, is past the deadline.
     "overdue_alarms_stream": """
 select req, started from first_done

@@ -19,7 +19,6 @@ from mirrorkeep.functions.naming import (
 )
 from mirrorkeep.functions.status import core_label, is_replicating, source_gate
 from mirrorkeep.operators import inventory, matching, metadata, monitor, selection, verify
-from mirrorkeep.operators.skew import lookup
 from mirrorkeep.plans import clone, sync
 from mirrorkeep.sources import cluster_state, status, tree
 from mirrorkeep.streaming import monitor as streaming
@@ -139,8 +138,8 @@ def node_names(spark, sf_dir):
 
 @query
 def translate_host(spark, sf_dir):
-    hosts = t.host_map(spark, sf_dir).withColumnRenamed("private", "node")
-    return lookup(t.inv(spark, sf_dir).select("core", "node"), hosts, ["node"])
+    cores = t.inv(spark, sf_dir).select("core", "node")
+    return inventory.translate_hosts(cores, t.host_map(spark, sf_dir))
 
 
 @query
@@ -533,6 +532,13 @@ def retry_gate(spark, sf_dir):
     return monitor.retry_gate(t.progress(spark, sf_dir), MAX_FAILURES)
 
 
+@query
+def retry_verdict(spark, sf_dir):
+    progress = t.progress(spark, sf_dir)
+    gates = monitor.retry_gate(progress, MAX_FAILURES)
+    return monitor.retry_verdict(gates, progress.where("status = 'done'").select("core"))
+
+
 def _streamed(spark, sf_dir, run, **options):
     out = shared_dir(spark, "stream")
     run(t.progress_stream(spark, sf_dir), out, **options).awaitTermination()
