@@ -7,6 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The marks inside core names (before the replica number) and node
+# names (after host and port), and the key of the rule for all other names.
+REPLICA_MARK = "_replica"
+NODE_CONTEXT = "_solr"
+DEFAULT_RULE = "default"
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -25,7 +31,7 @@ def parse_rules(text: str | None) -> Rules:
         left, colon, right = part.partition(":")
         if not colon or not left or not right or ":" in right:
             raise ValueError(f"bad rule {part!r} in {text!r}: expected <match>:<replacement>")
-        if left.lower() == "default":
+        if left.lower() == DEFAULT_RULE:
             default = right
         else:
             pairs.append((left, right))
@@ -69,9 +75,15 @@ def map_config(name: Column, rules: Rules, own: Column | None = None) -> Column:
 
 def shard_key(core: Column) -> Column:
     """Core name up to its replica suffix."""
-    return F.split_part(core, F.lit("_replica"), F.lit(1))
+    return F.split_part(core, F.lit(REPLICA_MARK), F.lit(1))
 
 
 def node_name(full: Column) -> Column:
     """Host out of ``host:port_context``."""
-    return F.split_part(F.split_part(full, F.lit("_solr"), F.lit(1)), F.lit(":"), F.lit(1))
+    address = F.split_part(full, F.lit(NODE_CONTEXT), F.lit(1))
+    return F.split_part(address, F.lit(":"), F.lit(1))
+
+
+def replica_number(core: Column) -> Column:
+    """Number at the end of a core name, null if there is none."""
+    return F.regexp_extract(core, REPLICA_MARK + r"(\d+)$", 1).try_cast("int")

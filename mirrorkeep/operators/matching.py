@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import materialize, scoped, shared_scope
-from ..functions.naming import Rules, map_forward, map_reverse, shard_key
+from ..functions.naming import (
+    REPLICA_MARK,
+    Rules,
+    map_forward,
+    map_reverse,
+    replica_number,
+    shard_key,
+)
 from ..functions.status import source_gate
 from .inventory import collections, cores_by_collection, exclude_default
 from .skew import lookup
@@ -23,14 +30,14 @@ def symmetry_table(src_inv: DataFrame, fallback: str = "first_two") -> DataFrame
     picks = [
         F.max(
             F.when(
-                F.col("core") == F.concat("shard_key", F.lit(f"_replica{i}")),
+                F.col("core") == F.concat("shard_key", F.lit(f"{REPLICA_MARK}{i}")),
                 F.struct("rn", "node", "core"),
             )
         ).alias(f"r{i}")
         for i in (1, 2)
     ]
     if fallback == "any":
-        number = F.regexp_extract("core", r"_replica(\d+)$", 1).try_cast("long")
+        number = replica_number(F.col("core"))
         low = F.struct(number.isNull().alias("odd"), number.alias("number"), "core")
         last = F.struct(low.alias("low"), (-F.col("rn")).alias("last"), F.col("node"))
         picks.append(F.min(last).alias("low"))

@@ -10,26 +10,42 @@ here. Without a hot key the plain Spark plan is returned unchanged.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..common import materialize
+
 # A key with fewer rows than this is never worth splitting.
 MIN_ROWS_CONF = "mirrorkeep.skew.minRows"
 MIN_ROWS_DEFAULT = "1000000"
 
-# Upper limit of ranges one hot group is cut into by `numbered`; a range is
-# found by a linear search, so this stays small.
-MAX_RANGES = 256
+# Upper limit of ranges one hot group is cut into by `numbered`, and the number of
+# ranges per block. A row looks for its block first and for its range in the block.
+MAX_RANGES = 4096
+BLOCK = 64
+
+# Sampled rows per range. They only place the cuts.
+SAMPLE_PER_RANGE = 8
+
+
+@dataclass(frozen=True)
+class HotKey:
+    """Hash of a hot key, about how many rows it has, and the pieces to cut them into."""
+
+    hash: int
+    rows: int
+    pieces: int
 
 
 def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> dict[int, int]:
-    """Hash of each hot key -> number of pieces its rows should be cut into."""
+def hot_keys(df: DataFrame, keys: list[str]) -> list[HotKey]:
+    """The hot keys of a table: at most one per shuffle partition."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     floor = int(spark.conf.get(MIN_ROWS_CONF, MIN_ROWS_DEFAULT))
@@ -43,11 +59,11 @@ def hot_keys(df: DataFrame, keys: list[str]) -> dict[int, int]:
         .first()
     )
     share = max(row["total"] / parts, floor)
-    return {
-        t["item"]: min(parts, math.ceil(t["count"] / share))
+    return [
+        HotKey(t["item"], t["count"], min(parts, math.ceil(t["count"] / share)))
         for t in row["top"] or []
         if t["count"] > share
-    }
+    ]
 
 
 def lookup(
@@ -73,7 +89,7 @@ def lookup(
         return left.join(right, on, how)
     spark = left.sparkSession
     pieces = F.broadcast(
-        spark.createDataFrame(list(hot.items()), "_hot long, _pieces int")
+        spark.createDataFrame([(k.hash, k.pieces) for k in hot], "_hot long, _pieces int")
     )
     spread = [f.name for f in left.schema.fields if not _holds_map(f.dataType)]
     cut = (
@@ -112,21 +128,10 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
         return df.withColumn(
             name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         )
-    ranges = F.broadcast(_range_table(df, keys, order, hot))
-    cut = (
-        df.withColumn("_hot", key_hash(keys))
-        .join(ranges, "_hot", "left")
-        .withColumn(
-            "_range",
-            F.when(
-                F.col("_splits").isNotNull(),
-                F.size(F.filter("_splits", lambda s: s < F.struct(*order))),
-            ).otherwise(0),
-        )
-    )
-    # Bounded by the number of hot keys times MAX_RANGES.
+    cut = with_range(df, keys, order, hot)
+    # One row per range of a hot group, so a few per shuffle partition.
     shift = (
-        cut.where(F.col("_splits").isNotNull())
+        cut.where("_cut")
         .groupBy(*keys, "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn(
@@ -140,7 +145,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
         .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_range", "_before")
     )
     own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    out = cut.drop("_hot", "_splits").withColumn("_own", own)
+    out = cut.withColumn("_own", own)
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     same.append(out["_range"] == shift["_range"])
     cond = same[0]
@@ -152,50 +157,58 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     )
 
 
-def _range_table(
-    df: DataFrame, keys: list[str], order: list[str], hot: dict[int, int]
+def with_range(
+    df: DataFrame, keys: list[str], order: list[str], hot: list[HotKey]
 ) -> DataFrame:
-    """Hash of each hot key with the split points of its order columns.
+    """Add ``_cut``, is the row in a hot group, and ``_range``, its range there (else 0)."""
+    at = F.struct(*order)
+    placed = df.withColumn("_hot", key_hash(keys)).join(
+        F.broadcast(_split_points(df, keys, order, hot)), "_hot", "left"
+    )
+    block = F.size(F.filter("_blocks", lambda s: s < at)) * BLOCK
+    rest = F.size(
+        F.filter(F.slice("_splits", F.col("_block") + 1, F.lit(BLOCK)), lambda s: s < at)
+    )
+    return (
+        placed.withColumn("_cut", F.col("_splits").isNotNull())
+        .withColumn("_block", F.when(F.col("_cut"), block).otherwise(0))
+        .withColumn("_range", F.when(F.col("_cut"), F.col("_block") + rest).otherwise(0))
+        .drop("_hot", "_splits", "_blocks", "_block")
+    )
 
-    The points only place the cuts, so a sample is enough: about 20 rows per
-    range, picked by hash. It is collected and turned into a local table, so the
-    cuts are the same wherever they are used and however often a task is rerun.
+
+def _split_points(
+    df: DataFrame, keys: list[str], order: list[str], hot: list[HotKey]
+) -> DataFrame:
+    """Per hot key, sorted split points of its order columns, and each last of a block.
+
+    The points are picked from a sample whose size is set per range. The table is
+    written out: every use must see the same cuts, also in a task that is run again.
     """
     spark = df.sparkSession
-    total = sum(hot.values())
-    ranges = {h: min(MAX_RANGES, max(2, n)) for h, n in hot.items()}
-    weight = {
-        r["_hot"]: r["n"]
-        for r in df.select(key_hash(keys).alias("_hot"))
-        .where(F.col("_hot").isin(list(hot)))
-        .groupBy("_hot")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-    step = {h: max(1, weight.get(h, 1) // (20 * ranges[h])) for h in hot}
+    ranges = {k.hash: min(MAX_RANGES, max(2, k.pieces)) for k in hot}
+    step = {k.hash: max(1, k.rows // (SAMPLE_PER_RANGE * ranges[k.hash])) for k in hot}
     steps = F.broadcast(
-        spark.createDataFrame([(h, step[h]) for h in hot], "_hot long, _step long")
+        spark.createDataFrame(
+            [(h, ranges[h], step[h]) for h in ranges], "_hot long, _ranges int, _step long"
+        )
     )
-    sample = (
+    points = (
         df.select(key_hash(keys).alias("_hot"), F.struct(*order).alias("_at"))
         .join(steps, "_hot")
         .where(F.pmod(F.xxhash64("_at"), F.col("_step")) == 0)
-        .select("_hot", "_at")
-        .distinct()
-        .orderBy("_hot", "_at")
-        .limit(100 * max(total, len(hot) * MAX_RANGES))
-        .collect()
+        .groupBy("_hot", "_ranges")
+        .agg(F.sort_array(F.collect_set("_at")).alias("_at"))
     )
-    rows = []
-    for h in hot:
-        points = [r["_at"] for r in sample if r["_hot"] == h]
-        every = max(1, len(points) // ranges[h])
-        rows.append((h, points[every - 1 :: every][: ranges[h] - 1]))
-    at = T.StructType([df.schema[c] for c in order])
-    schema = T.StructType(
-        [T.StructField("_hot", T.LongType()), T.StructField("_splits", T.ArrayType(at))]
+    splits = points.select(
+        "_hot",
+        F.expr(
+            "transform(sequence(1, _ranges - 1),"
+            " i -> element_at(_at, greatest(1, cast(i * size(_at) / _ranges as int))))"
+        ).alias("_splits"),
     )
-    return spark.createDataFrame(rows, schema)
+    blocks = F.expr(f"filter(_splits, (s, i) -> (i + 1) % {BLOCK} = 0)")
+    return materialize(splits.withColumn("_blocks", blocks), "split-points")
 
 
 def _holds_map(dtype: T.DataType) -> bool:

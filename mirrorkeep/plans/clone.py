@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import materialize, scoped, shared_dir
-from ..functions.naming import Rules, map_forward
+from ..functions.naming import REPLICA_MARK, Rules, map_forward
 from ..operators.inventory import core_to_best, exclude_default
 from ..operators.matching import peer_match, replication_plan
 from ..operators.selection import missing_in_dest, missing_in_source, select_collections
@@ -53,9 +53,9 @@ def created_replicas(create: DataFrame, src_inv: DataFrame) -> DataFrame:
         *keys[:-1],
         F.col("dest_collection").alias("collection"),
         "shard",
-        F.concat_ws("_", "dest_collection", "shard", F.concat(F.lit("replica"), "rn")).alias(
-            "core"
-        ),
+        F.concat(
+            "dest_collection", F.lit("_"), "shard", F.lit(REPLICA_MARK), F.col("rn").cast("string")
+        ).alias("core"),
         "rn",
         F.lit(None).cast("string").alias("node"),
     )

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import scoped
-from ..functions.naming import node_name
+from ..functions.naming import node_name, replica_number
 
+# The keys of the state document.
 REPLICA = (
     "struct<state:string,core:string,collection:string,shard:string,"
     "node_name:string,base_url:string,leader:string>"
@@ -115,11 +116,6 @@ def flatten_state(scanned: DataFrame) -> DataFrame:
     )
 
 
-def replica_number(core: Column) -> Column:
-    """Number at the end of a core name, null if there is none."""
-    return F.regexp_extract(core, r"_replica(\d+)$", 1).try_cast("int")
-
-
 def scan_live_nodes(docs: DataFrame) -> DataFrame:
     """Hosts out of documents that list the names of the live nodes."""
     # See scan_cluster_state for why not a plain explode.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..common import blank
 from ..functions.status import is_replicating, parse_time
 
+# Element and attribute names of the status documents, here and below.
 _VALUES = "array<struct<_name:string,_VALUE:string>>"
 _INDEX = (
     f"struct<_name:string,`int`:{_VALUES},`long`:{_VALUES},`date`:{_VALUES},`bool`:{_VALUES}>"

@@ -140,6 +140,18 @@ def test_alarms_go_off_without_further_samples(spark, folder, tmp_path):
     assert rows(alarms) == rows(overdue, "req", "started") != []
 
 
+def test_samples_later_than_the_watermark_are_left_out(spark, tmp_path):
+    path, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    files = [("c", 0, "replicating")], [("c", 3 * 1440, "failed")], [("c", 5, "done")]
+    for data in files:
+        table = samples(spark, data)
+        table.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(table.schema).parquet(path)
+        streaming.run_completion(stream, out, state=state).awaitTermination()
+    got = streaming.read_completion(spark.read.parquet(out))
+    assert rows(got, "started", "outcome") == [(T0, "never")]
+
+
 def test_restarted_stream_goes_on(spark, folder, tmp_path):
     table, stream, _ = folder
     out, state = str(tmp_path / "out"), str(tmp_path / "state")

@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mirrorkeep.common import materialize, shared_dir
+from mirrorkeep.operators import skew
 from mirrorkeep.operators.skew import hot_keys, lookup, numbered
 from tests.helpers import rows
 
@@ -24,13 +25,12 @@ def right(spark):
 
 
 def test_no_hot_key_below_the_floor(left):
-    assert hot_keys(left, ["key"]) == {}
+    assert hot_keys(left, ["key"]) == []
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_lookup_equals_join(left, right, how, small_groups_hot):
-    pieces = hot_keys(left, ["key"])
-    assert sorted(pieces.values()) == [3, 3]
+    assert [k.pieces for k in hot_keys(left, ["key"])] == [3, 3]
     got = lookup(left, right, ["key"], how)
     want = left.join(right, "key", how)
     assert got.columns == want.columns
@@ -90,20 +90,31 @@ def test_numbered_with_equal_order_values(spark, small_groups_hot):
     assert rows(got) == rows(want)
 
 
-def test_numbered_cuts_the_hot_group(spark, small_groups_hot):
-    from mirrorkeep.operators.skew import _range_table, key_hash
-
+@pytest.mark.parametrize("block", [2, 3, 64])
+def test_ranges_follow_the_order(spark, small_groups_hot, monkeypatch, block):
+    monkeypatch.setattr(skew, "BLOCK", block)
     table = group_table(spark)
     hot = hot_keys(table, ["g"])
-    splits = _range_table(table, ["g"], ["a", "b", "id"], hot)
-    cut = (
-        table.withColumn("_hot", key_hash(["g"]))
-        .join(splits, "_hot")
-        .withColumn("r", F.size(F.filter("_splits", lambda s: s < F.struct("a", "b", "id"))))
+    # All even ids and id 1.
+    assert (hot[0].rows, hot[0].pieces) == (2001, 5)
+    hot = [skew.HotKey(k.hash, k.rows, 9) for k in hot]
+    cut = skew.with_range(table, ["g"], ["a", "b", "id"], hot)
+    assert cut.where("_cut").select("g").distinct().count() == 1
+    assert cut.where("not _cut and _range <> 0").count() == 0
+    spans = (
+        cut.where("_cut")
+        .groupBy("_range")
+        .agg(
+            F.min(F.struct("a", "b", "id")).alias("low"),
+            F.max(F.struct("a", "b", "id")).alias("high"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        .withColumn("before", F.lag("high").over(Window.orderBy("_range")))
     )
-    sizes = [r["count"] for r in cut.groupBy("r").count().collect()]
-    assert len(sizes) >= 2
-    assert max(sizes) < 0.8 * sum(sizes)
+    assert spans.where("before >= low").count() == 0
+    sizes = [r["n"] for r in spans.collect()]
+    assert len(sizes) == 9 and sum(sizes) == 2001
+    assert max(sizes) < 600
 
 
 def test_folders_come_from_the_shared_setting(spark, left):
