@@ -84,6 +84,10 @@ def lookup(
     is the outcome of shuffles, ``weigh`` names a cheaper table with the same keys,
     for instance the one it was derived from. It only steers the cut.
     """
+    for k in on:
+        types = {df.schema[k].dataType for df in (left, right, weigh) if df is not None}
+        if len(types) > 1:
+            raise TypeError(f"key {k} has several types: {types}")
     hot = hot_keys(left if weigh is None else weigh, on)
     if not hot:
         return left.join(right, on, how)

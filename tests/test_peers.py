@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from mirrorkeep.functions.naming import Rules, parse_rules
 from mirrorkeep.operators import inventory, matching, selection
@@ -121,6 +122,33 @@ def test_renamed_destination(spark):
     ]
 
 
+def test_pairs_of_clusters_stay_apart(spark, small_groups_hot):
+    def side(east, west):
+        return inv(spark, east).withColumn("cluster", F.lit("east")).unionByName(
+            inv(spark, west).withColumn("cluster", F.lit("west"))
+        )
+
+    src = side(one_shard("books_v2", ["e1"]), one_shard("books_v2", ["w1", "w2"]))
+    dst = side(one_shard("books_v2", ["d1", "d2"]), one_shard("books_v2", ["x1", "x2"]))
+    found = matching.peer_match(src, dst, Rules())
+    assert rows(found, "cluster", "dest_node", "source_node", "how") == [
+        ("east", "d1", "e1", "exact"), ("east", "d2", "e1", "replica1"),
+        ("west", "x1", "w1", "exact"), ("west", "x2", "w2", "exact"),
+    ]
+    up = src.withColumn("available", F.col("node") != "w1")
+    plan = matching.replication_plan(found, inventory.core_to_best(up))
+    assert rows(plan, "cluster", "dest_node", "source_node") == [
+        ("east", "d1", "e1"), ("east", "d2", "e1"), ("west", "x1", "w2"), ("west", "x2", "w2"),
+    ]
+    drift = matching.inventory_drift(src, dst, Rules())
+    assert rows(drift, "cluster", "dest_core", "side") == [
+        ("east", "books_v2_shard1_replica1", "both"),
+        ("east", "books_v2_shard1_replica2", "destination only"),
+        ("west", "books_v2_shard1_replica1", "both"),
+        ("west", "books_v2_shard1_replica2", "both"),
+    ]
+
+
 def status(spark, table):
     return spark.createDataFrame(
         table,

@@ -55,6 +55,11 @@ def test_lookup_weighed_by_another_table(left, right, small_groups_hot):
     assert rows(lookup(few, right, ["key"], weigh=left)) == rows(few.join(right, "key", "left"))
 
 
+def test_lookup_wants_equal_key_types(left, right):
+    with pytest.raises(TypeError):
+        lookup(left, right.select(F.lit(1).alias("key"), "v"), ["key"])
+
+
 def test_lookup_leaves_maps_alone(spark, right, small_groups_hot):
     table = spark.range(100).select(
         F.lit("hot").alias("key"), F.create_map(F.lit("a"), F.col("id")).alias("m")

@@ -1,6 +1,7 @@
 """Inventory, alias, tree, content and progress tables derived from the test tables.
 
-FIXTURES.md gives the same tables as SQL.
+FIXTURES.md gives the same tables as SQL. Its remainder tests make the two clusters
+differ (a row one side lacks or has in another state); every query reads both in full.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def inv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each repeat of an order line is a replica of one shard."""
     items = numbered(
-        table(spark, sf_dir, "lineitem"),
+        placed(spark, sf_dir),
         ["l_orderkey", "l_linenumber"],
         [
             "l_partkey",
@@ -35,16 +36,7 @@ def inv(spark: SparkSession, sf_dir: str) -> DataFrame:
         ],
         "rn",
     )
-    order = F.concat(F.lit("c"), F.col("l_orderkey").cast("string"))
-    named = items.select(
-        "*",
-        F.when(F.col("l_orderkey") % 3 != 0, F.concat(order, F.lit("_collection")))
-        .otherwise(F.concat(order, F.lit("_idx")))
-        .alias("collection"),
-        F.concat(F.lit("shard"), F.col("l_linenumber").cast("string")).alias("shard"),
-        F.concat(F.lit("host"), F.col("l_suppkey").cast("string")).alias("node"),
-    )
-    return named.select(
+    return items.select(
         "collection",
         "shard",
         F.concat(
@@ -53,11 +45,11 @@ def inv(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rn",
         F.concat("node", F.lit(":8983_solr")).alias("node_name"),
         "node",
-        F.when(F.col("l_linestatus") == "O", "active").otherwise("down").alias("state"),
+        "state",
         F.when(F.col("l_returnflag") == "R", "true")
         .when(F.col("l_returnflag") == "A", "false")
         .alias("leader"),
-        (F.col("l_linestatus") == "O").alias("available"),
+        "available",
         F.col("l_quantity").cast("int").alias("num_docs"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("version"),
         F.col("l_shipdate").alias("last_modified"),
@@ -67,6 +59,22 @@ def inv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory before its replicas are numbered: enough where no core is named."""
+    order = F.concat(F.lit("c"), F.col("l_orderkey").cast("string"))
+    up = F.col("l_linestatus") == "O"
+    return table(spark, sf_dir, "lineitem").select(
+        "*",
+        F.when(F.col("l_orderkey") % 3 != 0, F.concat(order, F.lit("_collection")))
+        .otherwise(F.concat(order, F.lit("_idx")))
+        .alias("collection"),
+        F.concat(F.lit("shard"), F.col("l_linenumber").cast("string")).alias("shard"),
+        F.concat(F.lit("host"), F.col("l_suppkey").cast("string")).alias("node"),
+        F.when(up, "active").otherwise("down").alias("state"),
+        up.alias("available"),
+    )
+
+
 def stored_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory as a written table, for queries that read it several times."""
     return materialize(inv(spark, sf_dir), "inv")

@@ -256,6 +256,10 @@ nodes as (
   from (select *, unnest(range(1, len(p))) as k from parts) t)
 select node as path, parent, label, cast(k as int) as depth, cast(max(size) as bigint) as bytes
 from nodes group by all""",
+    "tree_paths_from_edges": """
+select distinct id, id as path from (
+  select array_to_string(p[1:k+1],'/') as id
+  from (select p, unnest(range(1, len(p))) as k from (select string_split(path,'/') as p from src_tree) a) b) t""",
     "node_name": """
 select core, node_name, split_part(split_part(node_name,'_solr',1),':',1) as node from inv""",
     "translate_host": """
@@ -376,6 +380,19 @@ from inv group by 1""",
 select collection, shard,
   coalesce(min_by(node_name||','||core, rn) filter (where lower(leader)='true'), 'NO_LEADER') as leader
 from inv group by 1, 2""",
+    "leader_by_snapshot": """
+select date_trunc('year', last_modified) as snapshot_ts, collection, shard,
+  coalesce(min_by(node_name||','||core, rn) filter (where lower(leader)='true'), 'NO_LEADER') as leader
+from inv group by 1, 2, 3""",
+    "core_to_best_by_snapshot": """
+with yearly as (select *, date_trunc('year', last_modified) as snapshot_ts from src_inv),
+picked as (
+  select *, row_number() over (partition by snapshot_ts, collection, shard
+              order by version desc, last_modified desc, core) as place
+  from yearly where available)
+select y.snapshot_ts, y.collection, y.shard, y.core, b.core as best_core, b.node as best_node
+from yearly y left join picked b
+  on b.place=1 and b.snapshot_ts=y.snapshot_ts and b.collection=y.collection and b.shard=y.shard""",
     "best_replica": "select * from best",
     "best_replica_freshest": """
 select collection, shard, core as best_core, node as best_node

@@ -87,7 +87,7 @@ def scan_aliases(spark, sf_dir):
 
 @query
 def live_nodes(spark, sf_dir):
-    return inventory.live_nodes(t.inv(spark, sf_dir))
+    return inventory.live_nodes(t.placed(spark, sf_dir))
 
 
 @query
@@ -98,7 +98,7 @@ def config_names(spark, sf_dir):
 @query
 def collection_config(spark, sf_dir):
     return cluster_state.collection_config(
-        inventory.collections(t.inv(spark, sf_dir)), t.metadata_documents(spark, sf_dir)
+        inventory.collections(t.placed(spark, sf_dir)), t.metadata_documents(spark, sf_dir)
     )
 
 
@@ -126,6 +126,17 @@ def tree_paths(spark, sf_dir):
     return tree.tree_paths(t.src_tree(spark, sf_dir))
 
 
+@query
+def tree_paths_from_edges(spark, sf_dir):
+    nodes = tree.tree_paths(t.src_tree(spark, sf_dir))
+    edges = nodes.select(
+        F.col("path").alias("id"),
+        F.nullif("parent", F.lit("/")).alias("parent_id"),
+        "label",
+    )
+    return tree.paths_from_edges(edges, max_depth=4)
+
+
 # Projections, filters, predicates
 
 
@@ -145,13 +156,13 @@ def translate_host(spark, sf_dir):
 @query
 def select_collections(spark, sf_dir):
     return selection.select_collections(
-        t.inv(spark, sf_dir), include="_collection", exclude="7"
+        t.placed(spark, sf_dir), include="_collection", exclude="7"
     )
 
 
 @query
 def exclude_default(spark, sf_dir):
-    named = t.inv(spark, sf_dir).select(
+    named = t.placed(spark, sf_dir).select(
         F.replace("shard", F.lit("shard"), F.lit("collection")).alias("collection")
     )
     return inventory.exclude_default(named).groupBy("collection").agg(
@@ -161,7 +172,7 @@ def exclude_default(spark, sf_dir):
 
 @query
 def missing_in_source(spark, sf_dir):
-    inv = t.inv(spark, sf_dir)
+    inv = t.placed(spark, sf_dir)
     return selection.missing_in_source(inventory.collections(inv), t.src_inv(inv))
 
 
@@ -175,7 +186,7 @@ def shard_keys(spark, sf_dir):
 
 @named("map_forward")
 def forward_names(spark, sf_dir):
-    names = inventory.collections(t.inv(spark, sf_dir))
+    names = inventory.collections(t.placed(spark, sf_dir))
     return names.select(
         "collection", map_forward(F.col("collection"), RULES).alias("dest_collection")
     )
@@ -193,7 +204,7 @@ def reverse_names(spark, sf_dir):
 
 @named("map_config")
 def config_by_rule(spark, sf_dir):
-    names = inventory.collections(t.inv(spark, sf_dir))
+    names = inventory.collections(t.placed(spark, sf_dir))
     own = t.metadata_documents(spark, sf_dir).select(
         "collection", F.get_json_object("doc", "$.configName").alias("own")
     )
@@ -206,8 +217,9 @@ def config_by_rule(spark, sf_dir):
 
 @query
 def mapping_roundtrip(spark, sf_dir):
-    inv = t.inv(spark, sf_dir)
-    names = inv.select("collection").unionByName(t.dst_inv(inv).select("collection"))
+    names = t.placed(spark, sf_dir).select("collection")
+    there = names.select(map_forward(F.col("collection"), RULES).alias("collection"))
+    names = names.unionByName(there)
     return selection.mapping_roundtrip(names, RULES)
 
 
@@ -254,7 +266,7 @@ def alias_verify(spark, sf_dir):
 
 @query
 def missing_in_dest(spark, sf_dir):
-    inv = t.inv(spark, sf_dir)
+    inv = t.placed(spark, sf_dir)
     configs = t.metadata_documents(spark, sf_dir).select(
         "collection", F.get_json_object("doc", "$.configName").alias("config")
     )
@@ -265,7 +277,7 @@ def missing_in_dest(spark, sf_dir):
 
 @query
 def shard_parity(spark, sf_dir):
-    inv = t.inv(spark, sf_dir)
+    inv = t.placed(spark, sf_dir)
     return verify.shard_parity(inv, t.src_inv(inv))
 
 
@@ -306,7 +318,7 @@ def inventory_drift(spark, sf_dir):
 
 @query
 def collections(spark, sf_dir):
-    return inventory.collections(t.inv(spark, sf_dir))
+    return inventory.collections(t.placed(spark, sf_dir))
 
 
 @query
@@ -331,12 +343,12 @@ def core_status_by_node(spark, sf_dir):
 
 @query
 def all_nodes(spark, sf_dir):
-    return inventory.all_nodes(t.inv(spark, sf_dir))
+    return inventory.all_nodes(t.placed(spark, sf_dir))
 
 
 @query
 def shard_count(spark, sf_dir):
-    inv = t.inv(spark, sf_dir)
+    inv = t.placed(spark, sf_dir)
     return inventory.shard_count(t.src_inv(inv), of=inventory.collections(inv))
 
 
@@ -348,7 +360,7 @@ def core_health(spark, sf_dir):
 
 @query
 def cluster_health(spark, sf_dir):
-    return inventory.cluster_health(t.inv(spark, sf_dir))
+    return inventory.cluster_health(t.placed(spark, sf_dir))
 
 
 @query
@@ -356,6 +368,19 @@ def leader_by_shard(spark, sf_dir):
     return inventory.leader_by_shard(t.inv(spark, sf_dir))
 
 
+@query
+def leader_by_snapshot(spark, sf_dir):
+    yearly = F.date_trunc("year", "last_modified").cast("timestamp_ntz")
+    return inventory.leader_by_shard(t.inv(spark, sf_dir).withColumn("snapshot_ts", yearly))
+
+
+@query
+def core_to_best_by_snapshot(spark, sf_dir):
+    yearly = F.date_trunc("year", "last_modified").cast("timestamp_ntz")
+    inv = t.stored_inv(spark, sf_dir).withColumn("snapshot_ts", yearly)
+    return inventory.core_to_best(t.src_inv(inv), policy="freshest")
+
+
 @query
 def best_replica(spark, sf_dir):
     return inventory.best_replica(t.src_inv(t.inv(spark, sf_dir)))
