@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..common import DEFAULT_COLLECTION, NO_LEADER, scoped, shared_scope
 from .skew import lookup
 
+# A host map is broadcast up to this many rows of two names (some 10 MB).
+MAX_BROADCAST_HOSTS = 100_000
+
 
 def exclude_default(df: DataFrame, column: str = "collection") -> DataFrame:
     """Drop the default collection, by its exact name."""
@@ -43,12 +46,17 @@ def translate_hosts(
 ) -> DataFrame:
     """Add the public name of each host; a host the map does not have gets null.
 
-    ``host_map`` has private and public, one row per private name.
+    ``host_map`` has private and public, one row per private name. It is counted up to
+    a limit: a small one is broadcast, so the inventory is neither scanned for hot
+    hosts nor shuffled.
     """
     if host_map is None:
         raise ValueError("no host map to translate with")
     hosts = host_map.select(*scoped(host_map), F.col("private").alias(column), "public")
-    return lookup(inv, hosts, shared_scope(inv, hosts, column))
+    on = shared_scope(inv, hosts, column)
+    if hosts.limit(MAX_BROADCAST_HOSTS + 1).count() <= MAX_BROADCAST_HOSTS:
+        return inv.join(F.broadcast(hosts), on, "left")
+    return lookup(inv, hosts, on)
 
 
 def cores_by_collection(inv: DataFrame, *extra: str) -> DataFrame:
@@ -101,9 +109,8 @@ def leader_by_shard(inv: DataFrame) -> DataFrame:
     """First leader of each shard as ``node_name,core``, or the no-leader text."""
     inv = exclude_default(inv)
     who = F.concat_ws(",", "node_name", "core")
-    first = F.min(
-        F.when(F.lower("leader") == "true", F.struct(F.col("rn"), who.alias("who")))
-    )
+    place = F.struct(F.col("rn").isNull().alias("odd"), F.col("rn"), who.alias("who"))
+    first = F.min(F.when(F.lower("leader") == "true", place))
     return inv.groupBy(*scoped(inv, "collection", "shard")).agg(
         F.coalesce(first["who"], F.lit(NO_LEADER)).alias("leader")
     )
@@ -140,7 +147,7 @@ def best_replica(inv: DataFrame, policy: str = "replica") -> DataFrame:
     available replica has no row.
     """
     if policy == "replica":
-        rank = [F.col("rn")]
+        rank = [F.col("rn").isNull(), F.col("rn")]
     elif policy == "freshest":
         changed = F.expr(
             "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', last_modified)"

@@ -64,10 +64,14 @@ def missing_in_dest(
 ) -> DataFrame:
     """Collections to create at the destination, with what the create call needs.
 
-    ``configs`` (collection, config) is used when there are no config rules; a
+    ``wanted`` restricts them; names the source does not have are left to
+    ``missing_in_source``. ``configs`` (collection, config) is used when there are no config rules; a
     collection without one gets a null config, which the clone job reports.
     """
-    src = shard_count(src_inv, of=wanted) if wanted is not None else shard_count(src_inv)
+    src = shard_count(src_inv)
+    if wanted is not None:
+        on = shared_scope(src, wanted, "collection")
+        src = src.join(wanted.select(*on).distinct(), on, "left_semi")
     src = exclude_default(src).withColumn(
         "dest_collection", map_forward(F.col("collection"), rules)
     )

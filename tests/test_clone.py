@@ -122,6 +122,9 @@ def test_missing_in_dest_configs(spark, source, target):
     configs = spark.createDataFrame([("a", "own")], "collection string, config string")
     got = selection.missing_in_dest(source, target, Rules(), configs=configs)
     assert rows(got, "collection", "config") == [("a", "own"), ("b", None)]
+    some = selection.requested(spark, ["b", "nowhere"])
+    got = selection.missing_in_dest(source, target, Rules(), wanted=some, configs=configs)
+    assert rows(got, "collection") == [("b",)]
     ruled = selection.missing_in_dest(
         source, target, Rules(), config_rules=parse_rules("a:cfg_a,default:std")
     )

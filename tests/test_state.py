@@ -95,6 +95,22 @@ def test_hosts_are_translated(spark):
         inventory.translate_hosts(flat, None)
 
 
+def test_large_host_map_is_not_broadcast(spark, monkeypatch, small_groups_hot):
+    monkeypatch.setattr(inventory, "MAX_BROADCAST_HOSTS", 1)
+    test_hosts_are_translated(spark)
+
+
+def test_core_without_number_comes_last(spark):
+    table = spark.createDataFrame(
+        [("c", "s", "odd", None, "h0:1_solr", "h0", "true", True),
+         ("c", "s", "c_s_replica7", 7, "h7:1_solr", "h7", "true", True)],
+        "collection string, shard string, core string, rn int, node_name string, node string,"
+        " leader string, available boolean",
+    )
+    assert rows(inventory.best_replica(table), "best_core") == [("c_s_replica7",)]
+    assert rows(inventory.leader_by_shard(table), "leader") == [("h7:1_solr,c_s_replica7",)]
+
+
 def test_views_by_collection_shard_and_node(spark):
     flat = inv(spark, base_state())
     cores = [

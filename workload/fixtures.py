@@ -243,9 +243,8 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return samples(
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+    # A pattern matches one file as well as a folder of files; a stream takes no bare file.
+    return samples(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))
 
 
 def host_map(spark: SparkSession, sf_dir: str) -> DataFrame:
