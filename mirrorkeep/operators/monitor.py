@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import scoped, shared_scope
+from .skew import hot_keys, with_range
 
 # Time limit of a copy, number of failed status loads in a row that
 # ends the retries, and the pause between two polls.
@@ -17,12 +18,6 @@ COPY_LIMIT = "20 minutes"
 MAX_FAILURES = 10
 POLL_SECONDS = 2
 
-# Samples are cut into slices of this length before they are put in order. With one
-# poll per POLL_SECONDS a slice holds at most 1,800 samples of a core, however many
-# samples the core has in all.
-SLICE = "1 hour"
-
-
 def completion_outcome(timeout: str = COPY_LIMIT) -> Column:
     """Outcome of a request from its ``started`` and ``finished`` times."""
     return (
@@ -59,43 +54,39 @@ def latest_status(progress: DataFrame) -> DataFrame:
     )
 
 
-def slice_runs(progress: DataFrame, slice_length: str = SLICE) -> DataFrame:
-    """Runs of failed samples inside each slice of a core's samples.
+def slice_runs(samples: DataFrame) -> DataFrame:
+    """Runs of failed samples inside each ``slice`` of a core's samples.
 
     ``pos`` is the number of good samples before the run in its slice and ``good``
     their number in the whole slice: a run at 0 may continue one from an earlier
-    slice, a run at ``good`` may go on in a later one. Those two positions have a
-    row even when no sample failed there (``failures`` = 0).
+    slice, a run at ``good`` may go on in a later one. A position without failed
+    samples has a row too (``failures`` = 0), as its good sample ends a run.
     """
-    keys = scoped(progress, "core")
-    cut = progress.withColumn("slice", F.window("ts", slice_length)["start"])
-    ordered = Window.partitionBy(*keys, "slice").orderBy("ts", "event_id")
-    whole = Window.partitionBy(*keys, "slice")
+    keys = [*scoped(samples, "core"), "slice"]
+    ordered = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    whole = Window.partitionBy(*keys)
     failed = F.col("status") == "failed"
     good = F.when(failed, 0).otherwise(1)
-    placed = cut.select(
+    placed = samples.select(
         *keys,
-        "slice",
         "ts",
         failed.alias("failed"),
         # A good sample opens the position after it.
         F.sum(good).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("pos"),
         F.sum(good).over(whole).alias("good"),
     )
-    runs = placed.groupBy(*keys, "slice", "pos", "good").agg(
+    return placed.groupBy(*keys, "pos", "good").agg(
         F.count_if("failed").alias("failures"),
         F.min(F.when(F.col("failed"), F.col("ts"))).alias("started"),
         F.max(F.when(F.col("failed"), F.col("ts"))).alias("ended"),
     )
-    edge = (F.col("pos") == 0) | (F.col("pos") == F.col("good"))
-    return runs.where((F.col("failures") > 0) | edge)
 
 
-def join_runs(runs: DataFrame, max_failures: int = MAX_FAILURES) -> DataFrame:
-    """Runs of at least ``max_failures`` failed samples, across slices.
+def join_runs(runs: DataFrame) -> DataFrame:
+    """Runs that go on from slice to slice made one.
 
     Only the first and last run of a slice can belong to a longer one, so the window
-    over a core sees at most two rows per slice with samples.
+    over a core sees at most two rows per slice.
     """
     keys = scoped(runs, "core")
     cols = [*keys, "started", "ended", "failures"]
@@ -113,7 +104,26 @@ def join_runs(runs: DataFrame, max_failures: int = MAX_FAILURES) -> DataFrame:
         )
         .select(*cols)
     )
-    return inner.unionByName(joined).where(F.col("failures") >= max_failures)
+    return inner.unionByName(joined)
+
+
+def retry_gate(progress: DataFrame, max_failures: int = MAX_FAILURES) -> DataFrame:
+    """Runs of consecutive failed samples that end the retries of a core.
+
+    The samples of a hot core are cut into ranges of time, whose runs are found apart
+    and then joined; any other core is one slice.
+    """
+    keys = scoped(progress, "core")
+    timed = progress.where(F.col("ts").isNotNull())
+    hot = hot_keys(timed, keys)
+    if hot:
+        cut = with_range(timed, keys, ["ts", "event_id"], hot)
+        runs = join_runs(slice_runs(cut.withColumn("slice", F.col("_range"))))
+    else:
+        runs = slice_runs(timed.withColumn("slice", F.lit(0)))
+    return runs.select(*keys, "started", "ended", "failures").where(
+        F.col("failures") >= max_failures
+    )
 
 
 def retry_verdict(gates: DataFrame, queryable: DataFrame) -> DataFrame:
@@ -128,10 +138,3 @@ def retry_verdict(gates: DataFrame, queryable: DataFrame) -> DataFrame:
     return cores.join(answers, on, "left").select(
         *on, F.when(F.col("answers"), "unverified").otherwise("failed").alias("verdict")
     )
-
-
-def retry_gate(
-    progress: DataFrame, max_failures: int = MAX_FAILURES, slice_length: str = SLICE
-) -> DataFrame:
-    """Runs of consecutive failed samples that end the retries of a core."""
-    return join_runs(slice_runs(progress, slice_length), max_failures)

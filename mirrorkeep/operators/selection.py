@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import DEFAULT_COLLECTION, scoped, shared_scope
@@ -21,6 +21,25 @@ def requested(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "collection string")
 
 
+def selected(
+    names: Sequence[str] = ("all",),
+    include: str | None = None,
+    exclude: str | None = None,
+) -> Column:
+    """The condition behind ``select_collections``, for pruning other tables by collection."""
+    if not names:
+        raise ValueError("no collections specified")
+    name = F.col("collection")
+    if names[0].lower() != "all":
+        return name.isin(list(names))
+    out = name != DEFAULT_COLLECTION
+    if include and include.strip():
+        out = out & name.contains(include)
+    if exclude and exclude.strip():
+        out = out & ~name.contains(exclude)
+    return out
+
+
 def select_collections(
     inv: DataFrame,
     names: Sequence[str] = ("all",),
@@ -33,16 +52,10 @@ def select_collections(
     the default one, kept when they contain ``include`` and dropped when they
     contain ``exclude``. Any other list is taken as given, without the filters.
     """
-    if not names:
-        raise ValueError("no collections specified")
+    condition = selected(names, include, exclude)
     if names[0].lower() != "all":
         return requested(inv.sparkSession, names).distinct()
-    out = exclude_default(inv)
-    if include and include.strip():
-        out = out.where(F.col("collection").contains(include))
-    if exclude and exclude.strip():
-        out = out.where(~F.col("collection").contains(exclude))
-    return collections(out)
+    return collections(inv.where(condition))
 
 
 def missing_in_source(wanted: DataFrame, src_inv: DataFrame) -> DataFrame:

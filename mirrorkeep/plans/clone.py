@@ -12,7 +12,12 @@ from ..common import materialize, scoped, shared_dir
 from ..functions.naming import REPLICA_MARK, Rules, map_forward
 from ..operators.inventory import core_to_best, exclude_default
 from ..operators.matching import peer_match, replication_plan
-from ..operators.selection import missing_in_dest, missing_in_source, select_collections
+from ..operators.selection import (
+    missing_in_dest,
+    missing_in_source,
+    select_collections,
+    selected,
+)
 from ..operators.skew import lookup
 from ..operators.verify import content_digest, shard_parity
 
@@ -133,7 +138,10 @@ def clone_collections(
     rules: Rules = Rules(),
     skip_failures: bool = True,
     out: str | None = None,
-    **selection,
+    names: Sequence[str] = ("all",),
+    include: str | None = None,
+    exclude: str | None = None,
+    **options,
 ) -> CloneResult:
     """Copy every requested collection whose shards have a healthy source.
 
@@ -144,7 +152,11 @@ def clone_collections(
     With ``skip_failures=False`` the first failed core raises.
     """
     spark = contents.sparkSession
-    plan = plan_clone(src_inv, dst_inv, rules, strict=not skip_failures, **selection)
+    plan = plan_clone(
+        src_inv, dst_inv, rules, names, include, exclude, strict=not skip_failures, **options
+    )
+    # Prunes partitions where the contents are laid out by collection.
+    contents = contents.where(selected(names, include, exclude))
     requests = materialize(plan.requests, "clone-plan")
     plan = ClonePlan(plan.create, requests, plan.violations)
     keys = scoped(contents, "collection")

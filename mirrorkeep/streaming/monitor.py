@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..common import shared_dir
+from ..common import materialize, shared_dir
 from ..operators.monitor import (
     COPY_LIMIT,
     MAX_FAILURES,
-    SLICE,
+    POLL_SECONDS,
     completion_outcome,
     retry_gate,
 )
@@ -30,6 +30,10 @@ from ..operators.monitor import (
 # as a copy may take.
 LATENESS = COPY_LIMIT
 
+# The samples of a core are kept in slices of this length. With one poll per
+# POLL_SECONDS a slice holds at most 1,800 of them, however many the core has in all.
+SLICE = f"{1800 * POLL_SECONDS} seconds"
+
 
 def _timed(progress: DataFrame, lateness: str) -> DataFrame:
     """Samples with an event time Spark accepts for watermarks (a zoned timestamp)."""
@@ -143,9 +147,7 @@ def run_samples(
     return _append(changes, out, state, every)
 
 
-def read_retry_gate(
-    kept: DataFrame, max_failures: int = MAX_FAILURES, slice_length: str = SLICE
-) -> DataFrame:
+def read_retry_gate(kept: DataFrame, max_failures: int = MAX_FAILURES) -> DataFrame:
     """Runs of failed samples out of the table ``run_samples`` wrote.
 
     A slice occurs once per micro-batch that touched it; its latest row is complete.
@@ -161,7 +163,8 @@ def read_retry_gate(
             "s.status",
         )
     )
-    return retry_gate(samples, max_failures, slice_length)
+    # The batch operator reads its input more than once.
+    return retry_gate(materialize(samples, "samples"), max_failures)
 
 
 def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mirrorkeep.operators import monitor
+from mirrorkeep.operators.skew import hot_keys
 from mirrorkeep.streaming import monitor as streaming
 from tests.helpers import rows
 
@@ -51,13 +52,23 @@ def random_samples(seed):
     return data
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_retry_gate_against_plain_python(spark, seed):
     data = random_samples(seed)
-    got = monitor.retry_gate(samples(spark, data), max_failures=2, slice_length="30 minutes")
+    got = monitor.retry_gate(samples(spark, data), max_failures=2)
     assert rows(got) == runs_by_hand(data, 2)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_retry_gate_of_hot_cores(spark, seed, small_groups_hot):
+    data = random_samples(seed)
+    table = samples(spark, data)
+    hot = hot_keys(table, ["core"])
+    assert hot and max(k.pieces for k in hot) > 1
+    assert rows(monitor.retry_gate(table, 1)) == runs_by_hand(data, 1)
+    assert rows(monitor.retry_gate(table, 3)) == runs_by_hand(data, 3)
+
+
 def test_retry_gate_default_limit(spark):
     data = [("c", m, "failed") for m in range(9)] + [("d", m * 61, "failed") for m in range(10)]
     got = monitor.retry_gate(samples(spark, data))
@@ -122,9 +133,9 @@ def test_streams_equal_batch(spark, folder, tmp_path):
     last = streaming.read_latest(run(streaming.run_latest, "latest"))
     assert rows(last) == rows(monitor.latest_status(table))
     gate = streaming.read_retry_gate(
-        run(streaming.run_samples, "samples", slice_length="30 minutes"), 2, "30 minutes"
+        run(streaming.run_samples, "samples", slice_length="30 minutes"), 2
     )
-    assert rows(gate) == rows(monitor.retry_gate(table, 2, "30 minutes")) == runs_by_hand(data, 2)
+    assert rows(gate) == rows(monitor.retry_gate(table, 2)) == runs_by_hand(data, 2)
 
 
 def test_alarms_go_off_without_further_samples(spark, folder, tmp_path):
