@@ -135,10 +135,11 @@ def diagnostics_summary(diagnostics: DataFrame, by: str = "status") -> DataFrame
 
 
 def content_digest(contents: DataFrame) -> DataFrame:
-    """Documents and content digest of each collection and shard."""
-    return contents.groupBy(*scoped(contents, "collection", "shard")).agg(
-        F.count(F.lit(1)).alias("docs"),
-        table_digest(F.col("doc_id"), F.col("text")).alias("digest"),
+    """Documents of each collection and shard, and a digest of all their other columns."""
+    by = scoped(contents, "collection", "shard")
+    values = [F.col(c) for c in sorted(contents.columns) if c not in by]
+    return contents.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("docs"), table_digest(*values).alias("digest")
     )
 
 

@@ -82,8 +82,7 @@ def plan_clone(
     """The plan of a clone, without writing any content: the dry run.
 
     The two inventories it works on go to the shared folder, as each is used in
-    several steps.
-    ``strict`` raises on the first unknown collection or shard count that differs;
+    several steps. ``strict`` raises on the first unknown collection or shard count that differs;
     otherwise the collections concerned are left out and listed as violations.
     """
     wanted = select_collections(src_inv, names, include, exclude)

@@ -94,6 +94,28 @@ def test_copy_is_lossless_and_renamed(spark, source, target, documents):
     assert all(r["same"] for r in parity.collect())
 
 
+def test_pairs_of_clusters_are_copied_apart(spark, source, documents):
+    def two(df, west):
+        return df.withColumn("cluster", F.lit("east")).unionByName(
+            west.withColumn("cluster", F.lit("west"))
+        )
+
+    # In the west, a has one shard that is up, and other documents.
+    src = two(source, inv(spark, ("a", "shard1", [1], [1])))
+    docs = two(documents, contents(spark, ("a", "shard1", 7)))
+    empty = two(spark.createDataFrame([], INV), spark.createDataFrame([], INV))
+    done = clone.clone_collections(src, empty, docs, parse_rules("default:_new"))
+    got = rows(done.diagnostics.where("docs > 0"), "cluster", "dest_core", "source_core", "docs")
+    assert got == [
+        ("east", "a_new_shard1_replica1", "a_shard1_replica2", 50),
+        ("east", "a_new_shard2_replica1", "a_shard2_replica1", 3),
+        ("east", "c_new_shard1_replica1", "c_shard1_replica1", 2),
+        ("west", "a_new_shard1_replica1", "a_shard1_replica1", 7),
+    ]
+    copy = spark.read.parquet(done.path)
+    assert copy.where("cluster = 'west'").count() == 7
+
+
 def test_one_changed_text_is_seen(spark, documents):
     other = documents.withColumn(
         "text", F.when(F.col("doc_id") == 49, "changed").otherwise(F.col("text"))
@@ -102,6 +124,22 @@ def test_one_changed_text_is_seen(spark, documents):
     assert rows(bad, "collection", "shard", "source_docs", "dest_docs") == [("a", "shard1", 50, 50)]
 
 
+def test_null_is_not_empty_text(spark):
+    def one(text):
+        return spark.createDataFrame(
+            [("a", "s", 1, text, 5)],
+            "collection string, shard string, doc_id long, text string, size int",
+        )
+
+    def same(a, b):
+        return verify.content_parity(a, b).first()["same"]
+
+    assert same(one(""), one(""))
+    assert same(one(None), one(None))
+    assert not same(one(""), one(None))
+    assert not same(one("x"), one("x").withColumn("size", F.lit(6)))
+
+
 def test_hot_shard_is_cut_and_whole(spark, source, documents, small_groups_hot):
     empty = spark.createDataFrame([], INV)
     done = clone.clone_collections(source, empty, documents, names=["a"])

@@ -123,7 +123,7 @@ from (select source||'_collection' as collection, 'shard'||cast(d.doc_id%4+1 as
       from documents d left join labels l on l.doc_id=d.doc_id group by 1, 2, 3) t""",
     "content_sizes": """
 select collection, shard, count(*) as docs,
-  cast(sum(cast('0x'||substr(md5(cast(doc_id as varchar)||chr(31)||text),1,15) as bigint)) as varchar) as digest
+  cast(sum(cast('0x'||substr(md5(cast(doc_id as varchar)||chr(31)||cast(n_chars as varchar)||chr(31)||text),1,15) as bigint)) as varchar) as digest
 from contents group by 1, 2""",
     "content_best": """
 select collection, shard, min_by(core, rn) as best_core from content_inv where available group by 1, 2""",
