@@ -455,6 +455,7 @@ select r.collection,
 from (values ('collection1'), ('src1_collection'), ('src7_collection'), ('no_such_collection')) r(collection)""",
     "completion_monitor": _COMPLETION,
     "completion_monitor_stream": _COMPLETION,
+    "completion_summary": f"select outcome, count(*) as requests from ({_COMPLETION}) t group by 1",
     "latest_status": _LATEST,
     "latest_status_stream": _LATEST,
     "retry_gate": "select * from failed_runs",

@@ -547,6 +547,11 @@ def completion_monitor(spark, sf_dir):
     return monitor.completion_monitor(t.progress(spark, sf_dir), TIMEOUT)
 
 
+@query
+def completion_summary(spark, sf_dir):
+    return monitor.completion_summary(completion_monitor(spark, sf_dir))
+
+
 @query
 def latest_status(spark, sf_dir):
     return monitor.latest_status(t.progress(spark, sf_dir))
