@@ -122,6 +122,15 @@ def test_ranges_follow_the_order(spark, small_groups_hot, monkeypatch, block):
     assert max(sizes) < 600
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    class Cluster:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster, "x")
+
+
 def test_folders_come_from_the_shared_setting(spark, left):
     root = spark.conf.get("spark.checkpoint.dir")
     a, b = shared_dir(spark, "x"), shared_dir(spark, "x")
