@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorkeep.llm import line_dedup, mixing, packing, quality_model, quality_rules, sharding, token_counts, topk_search
+from mirrorkeep.llm import jaccard_join, line_dedup, mixing, packing, quality_model, quality_rules, sharding, token_counts, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,8 @@ result AS (
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept_sha256
 FROM documents LEFT JOIN result USING (doc_id)
 """
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
