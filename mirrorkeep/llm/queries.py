@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorkeep.llm import jaccard_join, line_dedup, mixing, packing, quality_model, quality_rules, sharding, token_counts, topk_search
+from mirrorkeep.llm import jaccard_join, line_dedup, mixing, packing, phrase_automata, quality_model, quality_rules, sharding, token_counts, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,25 @@ FROM documents LEFT JOIN result USING (doc_id)
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_phrase_dedup"] = f"""
+WITH d AS (SELECT doc_id, string_split_regex(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), ' ') AS words, text FROM documents),
+w AS (SELECT doc_id, CASE WHEN text IS NULL OR words = [''] THEN [] ELSE words END AS words FROM d),
+word AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM w),
+win AS (SELECT doc_id, unnest(range(greatest(len(words) - {phrase_automata.WINDOW - 1}, 0))) AS i, words FROM w),
+hashed AS (SELECT doc_id, i, md5(array_to_string(words[i + 1 : i + {phrase_automata.WINDOW}], ' ')) AS h FROM win),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM hashed) WHERE n > 1),
+near AS (SELECT word.doc_id, word.i, word.word, max(again.i) OVER (PARTITION BY word.doc_id ORDER BY word.i ROWS BETWEEN {phrase_automata.WINDOW - 1} PRECEDING AND CURRENT ROW) AS a
+         FROM word LEFT JOIN again ON word.doc_id = again.doc_id AND word.i = again.i),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(a) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (a IS NULL) AS kept FROM near GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
