@@ -126,9 +126,9 @@ def mix(docs: DataFrame, weights: Mapping[str, int], rest_weight: int = REST_WEI
     slots = F.broadcast(timetable(stats))
     within = W.partitionBy("stream", "chunk").orderBy("order", "row.doc_id", "row.text").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(before, ["stream", "chunk"])
-    start = F.col("before") + F.col("inside")
-    placed = placed.withColumn("block", F.floor(start / block_bytes)).withColumn("at", start % block_bytes)
-    placed = placed.withColumn("round", F.floor(F.col("block") / F.col("weight"))).withColumn("place", F.col("block") % F.col("weight"))
+    placed = placed.withColumn("start", F.col("before") + F.col("inside"))
+    placed = placed.withColumn("block", F.expr(f"start div {block_bytes}")).withColumn("at", F.col("start") % block_bytes)
+    placed = placed.withColumn("round", F.expr("block div weight")).withColumn("place", F.col("block") % F.col("weight"))
     in_round = (F.col("round") >= F.col("first_round")) & (F.col("round") < F.col("end_round"))
     met = placed.alias("p").join(slots.alias("s"), (F.col("p.stream") == F.col("s.stream")) & (F.col("p.place") == F.col("s.place")) & in_round)
     begin = F.col("base") + (F.col("round") - F.col("first_round")) * F.col("h")

@@ -136,6 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tupl
     extracted = sample.withColumn("quality", F.col("quality").cast("int")).mapInArrow(extract, fields)
     ordered = extracted.repartition(1).sortWithinPartitions("doc_id", "quality", F.hash("places"))
     model = ordered.mapInArrow(solve, "weights binary, slope double, offset double").first()
+    if model is None:
+        return fit([], np.empty(0, dtype=bool))
     return np.frombuffer(model.weights, dtype="<f8"), model.slope, model.offset
 
 
