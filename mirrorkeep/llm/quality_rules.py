@@ -180,8 +180,11 @@ def keep_good(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD)
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The texts of documents that a label calls good. Labels for unknown documents, and null ones, count for nothing."""
-    good = labels.where("quality = 1").select("doc_id")
+    """The texts of documents that a label calls good. Labels for unknown documents, and null ones, count for nothing.
+
+    Labels grow with the corpus, so the join is by sorting at every size, never by sending them to all tasks.
+    """
+    good = labels.where("quality = 1").select("doc_id").hint("merge")
     return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
 
 
