@@ -36,8 +36,8 @@ def blank(col: Column) -> Column:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one the cluster shares between its executors.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session, where
-    driver and executors are one process, may fall back to a temporary folder.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session, where driver and executors are one
+    process, may do without: it gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -48,6 +48,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own, wherever the cluster keeps it."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which ends its lineage."""
     path = shared_dir(df.sparkSession, name)

@@ -111,7 +111,7 @@ def retry_gate(progress: DataFrame, max_failures: int = MAX_FAILURES) -> DataFra
     """Runs of consecutive failed samples that end the retries of a core.
 
     The samples of a hot core are cut into ranges of time, whose runs are found apart
-    and then joined; any other core is one slice.
+    and then joined; any other core is one slice. A sample without a time has no place in the order and is left out.
     """
     keys = scoped(progress, "core")
     timed = progress.where(F.col("ts").isNotNull())

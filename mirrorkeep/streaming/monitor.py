@@ -1,43 +1,31 @@
 """Copy progress as Structured Streaming jobs.
 
-Each job keeps state per key and time bucket, so state is dropped once the watermark
-has passed the bucket, and appends what changed in a micro-batch to a table. The
-values in that table combine by minimum or maximum, so a micro-batch that is written
-again after a failure, or a key that changes in many micro-batches, does no harm.
-The reader combines them and applies the same rule as the batch operator.
+What a request or core needs of its samples combines by minimum or maximum, so the streams keep no state and need
+no watermark: each micro-batch is aggregated by itself and its partial rows are appended to a table. The reader combines
+them and applies the same rule as the batch operator. A sample may come however late, and a micro-batch that is
+written again after a failure replaces its own rows. Alarms are the exception: they depend on what time it is, and
+their job carries a table of requests from one micro-batch to the next.
+
+Tables may lead with ``cluster`` and ``snapshot_ts``; requests and cores are then kept apart by them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..common import materialize, shared_dir
-from ..operators.monitor import (
-    COPY_LIMIT,
-    MAX_FAILURES,
-    POLL_SECONDS,
-    completion_outcome,
-    retry_gate,
-)
-
-# Samples may arrive this much later than the latest one seen. Our choice: as long
-# as a copy may take.
-LATENESS = COPY_LIMIT
 
-# The samples of a core are kept in slices of this length. With one poll per
-# POLL_SECONDS a slice holds at most 1,800 of them, however many the core has in all.
-SLICE = f"{1800 * POLL_SECONDS} seconds"
+from ..common import exists, remove, scoped, shared_dir
+from ..operators.monitor import COPY_LIMIT, MAX_FAILURES, completion_outcome, retry_gate
 
+# The clock of the alarms stays this far behind the latest sample seen, so that a completion which comes a bit
+# late still counts. Our choice: as long as a copy may take.
+LATENESS = COPY_LIMIT
 
-def _timed(progress: DataFrame, lateness: str) -> DataFrame:
-    """Samples with an event time Spark accepts for watermarks (a zoned timestamp)."""
-    return progress.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+# How long a request is remembered after its last sample, so that it gives one alarm only.
+KEEP = "30 days"
 
 
 def _trigger(every: str | None) -> dict:
@@ -45,187 +33,94 @@ def _trigger(every: str | None) -> dict:
     return {"processingTime": every} if every else {"availableNow": True}
 
 
-def _append(
-    changes: DataFrame, out: str, state: str | None, every: str | None
+def _each_batch(
+    rows: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    state: str | None,
+    every: str | None,
 ) -> StreamingQuery:
-    """Append the changes of each micro-batch to ``out``."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    spark = changes.sparkSession
     return (
-        changes.writeStream.outputMode("update")
-        .option("checkpointLocation", state or shared_dir(spark, "stream-state"))
+        rows.writeStream.option("checkpointLocation", state or shared_dir(rows.sparkSession, "stream-state"))
         .foreachBatch(write)
         .trigger(**_trigger(every))
         .start()
     )
 
 
+def _append(
+    progress: DataFrame, part: Callable[[DataFrame], DataFrame], out: str, state: str | None, every: str | None
+) -> StreamingQuery:
+    """Append the partial rows of each micro-batch to ``out``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return _each_batch(progress, write, state, every)
+
+
+def completion_part(progress: DataFrame) -> DataFrame:
+    """First sample and first completion of each request among some samples."""
+    done = F.when(F.col("status") == "done", F.col("ts"))
+    return progress.groupBy(*scoped(progress, "req")).agg(
+        F.min("ts").alias("started"), F.min(done).alias("finished")
+    )
+
+
 def run_completion(
-    progress: DataFrame,
-    out: str,
-    lateness: str = LATENESS,
-    bucket: str = "1 day",
-    state: str | None = None,
-    every: str | None = None,
+    progress: DataFrame, out: str, state: str | None = None, every: str | None = None
 ) -> StreamingQuery:
-    """Keep first sample and first completion of each request and time bucket."""
-    ts = F.col("ts")
-    changes = (
-        _timed(progress, lateness)
-        .groupBy("req", F.window("ts", bucket))
-        .agg(
-            F.min(ts).alias("started"),
-            F.min(F.when(F.col("status") == "done", ts)).alias("finished"),
-        )
-        .select("req", "started", "finished")
+    """Append first sample and first completion of each request and micro-batch."""
+    return _append(progress, completion_part, out, state, every)
+
+
+def merge_completion(kept: DataFrame) -> DataFrame:
+    """Partial rows made one per request."""
+    return kept.groupBy(*scoped(kept, "req")).agg(
+        F.min("started").alias("started"), F.min("finished").alias("finished")
     )
-    return _append(changes, out, state, every)
 
 
 def read_completion(kept: DataFrame, timeout: str = COPY_LIMIT) -> DataFrame:
     """Outcome of each request out of the table ``run_completion`` wrote."""
-    return (
-        kept.groupBy("req")
-        .agg(
-            F.min("started").cast("timestamp_ntz").alias("started"),
-            F.min("finished").cast("timestamp_ntz").alias("finished"),
-        )
-        .withColumn("outcome", completion_outcome(timeout))
-    )
+    return merge_completion(kept).withColumn("outcome", completion_outcome(timeout))
+
+
+def latest_part(progress: DataFrame) -> DataFrame:
+    """Last sample of each core among some samples."""
+    last = F.max(F.struct("ts", "event_id", "status")).alias("last")
+    return progress.groupBy(*scoped(progress, "core")).agg(last)
 
 
 def run_latest(
-    progress: DataFrame,
-    out: str,
-    lateness: str = LATENESS,
-    bucket: str = "1 day",
-    state: str | None = None,
-    every: str | None = None,
+    progress: DataFrame, out: str, state: str | None = None, every: str | None = None
 ) -> StreamingQuery:
-    """Keep the last sample of each core and time bucket."""
-    changes = (
-        _timed(progress, lateness)
-        .groupBy("core", F.window("ts", bucket))
-        .agg(F.max(F.struct("ts", "event_id", "status")).alias("last"))
-        .select("core", "last")
-    )
-    return _append(changes, out, state, every)
+    """Append the last sample of each core and micro-batch."""
+    return _append(progress, latest_part, out, state, every)
 
 
 def read_latest(kept: DataFrame) -> DataFrame:
     """Most recent sample of each core out of the table ``run_latest`` wrote."""
-    return (
-        kept.groupBy("core")
-        .agg(F.max("last").alias("last"))
-        .select(
-            "core",
-            F.col("last.ts").cast("timestamp_ntz").alias("ts"),
-            "last.event_id",
-            "last.status",
-        )
-    )
+    keys = scoped(kept, "core")
+    merged = kept.groupBy(*keys).agg(F.max("last").alias("last"))
+    return merged.select(*keys, "last.ts", "last.event_id", "last.status")
 
 
 def run_samples(
-    progress: DataFrame,
-    out: str,
-    lateness: str = LATENESS,
-    slice_length: str = SLICE,
-    state: str | None = None,
-    every: str | None = None,
+    progress: DataFrame, out: str, state: str | None = None, every: str | None = None
 ) -> StreamingQuery:
-    """Keep the samples of each core and slice; a slice holds a bounded number of polls."""
-    changes = (
-        _timed(progress, lateness)
-        .groupBy("core", F.window("ts", slice_length))
-        .agg(F.collect_list(F.struct("ts", "event_id", "status")).alias("samples"))
-        .select("core", F.col("window.start").alias("slice"), "samples")
-    )
-    return _append(changes, out, state, every)
+    """Append the samples as they come."""
 
+    def slim(batch: DataFrame) -> DataFrame:
+        return batch.select(*scoped(batch, "core"), "event_id", "ts", "status")
 
-def read_retry_gate(kept: DataFrame, max_failures: int = MAX_FAILURES) -> DataFrame:
-    """Runs of failed samples out of the table ``run_samples`` wrote.
-
-    A slice occurs once per micro-batch that touched it; its latest row is complete.
-    """
-    samples = (
-        kept.groupBy("core", "slice")
-        .agg(F.max_by("samples", "batch").alias("samples"))
-        .select("core", F.explode("samples").alias("s"))
-        .select(
-            "core",
-            F.col("s.ts").cast("timestamp_ntz").alias("ts"),
-            "s.event_id",
-            "s.status",
-        )
-    )
-    # The batch operator reads its input more than once.
-    return retry_gate(materialize(samples, "samples"), max_failures)
+    return _append(progress, slim, out, state, every)
 
 
-def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reduce each batch of samples to one row per request before the shuffle."""
-    for pdf in frames:
-        pdf = pdf.assign(finished=pdf["ts"].where(pdf["status"] == "done"))
-        out = pdf.groupby("req", as_index=False).agg(
-            ts=("ts", "max"), started=("ts", "min"), finished=("finished", "min")
-        )
-        yield out[["req", "ts", "started", "finished"]]
-
-
-def overdue_alarms(
-    progress: DataFrame, timeout: str = COPY_LIMIT, lateness: str = LATENESS
-) -> DataFrame:
-    """A row for each request that is not done ``timeout`` after its first sample.
-
-    The alarm goes off when the watermark passes the deadline, without any further
-    sample of the request. State is two times per request and ends with the alarm.
-    """
-    limit = pd.Timedelta(timeout)
-
-    def step(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            started, finished = state.get
-            state.remove()
-            deadline = pd.Timestamp(started, unit="us") + limit
-            if finished is None or pd.Timestamp(finished, unit="us") > deadline:
-                yield pd.DataFrame(
-                    {"req": [key[0]], "started": [pd.Timestamp(started, unit="us")]}
-                )
-            return
-        started, finished = state.get if state.exists else (None, None)
-        for pdf in frames:
-            first, done = pdf["started"].min(), pdf["finished"].min()
-            first = first.value // 1000
-            started = first if started is None else min(started, first)
-            if not pd.isna(done):
-                done = done.value // 1000
-                finished = done if finished is None else min(finished, done)
-        state.update((started, finished))
-        deadline = started // 1000 + limit // pd.Timedelta(milliseconds=1)
-        # A deadline the watermark has passed already fires with the next micro-batch.
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-
-    combined = progress.select(
-        "req", F.col("ts").cast("timestamp").alias("ts"), "status"
-    ).mapInPandas(_combine, "req string, ts timestamp, started timestamp, finished timestamp")
-    return (
-        combined.withWatermark("ts", lateness)
-        .groupBy("req")
-        .applyInPandasWithState(
-            step,
-            "req string, started timestamp",
-            "started long, finished long",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+def read_retry_gate(kept: DataFrame, max_failures: int = MAX_FAILURES) -> DataFrame:
+    """Runs of failed samples out of the table ``run_samples`` wrote; a sample polled twice counts once."""
+    keys = scoped(kept, "core")
+    samples = kept.dropDuplicates([*keys, "event_id"]).select(*keys, "event_id", "ts", "status")
+    return retry_gate(samples, max_failures)
 
 
 def run_overdue(
@@ -233,18 +128,46 @@ def run_overdue(
     out: str,
     timeout: str = COPY_LIMIT,
     lateness: str = LATENESS,
+    keep: str = KEEP,
     state: str | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Write the alarms to ``out``."""
-    alarms = overdue_alarms(progress, timeout, lateness)
-    return (
-        alarms.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
-        .option(
-            "checkpointLocation", state or shared_dir(alarms.sparkSession, "stream-state")
+    """An alarm for each request that is not done ``timeout`` after its first sample.
+
+    The clock is the latest time of any sample, less ``lateness``. A micro-batch that takes the clock past a
+    deadline writes the alarm to ``out``/alarms, whether it has samples of the request or not. The requests seen, with
+    a mark on those that had their alarm, are carried in ``out``/requests, a table per micro-batch of which two are
+    kept; a request is forgotten ``keep`` after its last sample. Samples without a time are left out.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, keys = batch.sparkSession, scoped(batch, "req")
+        batch = batch.where(F.col("ts").isNotNull())
+        part = completion_part(batch).join(batch.groupBy(*keys).agg(F.max("ts").alias("seen")), keys)
+        known = part.withColumn("alarmed", F.lit(False))
+        before, now = (f"{out}/requests/batch={n}" for n in (number - 1, number))
+        if exists(spark, before):
+            known = known.unionByName(spark.read.parquet(before).select(*known.columns))
+        merged = known.groupBy(*keys).agg(
+            F.min("started").alias("started"),
+            F.min("finished").alias("finished"),
+            F.max("seen").alias("seen"),
+            F.bool_or("alarmed").alias("alarmed"),
         )
-        .trigger(**_trigger(every))
-        .start()
-    )
+        latest = F.lit(known.agg(F.max("seen")).first()[0]).cast("timestamp_ntz")
+        deadline = F.col("started") + F.expr(f"interval {timeout}")
+        late = F.col("finished").isNull() | (F.col("finished") > deadline)
+        fires = ~F.col("alarmed") & late & (deadline <= latest - F.expr(f"interval {lateness}"))
+        remembered = F.col("seen") >= latest - F.expr(f"interval {keep}")
+        fired = merged.where(remembered).withColumn("fires", fires)
+        fired.withColumn("alarmed", F.col("alarmed") | F.col("fires")).write.mode("overwrite").parquet(now)
+        alarms = spark.read.parquet(now).where("fires").select(*keys, "started")
+        alarms.write.mode("overwrite").parquet(f"{out}/alarms/batch={number}")
+        remove(spark, f"{out}/requests/batch={number - 2}")
+
+    return _each_batch(progress, write, state, every)
+
+
+def read_alarms(alarms: DataFrame) -> DataFrame:
+    """One row per alarm out of the ``alarms`` table ``run_overdue`` wrote."""
+    return alarms.select(*scoped(alarms, "req"), "started")

@@ -132,35 +132,84 @@ def test_streams_equal_batch(spark, folder, tmp_path):
     assert rows(done) == rows(monitor.completion_monitor(table))
     last = streaming.read_latest(run(streaming.run_latest, "latest"))
     assert rows(last) == rows(monitor.latest_status(table))
-    gate = streaming.read_retry_gate(
-        run(streaming.run_samples, "samples", slice_length="30 minutes"), 2
-    )
+    gate = streaming.read_retry_gate(run(streaming.run_samples, "samples"), 2)
     assert rows(gate) == rows(monitor.retry_gate(table, 2)) == runs_by_hand(data, 2)
 
 
-def test_alarms_go_off_without_further_samples(spark, folder, tmp_path):
-    table, stream, _ = folder
-    out = str(tmp_path / "alarms")
-    streaming.run_overdue(stream, out, timeout="20 minutes").awaitTermination()
-    alarms = spark.read.parquet(out).select("req", F.col("started").cast("timestamp_ntz"))
-    latest = table.agg(F.max("ts")).first()[0]
-    overdue = monitor.completion_monitor(table).where("outcome <> 'done'").where(
-        F.col("started") + F.expr("interval 20 minutes")
-        <= F.lit(latest - dt.timedelta(minutes=20)).cast("timestamp_ntz")
-    )
-    assert rows(alarms) == rows(overdue, "req", "started") != []
+def files_one_by_one(spark, tmp_path, files, run, **options):
+    """Run a stream over files that arrive one after the other; what it has written after each."""
+    path, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for data in files:
+        table = samples(spark, data) if isinstance(data, list) else data
+        table.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(table.schema).parquet(path)
+        run(stream, state=state, **options).awaitTermination()
+        yield spark.read.parquet(path)
 
 
-def test_samples_later_than_the_watermark_are_left_out(spark, tmp_path):
-    path, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+def test_late_samples_count(spark, tmp_path):
+    out = str(tmp_path / "out")
     files = [("c", 0, "replicating")], [("c", 3 * 1440, "failed")], [("c", 5, "done")]
-    for data in files:
-        table = samples(spark, data)
-        table.write.mode("append").parquet(path)
-        stream = spark.readStream.schema(table.schema).parquet(path)
-        streaming.run_completion(stream, out, state=state).awaitTermination()
-    got = streaming.read_completion(spark.read.parquet(out))
-    assert rows(got, "started", "outcome") == [(T0, "never")]
+    run = lambda stream, **o: streaming.run_completion(stream, out, **o)
+    outcomes = []
+    for _ in files_one_by_one(spark, tmp_path, files, run):
+        got = streaming.read_completion(spark.read.parquet(out))
+        outcomes += rows(got, "started", "outcome")
+    assert outcomes == [(T0, "never"), (T0, "never"), (T0, "done")]
+
+
+def overdue(table, timeout, lateness):
+    """Requests that are past their deadline by the latest sample, less the lateness."""
+    latest = table.agg(F.max("ts")).first()[0]
+    late = monitor.completion_monitor(table, f"{timeout} minutes").where("outcome <> 'done'")
+    keys = [c for c in ("cluster", "req", "started") if c in late.columns]
+    deadline = F.col("started") + F.expr(f"interval {timeout} minutes")
+    return rows(late.where(deadline <= F.lit(latest - dt.timedelta(minutes=lateness)).cast("timestamp_ntz")), *keys)
+
+
+def test_alarms_after_each_file(spark, tmp_path):
+    """One alarm per request, in the micro-batch that takes the clock past the deadline, also for one that is still polled."""
+    files = [
+        [("stuck", 60 * f, "replicating")] + [(f"new{f}", 60 * f + 1, "replicating")] + [(f"ok{f}", 60 * f, "replicating"), (f"ok{f}", 60 * f + 9, "done")]
+        for f in range(6)
+    ]
+    out, counts = str(tmp_path / "out"), []
+    run = lambda stream, **o: streaming.run_overdue(stream, out, timeout="20 minutes", lateness="20 minutes", **o)
+    for table in files_one_by_one(spark, tmp_path, files, run):
+        alarms = streaming.read_alarms(spark.read.parquet(f"{out}/alarms"))
+        assert rows(alarms, "req", "started") == overdue(table, 20, 20)
+        counts.append(alarms.count())
+    assert counts == [0, 2, 3, 4, 5, 6]
+    assert len(list((tmp_path / "out" / "requests").glob("batch=*"))) == 2
+
+
+def test_alarm_comes_once_and_restarts_do_no_harm(spark, folder, tmp_path):
+    table, stream, _ = folder
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for _ in range(2):
+        streaming.run_overdue(stream, out, timeout="20 minutes", state=state).awaitTermination()
+    alarms = streaming.read_alarms(spark.read.parquet(f"{out}/alarms"))
+    assert rows(alarms, "req", "started") == overdue(table, 20, 20) != []
+
+
+def test_streams_keep_clusters_apart(spark, tmp_path):
+    east = samples(spark, [("c", 0, "replicating"), ("c", 90, "failed")]).withColumn("cluster", F.lit("east"))
+    west = samples(spark, [("c", 30, "replicating"), ("c", 40, "done")]).withColumn("cluster", F.lit("west"))
+    table = east.unionByName(west)
+    jobs = {
+        "completion": (streaming.run_completion, streaming.read_completion, monitor.completion_monitor),
+        "latest": (streaming.run_latest, streaming.read_latest, monitor.latest_status),
+        "samples": (streaming.run_samples, lambda t: streaming.read_retry_gate(t, 1), lambda t: monitor.retry_gate(t, 1)),
+    }
+    path = str(tmp_path / "in")
+    table.write.parquet(path)
+    for name, (run, read, batch) in jobs.items():
+        run(spark.readStream.schema(table.schema).parquet(path), str(tmp_path / name)).awaitTermination()
+        got = read(spark.read.parquet(str(tmp_path / name)))
+        assert "cluster" in got.columns and rows(got, *batch(table).columns) == rows(batch(table))
+    out = str(tmp_path / "alarms")
+    streaming.run_overdue(spark.readStream.schema(table.schema).parquet(path), out, timeout="20 minutes").awaitTermination()
+    assert rows(streaming.read_alarms(spark.read.parquet(f"{out}/alarms"))) == [("east", "c/r", T0)]
 
 
 def test_restarted_stream_goes_on(spark, folder, tmp_path):
@@ -168,6 +217,4 @@ def test_restarted_stream_goes_on(spark, folder, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     for _ in range(2):
         streaming.run_latest(stream, out, state=state).awaitTermination()
-    assert rows(streaming.read_latest(spark.read.parquet(out))) == rows(
-        monitor.latest_status(table)
-    )
+    assert rows(streaming.read_latest(spark.read.parquet(out))) == rows(monitor.latest_status(table))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorkeep.common import materialize
+from mirrorkeep.common import materialize, shared_dir
 from mirrorkeep.functions.naming import map_forward, parse_rules
 from mirrorkeep.operators.skew import lookup, numbered
 
@@ -242,9 +242,20 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    # A pattern matches one file as well as a folder of files; a stream takes no bare file.
-    return samples(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))
+    """The events as files in order of time, which a stream takes one by one."""
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    folder = shared_dir(spark, "event-files")
+    cuts = [low + (high - low) * i / 4 for i in range(1, 4)]
+    for begin, end in zip([None, *cuts], [*cuts, None]):
+        part = events
+        if begin is not None:
+            part = part.where(F.col("ts") >= F.lit(begin).cast("timestamp_ntz"))
+        if end is not None:
+            part = part.where(F.col("ts") < F.lit(end).cast("timestamp_ntz"))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return samples(stream.parquet(folder))
 
 
 def host_map(spark: SparkSession, sf_dir: str) -> DataFrame:

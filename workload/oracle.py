@@ -93,6 +93,11 @@ left join src_inv r2 on r2.collection=w.collection and r2.core=split_part(w.core
 select collection, shard, core as best_core, node as best_node
 from (select *, row_number() over (partition by collection, shard order by rn, core) as place
       from src_inv where available) t
+where place=1""",
+    "best_of_all": """
+select collection, shard, core as best_core, node as best_node
+from (select *, row_number() over (partition by collection, shard order by rn, core) as place
+      from inv where available) t
 where place=1""",
     "plan": """
 select p.dest_collection, p.shard, p.dest_node, p.dest_core, p.collection,
@@ -307,9 +312,9 @@ select collection, dest_collection, back, sources from back where back<>collecti
 select k.collection, k.shard_key, coalesce(a.core, b.core) as core,
   case when a.core is not null then a.node else b.node end as node,
   case when a.core is not null then 'replica1' when b.core is not null then 'replica2' end as how
-from (select distinct collection, split_part(core,'_replica',1) as shard_key from src_inv) k
-left join src_inv a on a.collection=k.collection and a.core=k.shard_key||'_replica1'
-left join src_inv b on b.collection=k.collection and b.core=k.shard_key||'_replica2'""",
+from (select distinct collection, split_part(core,'_replica',1) as shard_key from inv) k
+left join inv a on a.collection=k.collection and a.core=k.shard_key||'_replica1'
+left join inv b on b.collection=k.collection and b.core=k.shard_key||'_replica2'""",
     "replication_plan": "select * from plan",
     "alias_diff": """
 select s.alias, s.target as new_target, d.target as dest_target,
@@ -385,7 +390,7 @@ select date_trunc('year', last_modified) as snapshot_ts, collection, shard,
   coalesce(min_by(node_name||','||core, rn) filter (where lower(leader)='true'), 'NO_LEADER') as leader
 from inv group by 1, 2, 3""",
     "core_to_best_by_snapshot": """
-with yearly as (select *, date_trunc('year', last_modified) as snapshot_ts from src_inv),
+with yearly as (select *, date_trunc('year', last_modified) as snapshot_ts from inv),
 picked as (
   select *, row_number() over (partition by snapshot_ts, collection, shard
               order by version desc, last_modified desc, core) as place
@@ -393,16 +398,16 @@ picked as (
 select y.snapshot_ts, y.collection, y.shard, y.core, b.core as best_core, b.node as best_node
 from yearly y left join picked b
   on b.place=1 and b.snapshot_ts=y.snapshot_ts and b.collection=y.collection and b.shard=y.shard""",
-    "best_replica": "select * from best",
+    "best_replica": "select * from best_of_all",
     "best_replica_freshest": """
 select collection, shard, core as best_core, node as best_node
 from (select *, row_number() over (partition by collection, shard
                order by version desc, last_modified desc, core) as place
-      from src_inv where available) t
+      from inv where available) t
 where place=1""",
     "core_to_best": """
 select s.collection, s.shard, s.core, b.best_core, b.best_node
-from src_inv s left join best b on b.collection=s.collection and b.shard=s.shard""",
+from inv s left join best_of_all b on b.collection=s.collection and b.shard=s.shard""",
     "data_match": f"""
 select src_core, dst_core, not (src_up and dst_up) as unavailable, src_version > dst_version as behind,
   drift, src_up and dst_up and src_version <= dst_version and not drift as ok, {_REASON} as reason
@@ -417,7 +422,9 @@ from inv""",
     "is_replicating": """
 select event_id, event_type not in ('purchase','view') as replicating from events""",
     "blank_test": """
-select doc_id, not regexp_matches(split_part(text, chr(10), 2), '\\S') as blank from documents""",
+select doc_id, i::int as line, not regexp_matches(l, '\\S') as blank
+from (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(len(string_split(text, chr(10))))) as i
+      from documents) t""",
     "json_path": "select doc_id, n_chars as found from documents",
     "source_gate": """
 select core, leader is not null and available as ok,

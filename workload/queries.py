@@ -234,7 +234,7 @@ def peer_match(spark, sf_dir):
 
 @query
 def symmetry_fallback(spark, sf_dir):
-    return matching.symmetry_table(t.src_inv(t.inv(spark, sf_dir))).select(
+    return matching.symmetry_table(t.inv(spark, sf_dir)).select(
         "collection",
         "shard_key",
         F.col("instead.core").alias("core"),
@@ -378,22 +378,22 @@ def leader_by_snapshot(spark, sf_dir):
 def core_to_best_by_snapshot(spark, sf_dir):
     yearly = F.date_trunc("year", "last_modified").cast("timestamp_ntz")
     inv = t.stored_inv(spark, sf_dir).withColumn("snapshot_ts", yearly)
-    return inventory.core_to_best(t.src_inv(inv), policy="freshest")
+    return inventory.core_to_best(inv, policy="freshest")
 
 
 @query
 def best_replica(spark, sf_dir):
-    return inventory.best_replica(t.src_inv(t.inv(spark, sf_dir)))
+    return inventory.best_replica(t.inv(spark, sf_dir))
 
 
 @query
 def best_replica_freshest(spark, sf_dir):
-    return inventory.best_replica(t.src_inv(t.inv(spark, sf_dir)), policy="freshest")
+    return inventory.best_replica(t.inv(spark, sf_dir), policy="freshest")
 
 
 @query
 def core_to_best(spark, sf_dir):
-    return inventory.core_to_best(t.src_inv(t.stored_inv(spark, sf_dir)))
+    return inventory.core_to_best(t.stored_inv(spark, sf_dir))
 
 
 # Status checks
@@ -452,8 +452,8 @@ def replicating_flags(spark, sf_dir):
 
 @query
 def blank_test(spark, sf_dir):
-    part = F.split_part("text", F.lit("\n"), F.lit(2))
-    return t.table(spark, sf_dir, "documents").select("doc_id", blank(part).alias("blank"))
+    lines = t.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select("doc_id", "line", blank(F.col("text")).alias("blank"))
 
 
 @query
@@ -596,5 +596,7 @@ def retry_gate_stream(spark, sf_dir):
 
 @query
 def overdue_alarms_stream(spark, sf_dir):
-    alarms = _streamed(spark, sf_dir, streaming.run_overdue, timeout=TIMEOUT)
-    return alarms.select("req", F.col("started").cast("timestamp_ntz").alias("started"))
+    out = shared_dir(spark, "alarms")
+    stream = t.progress_stream(spark, sf_dir)
+    streaming.run_overdue(stream, out, timeout=TIMEOUT).awaitTermination()
+    return streaming.read_alarms(spark.read.parquet(f"{out}/alarms"))
