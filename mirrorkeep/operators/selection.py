@@ -79,7 +79,7 @@ def missing_in_dest(
 
     ``wanted`` restricts them; names the source does not have are left to
     ``missing_in_source``. ``configs`` (collection, config) is used when there are no config rules; a
-    collection without one gets a null config, which the clone job reports.
+    collection without one gets a null config, which the clone job reports as a violation.
     """
     src = shard_count(src_inv)
     if wanted is not None:
@@ -137,9 +137,17 @@ def mapping_roundtrip(names: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def delete_plan(inv: DataFrame, names: Sequence[str]) -> DataFrame:
-    """What a delete request does to each listed collection; no names, no rows."""
+def delete_plan(inv: DataFrame, names: Sequence[str], cluster: str | None = None) -> DataFrame:
+    """What a delete request does to each listed collection; no names, no rows.
+
+    ``inv`` is any table with the collections that are there. If it has a cluster column, the request is for one
+    ``cluster``, which leads the rows of the plan.
+    """
     spark = inv.sparkSession
+    if "cluster" in inv.columns:
+        if cluster is None:
+            raise ValueError("name the cluster to delete from")
+        inv = inv.where(F.col("cluster") == cluster)
     wanted = requested(spark, names).distinct()
     there = (
         inv.where(F.col("collection").isin(list(names)))
@@ -147,7 +155,9 @@ def delete_plan(inv: DataFrame, names: Sequence[str]) -> DataFrame:
         .distinct()
         .withColumn("there", F.lit(True))
     )
+    scope = [] if cluster is None else [F.lit(cluster).alias("cluster")]
     return wanted.join(there, "collection", "left").select(
+        *scope,
         "collection",
         F.when(F.col("collection") == DEFAULT_COLLECTION, "protected")
         .when(F.col("there"), "drop")

@@ -22,14 +22,6 @@ from ..common import materialize
 MIN_ROWS_CONF = "mirrorkeep.skew.minRows"
 MIN_ROWS_DEFAULT = "1000000"
 
-# Upper limit of ranges one hot group is cut into by `numbered`, and the number of
-# ranges per block. A row looks for its block first and for its range in the block.
-MAX_RANGES = 4096
-BLOCK = 64
-
-# Sampled rows per range. They only place the cuts.
-SAMPLE_PER_RANGE = 8
-
 
 @dataclass(frozen=True)
 class HotKey:
@@ -123,9 +115,9 @@ def lookup(
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """``row_number`` per group, for groups larger than one task should sort.
 
-    A hot group is cut into ranges of its order columns. Each range is numbered
-    by itself and shifted by the rows in the ranges before it, which gives the
-    same numbers as one window over the whole group.
+    A hot group is cut into ranges of its order columns, as many as it has pieces. Each
+    range is numbered by itself and shifted by the rows in the ranges before it, which
+    gives the same numbers as one window over the whole group.
     """
     hot = hot_keys(df, keys)
     if not hot:
@@ -164,55 +156,17 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
 def with_range(
     df: DataFrame, keys: list[str], order: list[str], hot: list[HotKey]
 ) -> DataFrame:
-    """Add ``_cut``, is the row in a hot group, and ``_range``, its range there (else 0)."""
-    at = F.struct(*order)
-    placed = df.withColumn("_hot", key_hash(keys)).join(
-        F.broadcast(_split_points(df, keys, order, hot)), "_hot", "left"
-    )
-    block = F.size(F.filter("_blocks", lambda s: s < at)) * BLOCK
-    rest = F.size(
-        F.filter(F.slice("_splits", F.col("_block") + 1, F.lit(BLOCK)), lambda s: s < at)
-    )
-    return (
-        placed.withColumn("_cut", F.col("_splits").isNotNull())
-        .withColumn("_block", F.when(F.col("_cut"), block).otherwise(0))
-        .withColumn("_range", F.when(F.col("_cut"), F.col("_block") + rest).otherwise(0))
-        .drop("_hot", "_splits", "_blocks", "_block")
-    )
-
-
-def _split_points(
-    df: DataFrame, keys: list[str], order: list[str], hot: list[HotKey]
-) -> DataFrame:
-    """Per hot key, sorted split points of its order columns, and each last of a block.
+    """Add ``_cut``, is the row in a hot group, and ``_range``, its range there (else 0).
 
-    The points are picked from a sample whose size is set per range. The table is
-    written out: every use must see the same cuts, also in a task that is run again.
+    The rows of the hot groups are range-partitioned by keys and order, equal ones spread by a random number, and a
+    range is a partition. They are written out, so that every use sees the same ranges, also in a task that is run again.
     """
-    spark = df.sparkSession
-    ranges = {k.hash: min(MAX_RANGES, max(2, k.pieces)) for k in hot}
-    step = {k.hash: max(1, k.rows // (SAMPLE_PER_RANGE * ranges[k.hash])) for k in hot}
-    steps = F.broadcast(
-        spark.createDataFrame(
-            [(h, ranges[h], step[h]) for h in ranges], "_hot long, _ranges int, _step long"
-        )
-    )
-    points = (
-        df.select(key_hash(keys).alias("_hot"), F.struct(*order).alias("_at"))
-        .join(steps, "_hot")
-        .where(F.pmod(F.xxhash64("_at"), F.col("_step")) == 0)
-        .groupBy("_hot", "_ranges")
-        .agg(F.sort_array(F.collect_set("_at")).alias("_at"))
-    )
-    splits = points.select(
-        "_hot",
-        F.expr(
-            "transform(sequence(1, _ranges - 1),"
-            " i -> element_at(_at, greatest(1, cast(i * size(_at) / _ranges as int))))"
-        ).alias("_splits"),
-    )
-    blocks = F.expr(f"filter(_splits, (s, i) -> (i + 1) % {BLOCK} = 0)")
-    return materialize(splits.withColumn("_blocks", blocks), "split-points")
+    is_hot = key_hash(keys).isin([k.hash for k in hot])
+    ranges = max(2, sum(k.pieces for k in hot))
+    cut = df.where(is_hot).withColumn("_tie", F.rand(7)).repartitionByRange(ranges, *keys, *order, "_tie")
+    cut = cut.drop("_tie").withColumn("_cut", F.lit(True)).withColumn("_range", F.spark_partition_id())
+    rest = df.where(~is_hot).withColumn("_cut", F.lit(False)).withColumn("_range", F.lit(0))
+    return rest.unionByName(materialize(cut, "ranges"))
 
 
 def _holds_map(dtype: T.DataType) -> bool:

@@ -87,25 +87,26 @@ def match_data(pairs: DataFrame, source: str = "src_", replica: str = "dst_") ->
 def post_copy_check(plan: DataFrame, src_status: DataFrame, dst_status: DataFrame) -> DataFrame:
     """Diagnostics of every copy request, from the status of both cores after the copy.
 
-    The plan is a written table. The status tables have one row per core, with the
-    columns in ``STATUS``. A
+    The plan is a written table. The status tables have one row per collection and core, with the
+    columns in ``STATUS``; the same core name in another collection is another core. A
     replica without any status is ``unverified``: it may answer queries, but its data
     was not compared. A request that had no source keeps its failure.
     """
-    def side(status: DataFrame, prefix: str, key: str) -> DataFrame:
+    def side(status: DataFrame, prefix: str, collection: str, key: str) -> DataFrame:
         return status.select(
             *scoped(status),
+            F.col("collection").alias(collection),
             F.col("core").alias(key),
             *[F.col(c).alias(prefix + c) for c in STATUS],
         )
 
-    dst = side(dst_status, "dst_", "dest_core")
-    src = side(src_status, "src_", "source_core")
+    dst = side(dst_status, "dst_", "dest_collection", "dest_core")
+    src = side(src_status, "src_", "collection", "source_core")
     # Each destination core occurs once; several may share a source core.
     joined = plan.withColumnRenamed("reason", "plan_reason").join(
-        dst, shared_scope(plan, dst, "dest_core"), "left"
+        dst, shared_scope(plan, dst, "dest_collection", "dest_core"), "left"
     )
-    joined = lookup(joined, src, shared_scope(joined, src, "source_core"), weigh=plan)
+    joined = lookup(joined, src, shared_scope(joined, src, "collection", "source_core"), weigh=plan)
     verdict = data_match("src_", "dst_")
     gate_ok, _, gate_reason = source_gate(F.col("dst_core"), F.col("dst_available"))
     status = (
@@ -158,8 +159,10 @@ def content_parity(src: DataFrame, dst: DataFrame) -> DataFrame:
 
 
 def smoke_test(parity: DataFrame, inv: DataFrame) -> DataFrame:
-    """Size mismatches and unavailable cores as (check, entity, detail) rows."""
+    """Size mismatches and unavailable cores as (check, entity, detail) rows, led by the scope both tables have."""
+    scope = shared_scope(parity, inv)
     sizes = parity.where(~F.col("match")).select(
+        *scope,
         F.lit("size").alias("check"),
         F.col("alias").alias("entity"),
         F.concat(
@@ -170,6 +173,7 @@ def smoke_test(parity: DataFrame, inv: DataFrame) -> DataFrame:
         ).alias("detail"),
     )
     down = inv.where(~F.coalesce("available", F.lit(False))).select(
+        *scope,
         F.lit("health").alias("check"),
         F.col("core").alias("entity"),
         F.concat(F.lit("unavailable on "), F.coalesce("node", F.lit("unknown node"))).alias(

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import materialize, scoped, shared_dir
+from ..common import materialize, scoped, shared_dir, shared_scope
 from ..functions.naming import REPLICA_MARK, Rules, map_forward
 from ..operators.inventory import core_to_best, exclude_default
 from ..operators.matching import peer_match, replication_plan
 from ..operators.selection import (
+    mapping_roundtrip,
     missing_in_dest,
     missing_in_source,
     select_collections,
@@ -26,6 +27,9 @@ from ..operators.verify import content_digest, shard_parity
 MAX_BROADCAST_SHARDS = 500_000
 
 
+NO_PEERS = "no peers at the destination"
+
+
 @dataclass(frozen=True)
 class ClonePlan:
     """What a clone will do: collections to create, copy requests, setup violations."""
@@ -82,14 +86,26 @@ def plan_clone(
     """The plan of a clone, without writing any content: the dry run.
 
     The two inventories it works on go to the shared folder, as each is used in
-    several steps. ``strict`` raises on the first unknown collection or shard count that differs;
-    otherwise the collections concerned are left out and listed as violations.
+    several steps. Violations are collections the source does not have, that share their destination name or whose
+    destination name does not lead back to them, that would be created without a configuration (where configurations or
+    rules for them are given), and those whose shard counts differ. ``strict`` raises on the first one;
+    otherwise the collections concerned are left out and listed. A collection that is left in and has no peers at the destination
+    is a failed request, so every wanted collection is in the requests or in the violations.
     """
     wanted = select_collections(src_inv, names, include, exclude)
     unknown = missing_in_source(wanted, src_inv)
     chosen = materialize(
         lookup(src_inv, wanted, scoped(wanted, "collection"), "left_semi"), "clone-source"
     )
+    keys = scoped(chosen, "collection")
+    unclear = materialize(mapping_roundtrip(chosen.select(*keys).distinct(), rules), "unclear-names")
+    unclear = unclear.select(
+        *keys,
+        F.when(F.col("sources") > 1, F.concat(F.lit("shares its destination "), "dest_collection"))
+        .otherwise(F.concat(F.lit("destination "), "dest_collection", F.lit(" leads back to "), "back"))
+        .alias("reason"),
+    )
+    chosen = chosen.join(unclear.select(*keys), keys, "left_anti")
     create = missing_in_dest(
         chosen,
         dst_inv,
@@ -99,12 +115,17 @@ def plan_clone(
         replication_factor=replication_factor,
     )
     dst_cols = [*scoped(dst_inv, "collection"), "shard", "core", "rn", "node"]
+    no_config = create.where("false")
+    if configs is not None or config_rules.pairs or config_rules.default:
+        create = materialize(create, "clone-create")
+        no_config = create.where("config is null")
+        create = create.where("config is not null")
+        chosen = chosen.join(no_config.select(*keys), keys, "left_anti")
     after = materialize(
         dst_inv.select(*dst_cols).unionByName(created_replicas(create, chosen)), "clone-dest"
     )
-    targets = wanted.select(
-        *scoped(wanted), map_forward(F.col("collection"), rules).alias("collection")
-    ).distinct()
+    named = chosen.select(*keys, map_forward(F.col("collection"), rules).alias("dest_collection")).distinct()
+    targets = named.select(*keys[:-1], F.col("dest_collection").alias("collection"))
     on = scoped(targets, "collection")
     uneven = shard_parity(
         chosen, lookup(after, targets, on, "left_semi"), rules
@@ -117,8 +138,11 @@ def plan_clone(
             F.col("dest_shards").cast("string"),
         ).alias("reason"),
     )
-    violations = unknown.select(*on, F.lit("not at the source").alias("reason")).unionByName(
-        uneven
+    violations = (
+        unknown.select(*on, F.lit("not at the source").alias("reason"))
+        .unionByName(unclear.select(*on, "reason"))
+        .unionByName(no_config.select(*on, F.lit("no configuration").alias("reason")))
+        .unionByName(uneven)
     )
     if strict:
         bad = violations.first()
@@ -127,7 +151,15 @@ def plan_clone(
     sound = lookup(after, uneven.select(*on), on, "left_anti")
     peers = peer_match(chosen, sound, rules)
     requests = replication_plan(peers, core_to_best(chosen, policy), skip_failures=not strict)
-    return ClonePlan(create, requests, violations)
+    lonely = named.join(
+        uneven.select(*on[:-1], F.col("collection").alias("dest_collection")), [*on[:-1], "dest_collection"], "left_anti"
+    ).join(sound.select(*on[:-1], F.col("collection").alias("dest_collection")).distinct(), [*on[:-1], "dest_collection"], "left_anti")
+    values = {"ok": F.lit(False), "entity": F.lit("NULL"), "reason": F.lit(NO_PEERS)}
+    blanks = [values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in requests.schema if f.name not in lonely.columns]
+    failed = lonely.select("*", *blanks).select(*requests.columns)
+    if strict and (bad := failed.first()) is not None:
+        raise RuntimeError(f"collection {bad['dest_collection']}: {NO_PEERS}")
+    return ClonePlan(create, requests.unionByName(failed), violations)
 
 
 def clone_collections(
@@ -220,13 +252,12 @@ def clone_collections(
 
 
 def apply_delete(contents: DataFrame, plan: DataFrame, out: str) -> str:
-    """Write the contents without the collections a delete plan drops.
+    """Write the contents without the collections a delete plan drops, in the plan's cluster only.
 
-    The list in the plan is a request's argument, so it is short; it becomes a filter
-    on the partition column, and dropped collections are not read.
+    The plan is a request's argument, so it is short: Spark broadcasts it if its size allows.
     """
-    drop = [r["collection"] for r in plan.where("action = 'drop'").collect()]
-    kept = contents.where(~F.col("collection").isin(drop)) if drop else contents
     by = scoped(contents, "collection")
+    drop = plan.where("action = 'drop'").select(*shared_scope(plan, contents, "collection"))
+    kept = contents.join(drop, drop.columns, "left_anti").select(*contents.columns)
     kept.hint("rebalance", *by).write.partitionBy(*by).parquet(out)
     return out

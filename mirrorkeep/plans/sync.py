@@ -69,8 +69,8 @@ def full_backup(
 ) -> tuple[SyncResult, CloneResult, DataFrame]:
     """Configuration tree first, then all collections.
 
-    The third value has a row per tree path and destination core. With ``strict`` any
-    failure of either job ends in one error.
+    The third value has a row per tree path and destination core, led by the scope both
+    have. With ``strict`` any failure of either job ends in one error.
     """
     try:
         tree = clone_tree(src_tree, dst_tree)
@@ -79,13 +79,16 @@ def full_backup(
         )
     except Exception as error:
         raise RuntimeError("cluster clone failed") from error
+    scope = shared_scope(tree.diagnostics, data.diagnostics)
     rows = tree.diagnostics.select(
+        *scope,
         F.lit("tree").alias("step"),
         F.col("path").alias("entity"),
         F.when(F.col("verdict") == "ok", "ok").otherwise("failed").alias("status"),
         F.col("op").alias("detail"),
     ).unionByName(
         data.diagnostics.select(
+            *scope,
             F.lit("collection").alias("step"),
             F.col("dest_core").alias("entity"),
             "status",

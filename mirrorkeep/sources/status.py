@@ -6,6 +6,9 @@ well-formed gives nulls instead of failing the job.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +39,9 @@ def _named(items: Column, name) -> Column:
 def parse_core_status(docs: DataFrame) -> DataFrame:
     """Status fields of each core out of its status document.
 
-    ``docs`` has core and doc. The core is available when it has no start-up failure
-    and its document count, deleted count and version are readable; the other
-    fields are optional. An unavailable core keeps the defaults 0 and null.
+    ``docs`` has core and doc. The core is available when it has no start-up failure, its document count, deleted
+    count and version are readable, and every other number is blank or readable. An unavailable core keeps the
+    defaults 0 and null.
     """
     keep = [c for c in docs.columns if c != "doc"]
     status = (
@@ -55,12 +58,22 @@ def parse_core_status(docs: DataFrame) -> DataFrame:
         )
     )
 
+    def raw(kind: str, name: str) -> Column:
+        return F.trim(_named(F.col(f"i.{kind}"), F.lit(name))["_VALUE"])
+
     def field(kind: str, name: str, dtype: str) -> Column:
-        return F.trim(_named(F.col(f"i.{kind}"), F.lit(name))["_VALUE"]).try_cast(dtype)
+        return raw(kind, name).try_cast(dtype)
+
+    def junk(kind: str, name: str, dtype: str) -> Column:
+        return ~blank(raw(kind, name)) & field(kind, name, dtype).isNull()
+
+    optional = (("int", "maxDoc", "int"), ("int", "segmentCount", "int"), ("long", "sizeInBytes", "long"))
+    unreadable = reduce(or_, [junk(*o) for o in optional])
 
     fields = status.select(
         *keep,
         "failure",
+        unreadable.alias("unreadable"),
         field("int", "numDocs", "int").alias("num_docs"),
         field("int", "maxDoc", "int").alias("max_docs"),
         field("int", "deletedDocs", "int").alias("deleted_docs"),
@@ -71,7 +84,7 @@ def parse_core_status(docs: DataFrame) -> DataFrame:
         field("bool", "current", "string").alias("current_text"),
     )
     required = ("num_docs", "deleted_docs", "version")
-    up = blank(F.col("failure"))
+    up = blank(F.col("failure")) & ~F.col("unreadable")
     for name in required:
         up = up & F.col(name).isNotNull()
     zero = {"num_docs": "int", "max_docs": "int", "deleted_docs": "int", "version": "long",

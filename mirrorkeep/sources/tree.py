@@ -69,30 +69,38 @@ def tree_paths(tree: DataFrame) -> DataFrame:
     )
 
 
-def paths_from_edges(edges: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Full path of every node of a parent/child table.
+def _keys(table: DataFrame, name: str) -> list:
+    """Scope columns and one more, named so that they can be joined with."""
+    return [*scoped(table), name]
 
-    ``edges`` has id, parent_id (null at the root) and label. Each round joins the
-    path known so far with the path of its topmost node, so the known part doubles
-    and a depth of 16 takes four joins. The table of a round is written out, as the
-    next round uses it twice. A tree deeper than ``max_depth`` raises.
+
+def orphans(edges: DataFrame) -> DataFrame:
+    """Nodes whose parent is not in the table of their cluster: they have no path, and neither has anything below them."""
+    there = edges.select(*scoped(edges), F.col("id").alias("parent_id")).distinct()
+    return edges.where(F.col("parent_id").isNotNull()).join(there, _keys(edges, "parent_id"), "left_anti")
+
+
+def paths_from_edges(edges: DataFrame) -> DataFrame:
+    """Full path of every node of a parent/child table that hangs on a root.
+
+    ``edges`` has id, parent_id (null at the root) and label; ids are unique within a cluster and snapshot. Each round joins the
+    path known so far with the path of its topmost node, so the known part doubles and a tree of any depth takes as many
+    rounds as its depth has bits. The table of a round is written out, as the next round uses it twice. Nodes
+    below one that is missing have no row; ``orphans`` lists where they are cut off. A cycle raises: after
+    as many rounds as the number of rows has bits, no path can be unfinished.
     """
-    known = edges.select(
-        "id",
-        F.col("parent_id").alias("up"),
-        F.concat(F.lit("/"), "label").alias("path"),
-    )
-    for _ in range(math.ceil(math.log2(max(2, max_depth)))):
-        above = known.select(
-            F.col("id").alias("up"),
-            F.col("up").alias("next_up"),
-            F.col("path").alias("above"),
-        )
-        known = lookup(known, above, ["up"]).select(
-            "id",
-            F.col("next_up").alias("up"),
-            F.concat(F.coalesce("above", F.lit("")), "path").alias("path"),
-        )
-        known = materialize(known, "tree-paths")
-    deep = F.raise_error(F.lit(f"tree is deeper than {max_depth} levels"))
-    return known.select("id", F.when(F.col("up").isNull(), F.col("path")).otherwise(deep).alias("path"))
+    scope = scoped(edges)
+    known = edges.select(*scope, "id", F.col("parent_id").alias("up"), F.concat(F.lit("/"), "label").alias("path"))
+    rounds = math.ceil(math.log2(max(2, edges.count()))) + 1
+    for _ in range(rounds):
+        if known.where("up is not null").isEmpty():
+            break
+        above = known.select(*scope, F.col("id").alias("up"), F.col("up").alias("next_up"), F.col("path").alias("above"))
+        # A root is done; any other node goes on only if its topmost one is there.
+        done = known.where("up is null")
+        open_nodes = lookup(known.where("up is not null"), above, [*scope, "up"], "inner")
+        joined = open_nodes.select(*scope, "id", F.col("next_up").alias("up"), F.concat("above", "path").alias("path"))
+        known = materialize(done.unionByName(joined), "tree-paths")
+    if not known.where("up is not null").isEmpty():
+        raise ValueError("the tree has a cycle")
+    return known.select(*scope, "id", "path")

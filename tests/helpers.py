@@ -1,58 +1,45 @@
+"""Snapshots drawn at random, and small conversions."""
+
 import json
+import random
 
 from mirrorkeep.sources.cluster_state import flatten_state, scan_cluster_state
 
+STATES = ["active", "recovering", "down", "gone"]
+HOSTS = [f"node{c}" for c in "abcdefg"]
 
-def collection(shards, factor="2"):
-    return {
-        "shards": {
-            shard: {
-                "range": "80000000-7fffffff",
-                "state": "active",
-                "replicas": {
-                    f"core_node{i}": replica for i, replica in enumerate(replicas, start=1)
-                },
-            }
-            for shard, replicas in shards.items()
-        },
-        "maxShardsPerNode": "100",
-        "router": {"name": "compositeId"},
-        "replicationFactor": factor,
-    }
 
+def replica(core, host, state="active", leader=None, port=9000):
+    out = {"state": state, "base_url": f"http://{host}:{port}/s", "core": core, "node_name": f"{host}:{port}_solr"}
+    return out if leader is None else out | {"leader": leader}
 
-def replica(core, host, state="active", leader=None):
-    out = {
-        "state": state,
-        "base_url": f"http://{host}:8983/solr",
-        "core": core,
-        "node_name": f"{host}:8983_solr",
-    }
-    if leader is not None:
-        out["leader"] = leader
-    return out
-
-
-def base_state():
-    """Two collections of one shard and two replicas, all on one host."""
-    return {
-        "books_v2": collection(
-            {
-                "shard1": [
-                    replica("books_v2_shard1_replica1", "onehost", leader="false"),
-                    replica("books_v2_shard1_replica2", "onehost"),
-                ]
-            }
-        ),
-        "films_v2": collection(
-            {
-                "shard1": [
-                    replica("films_v2_shard1_replica2", "onehost"),
-                    replica("films_v2_shard1_replica1", "onehost", state="down", leader="true"),
-                ]
-            }
-        ),
+
+def collection(shards, factor="3", limit="7"):
+    """``shards`` maps a shard's name to its replicas."""
+    body = {
+        name: {"range": f"{i:x}0-{i:x}f", "state": "active", "replicas": {f"r{j}": r for j, r in enumerate(replicas)}}
+        for i, (name, replicas) in enumerate(shards.items())
     }
+    return {"shards": body, "maxShardsPerNode": limit, "router": {"name": "plain"}, "replicationFactor": factor}
+
+
+def draw(seed, names=("alpha", "beta_idx", "gamma_idx", "delta")):
+    """A snapshot and its replicas as plain rows."""
+    dice, state, cells = random.Random(seed), {}, []
+    for name in names:
+        shards = {}
+        for s in range(dice.randint(1, 5)):
+            shard = f"part{s}"
+            numbers = sorted(dice.sample(range(1, 13), dice.randint(1, 6)))
+            for n in numbers:
+                core = f"{name}_{shard}_replica{n}"
+                row = {"collection": name, "shard": shard, "core": core, "rn": n, "node": dice.choice(HOSTS),
+                       "state": dice.choice(STATES), "leader": dice.choice([None, None, "true", "false", "TRUE"])}
+                cells.append(row)
+                shards.setdefault(shard, []).append(replica(core, row["node"], row["state"], row["leader"]))
+            dice.shuffle(shards[shard])
+        state[name] = collection(shards)
+    return state, cells
 
 
 def docs(spark, *states):
@@ -65,5 +52,8 @@ def inv(spark, state):
 
 
 def rows(df, *cols):
-    out = [tuple(r[c] for c in (cols or df.columns)) for r in df.collect()]
-    return sorted(out, key=lambda r: tuple((v is not None, v) for v in r))
+    return ordered(tuple(r[c] for c in (cols or df.columns)) for r in df.collect())
+
+
+def ordered(found):
+    return sorted(found, key=lambda r: tuple((v is not None, v) for v in r))

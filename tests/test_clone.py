@@ -181,6 +181,70 @@ def test_delete(spark, documents, tmp_path):
     assert selection.delete_plan(documents, []).count() == 0
 
 
+def test_every_chosen_collection_is_in_the_diagnostics_or_the_violations(spark, documents):
+    """Shared destinations, names that do not lead back, and missing configurations."""
+    up = [1], [1]
+    src = inv(spark, *((c, "shard1", *up) for c in ("x_collection", "x_new", "my_copy_idx", "plain", "bare")))
+    docs = contents(spark, *((c, "shard1", 3) for c in ("x_collection", "x_new", "my_copy_idx", "plain", "bare")))
+    configs = spark.createDataFrame([(c, "cfg") for c in ("x_collection", "x_new", "my_copy_idx", "plain")], "collection string, config string")
+    empty = spark.createDataFrame([], INV)
+    done = clone.clone_collections(src, empty, docs, parse_rules("_collection:_new,default:_copy"), configs=configs)
+    violated = dict(rows(done.plan.violations))
+    assert violated["bare"] == "no configuration" and "leads back" in violated["my_copy_idx"]
+    diagnosed = {r["dest_collection"] for r in done.diagnostics.collect()}
+    assert "plain_copy" in diagnosed
+    chosen = {"x_collection": "x_new", "x_new": "x_new_copy", "my_copy_idx": "my_copy_idx_copy", "plain": "plain_copy", "bare": "bare_copy"}
+    assert all((c in violated) != (d in diagnosed) for c, d in chosen.items())
+    with pytest.raises(LookupError):
+        clone.plan_clone(src, empty, parse_rules("_collection:_new,default:_copy"), strict=True)
+
+
+def test_shared_destinations_are_violations(spark):
+    src = inv(spark, ("a_x", "shard1", [1], [1]), ("a_y", "shard1", [1], [1]), ("b", "shard1", [1], [1]))
+    plan = clone.plan_clone(src, spark.createDataFrame([], INV), parse_rules("_x:_z,_y:_z"))
+    assert rows(plan.violations) == [("a_x", "shares its destination a_z"), ("a_y", "shares its destination a_z")]
+    assert rows(plan.requests, "dest_collection") == [("b",)]
+
+
+def test_delete_in_one_cluster_only(spark, documents, tmp_path):
+    both = documents.withColumn("cluster", F.lit("east")).unionByName(documents.withColumn("cluster", F.lit("west")))
+    with pytest.raises(ValueError):
+        selection.delete_plan(both, ["a"])
+    plan = selection.delete_plan(both, ["a", "nowhere"], cluster="west")
+    assert rows(plan) == [("west", "a", "drop"), ("west", "nowhere", "absent")]
+    out = clone.apply_delete(both, plan, str(tmp_path / "kept"))
+    left = spark.read.parquet(out).groupBy("cluster").agg(F.collect_set("collection").alias("c"))
+    assert {r["cluster"]: sorted(r["c"]) for r in left.collect()} == {
+        "east": ["a", "b", "c", "collection1"], "west": ["b", "c", "collection1"],
+    }
+
+
+def test_scope_stays_in_smoke_test_and_backup(spark, source, target, documents):
+    def east(df):
+        return df.withColumn("cluster", F.lit("east"))
+
+    parity = spark.createDataFrame([("east", "al", 1, 2, True, False)], "cluster string, alias string, source_docs long, dest_docs long, source_exists boolean, match boolean")
+    down = east(source).where("not available")
+    assert rows(verify.smoke_test(parity, down), "cluster", "check").count(("east", "size")) == 1
+    tree = east(spark.createDataFrame([("/a", "1")], "path string, data string"))
+    _, _, got = sync.full_backup(tree, tree.where("false"), east(source), east(target), east(documents))
+    assert {r["cluster"] for r in got.collect()} == {"east"} and got.columns[0] == "cluster"
+
+
+def test_same_core_name_in_two_collections(spark):
+    plan = spark.createDataFrame(
+        [(c, "s", "h", "core1", c, "h", "core1", True, "core1", "") for c in ("a", "b")],
+        "dest_collection string, shard string, dest_node string, dest_core string, collection string, source_node string,"
+        " source_core string, ok boolean, entity string, reason string",
+    )
+    status = spark.createDataFrame(
+        [("a", "h", "core1", True, 1, 5, None), ("b", "h", "core1", True, 1, 9, None)],
+        "collection string, host string, core string, available boolean, num_docs int, version long, last_modified timestamp_ntz",
+    )
+    got = verify.post_copy_check(plan, status, status)
+    assert rows(got, "dest_collection", "status") == [("a", "ok"), ("b", "ok")]
+
+
 def test_more_shards_than_are_broadcast(spark, source, documents, monkeypatch, small_groups_hot):
     monkeypatch.setattr(clone, "MAX_BROADCAST_SHARDS", 0)
     empty = spark.createDataFrame([], INV)

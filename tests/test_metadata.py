@@ -75,12 +75,26 @@ def test_paths_from_edges(spark, small_groups_hot):
     edges = [(1, None, "configs"), (2, 1, "cfg"), (3, 2, "a"), (4, 3, "b"), (5, 4, "deep")]
     edges += [(i, 2, f"n{i}") for i in range(10, 60)]
     frame = spark.createDataFrame(edges, "id int, parent_id int, label string")
-    got = dict(rows(tree.paths_from_edges(frame, max_depth=8)))
+    got = dict(rows(tree.paths_from_edges(frame)))
     assert len(got) == 55
     assert got[5] == "/configs/cfg/a/b/deep"
     assert got[59] == "/configs/cfg/n59"
-    with pytest.raises(Exception, match="deeper"):
-        tree.paths_from_edges(frame, max_depth=4).collect()
+
+
+def test_a_tree_of_any_depth(spark):
+    chain = [(i, i - 1 if i else None, f"d{i}") for i in range(40)]
+    got = dict(rows(tree.paths_from_edges(spark.createDataFrame(chain, "id int, parent_id int, label string"))))
+    assert got[39] == "".join(f"/d{i}" for i in range(40))
+
+
+def test_orphans_and_cycles(spark):
+    edges = [("p", 1, None, "x"), ("p", 2, 1, "k"), ("p", 3, 9, "lost"), ("p", 4, 3, "below"), ("q", 1, None, "y"), ("q", 2, 1, "k")]
+    frame = spark.createDataFrame(edges, "cluster string, id int, parent_id int, label string")
+    assert rows(tree.paths_from_edges(frame)) == [("p", 1, "/x"), ("p", 2, "/x/k"), ("q", 1, "/y"), ("q", 2, "/y/k")]
+    assert rows(tree.orphans(frame), "cluster", "id") == [("p", 3)]
+    ring = spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (3, None, "c")], "id int, parent_id int, label string")
+    with pytest.raises(ValueError, match="cycle"):
+        tree.paths_from_edges(ring)
 
 
 def test_read_tree_of_files(spark, tmp_path):

@@ -95,9 +95,18 @@ def test_numbered_with_equal_order_values(spark, small_groups_hot):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("block", [2, 3, 64])
-def test_ranges_follow_the_order(spark, small_groups_hot, monkeypatch, block):
-    monkeypatch.setattr(skew, "BLOCK", block)
+def test_equal_rows_of_a_hot_group_are_spread(spark, small_groups_hot):
+    """However few distinct order values there are."""
+    table = spark.range(3000).select(F.lit("k").alias("g"), (F.col("id") % 3).alias("a"))
+    hot = hot_keys(table, ["g"])
+    cut = skew.with_range(table, ["g"], ["a"], hot)
+    sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+    assert len(sizes) == hot[0].pieces == 8 and max(sizes) < 1000
+    numbers = rows(numbered(table, ["g"], ["a"], "n"), "n", "a")
+    assert numbers == [(i + 1, i // 1000) for i in range(3000)]
+
+
+def test_ranges_follow_the_order(spark, small_groups_hot):
     table = group_table(spark)
     hot = hot_keys(table, ["g"])
     # All even ids and id 1.

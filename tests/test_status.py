@@ -180,17 +180,17 @@ def test_replication_status(spark):
 
 def test_post_copy_check(spark):
     plan = spark.createDataFrame(
-        [("d", "d_r1", "s_r1", True, ""), ("d", "d_r2", "s_r1", True, ""),
-         ("d", "d_r3", "s_r1", True, ""), ("d", "d_r4", None, False, "no source"),
-         ("d", "d_r5", "s_r1", True, "")],
-        "dest_collection string, dest_core string, source_core string, ok boolean, reason string",
+        [("d", "d_r1", "s", "s_r1", True, ""), ("d", "d_r2", "s", "s_r1", True, ""),
+         ("d", "d_r3", "s", "s_r1", True, ""), ("d", "d_r4", "s", None, False, "no source"),
+         ("d", "d_r5", "s", "s_r1", True, "")],
+        "dest_collection string, dest_core string, collection string, source_core string, ok boolean, reason string",
     )
-    src = spark.createDataFrame([("h", "s_r1", True, 1, 5, T0)], COLS)
+    src = spark.createDataFrame([("h", "s_r1", True, 1, 5, T0)], COLS).withColumn("collection", F.lit("s"))
     dst = spark.createDataFrame(
         [("h", "d_r1", True, 1, 5, T0), ("h", "d_r2", True, 1, 4, T0),
          ("h", "d_r5", False, 1, 5, T0)],
         COLS,
-    )
+    ).withColumn("collection", F.lit("d"))
     got = verify.post_copy_check(plan, src, dst)
     assert rows(got, "entity", "status") == [
         ("d_r1", "ok"), ("d_r2", "failed"), ("d_r3", "unverified"), ("d_r4", "failed"),
@@ -200,3 +200,17 @@ def test_post_copy_check(spark):
     assert reasons["d_r4"] == "no source"
     assert reasons["d_r5"] == "Replication Failed since source Core is not available.."
     assert rows(verify.diagnostics_summary(got)) == [("failed", 3), ("ok", 1), ("unverified", 1)]
+
+
+def test_junk_in_an_optional_number_makes_a_core_unavailable(spark):
+    def doc(extra):
+        return (
+            '<response><lst name="status"><lst name="c"><lst name="index"><int name="numDocs">3</int>'
+            f'<int name="deletedDocs">0</int><long name="version">7</long>{extra}</lst></lst></lst></response>'
+        )
+
+    extras = ["", '<int name="maxDoc">many</int>', '<int name="maxDoc"> </int>', '<long name="sizeInBytes">12</long>', '<int name="segmentCount">1.5</int>']
+    table = spark.createDataFrame([(i, "c", doc(x)) for i, x in enumerate(extras)], "id int, core string, doc string")
+    assert rows(parse_core_status(table), "id", "available", "num_docs") == [
+        (0, True, 3), (1, False, 0), (2, True, 3), (3, True, 3), (4, False, 0),
+    ]

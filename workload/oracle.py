@@ -184,6 +184,25 @@ left join content_sizes s on s.collection=t.collection and s.shard=t.shard
 where {where}"""
 
 
+def _outcomes(forward: str, back: str, rename: str) -> str:
+    """Violations of a clone to an empty destination, and what became of every other shard; reasons as the job words them."""
+    return f"""
+with cells as (
+  select {rename} as collection, shard, bool_or(available) as up from content_inv group by 1, 2),
+mapped as (select *, {forward} as dest from cells),
+led as (select *, {back} as back, (select count(distinct m.collection) from mapped m where m.dest=mapped.dest) as sources from mapped),
+counted as (select {rename} as collection, shard, count(*) as docs from contents group by 1, 2)
+select distinct collection, null::varchar as shard, 'violation' as status,
+  case when sources>1 then 'shares its destination '||dest else 'destination '||dest||' leads back to '||back end as reason, 0::bigint as docs
+from led where sources>1 or back<>collection
+union all
+select dest, led.shard, case when up then 'ok' else 'failed' end,
+  case when up then '' else 'Replication Failed since source Core is NULL..' end,
+  case when up then coalesce(docs, 0) else 0 end
+from led left join counted c on c.collection=led.collection and c.shard=led.shard
+where sources=1 and back=led.collection"""
+
+
 _REASON = """
   case when src_version > dst_version
          then 'DataMatch-Failed: Version mismatch: this:'||cast(src_version as varchar)||' replica:'||cast(dst_version as varchar)
@@ -455,6 +474,21 @@ select 'size' as "check", alias as entity,
 from alias_sizes where at_dest and source_docs<>dest_docs
 union all
 select 'health', core, 'unavailable on '||node from dst_inv where not available""",
+    "clone_with_collisions": _outcomes("case when contains(collection,'src1') then replace(collection,'src1','src') else collection end",
+                                       "case when contains(dest,'src') then replace(dest,'src','src1') else dest end", "collection"),
+    "clone_unmapped": _outcomes("collection||'_copy'", "replace(dest,'_copy','')",
+                                "case when regexp_matches(collection,'^src1[0-9]_') then replace(collection,'_collection','_copy_idx') else collection end"),
+    "content_parity": """
+select collection, shard, count(*) as source_docs, count(*) filter (doc_id%50<>7) as dest_docs,
+  count(*) filter (doc_id%50=7 or (doc_id%64=1 and text<>''))=0 as same
+from contents group by 1, 2""",
+    "apply_delete": """
+select collection, count(*) as docs, sum(n_chars)::bigint as chars from contents
+where collection not in ('src1_collection','src7_collection') group by 1""",
+    "scan_live_nodes": "select 'host'||cast(s_suppkey as varchar) as node from supplier",
+    "rejected_documents": "select conv_id, turn from conversations where turn%3=0",
+    "read_documents": """
+select collection, shard, 'core_node'||cast(rn as varchar) as replica, core, node_name, state, leader from inv""",
     "delete_plan": """
 select r.collection,
   case when r.collection='collection1' then 'protected'

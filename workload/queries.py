@@ -90,6 +90,29 @@ def live_nodes(spark, sf_dir):
     return inventory.live_nodes(t.placed(spark, sf_dir))
 
 
+@query
+def scan_live_nodes(spark, sf_dir):
+    return cluster_state.scan_live_nodes(t.live_documents(spark, sf_dir))
+
+
+@query
+def rejected_documents(spark, sf_dir):
+    docs = t.table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.to_json(F.create_map("role", F.struct(F.lit("1").alias("maxShardsPerNode"))))).alias("doc"),
+    )
+    return cluster_state.rejected_documents(docs).select("conv_id", "turn")
+
+
+@query
+def read_documents(spark, sf_dir):
+    """Snapshots of many collections, shards and replicas, written as files and read back."""
+    folder = t.snapshot_files(spark, sf_dir)
+    scanned = cluster_state.scan_cluster_state(cluster_state.read_documents(spark, folder))
+    return scanned.select("collection", "shard", "replica", "core", "node_name", "state", "leader")
+
+
 @query
 def config_names(spark, sf_dir):
     return tree.config_names(t.src_tree(spark, sf_dir))
@@ -134,7 +157,7 @@ def tree_paths_from_edges(spark, sf_dir):
         F.nullif("parent", F.lit("/")).alias("parent_id"),
         "label",
     )
-    return tree.paths_from_edges(edges, max_depth=4)
+    return tree.paths_from_edges(edges)
 
 
 # Projections, filters, predicates
@@ -401,7 +424,7 @@ def core_to_best(spark, sf_dir):
 
 def _status_of(inv):
     return inv.select(
-        F.col("node").alias("host"), "core", "available", "num_docs", "version", "last_modified"
+        "collection", F.col("node").alias("host"), "core", "available", "num_docs", "version", "last_modified"
     )
 
 
@@ -500,6 +523,56 @@ def clone_with_rename(spark, sf_dir):
     ).diagnostics
 
 
+def _outcomes(done):
+    """One row per violation, and per destination collection and shard with its outcome."""
+    said = done.plan.violations.select(
+        "collection", F.lit(None).cast("string").alias("shard"), F.lit("violation").alias("status"), "reason", F.lit(0).cast("long").alias("docs")
+    )
+    ran = done.diagnostics.select(F.col("dest_collection").alias("collection"), "shard", "status", "reason", "docs").distinct()
+    return said.unionByName(ran)
+
+
+@query
+def clone_with_collisions(spark, sf_dir):
+    """Names that meet at the destination, or do not lead back, are violations; the rest is copied."""
+    empty = t.content_inv(spark, sf_dir).where("false")
+    return _outcomes(
+        clone.clone_collections(t.content_inv(spark, sf_dir), empty, t.contents(spark, sf_dir), parse_rules("src1:src"))
+    )
+
+
+@query
+def clone_unmapped(spark, sf_dir):
+    """Collections whose name holds the default text do not lead back."""
+    def renamed(df):
+        odd = F.col("collection").rlike("^src1[0-9]_")
+        name = F.when(odd, F.replace("collection", F.lit("_collection"), F.lit("_copy_idx"))).otherwise(F.col("collection"))
+        out = df.withColumn("collection", name)
+        return out.withColumn("core", F.concat_ws("_", "collection", "shard", F.concat(F.lit("replica"), "rn"))) if "core" in df.columns else out
+
+    src = renamed(t.content_inv(spark, sf_dir))
+    return _outcomes(
+        clone.clone_collections(src, src.where("false"), renamed(t.contents(spark, sf_dir)), parse_rules("default:_copy"))
+    )
+
+
+@query
+def content_parity(spark, sf_dir):
+    docs = t.contents(spark, sf_dir)
+    other = docs.where("doc_id % 50 <> 7").withColumn(
+        "text", F.when(F.col("doc_id") % 64 == 1, F.lit("")).otherwise(F.col("text"))
+    )
+    return verify.content_parity(docs, other)
+
+
+@query
+def apply_delete(spark, sf_dir):
+    docs = t.contents(spark, sf_dir)
+    plan = selection.delete_plan(docs, ["collection1", "src1_collection", "src7_collection", "no_such_collection"])
+    left = spark.read.parquet(clone.apply_delete(docs, plan, shared_dir(spark, "after-delete")))
+    return left.groupBy("collection").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
+
+
 @query
 def full_backup(spark, sf_dir):
     return sync.full_backup(
