@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bytes of text that a task unpacks at a time.
 SLICE_BYTES = 4 << 20
 
 
-def sliced(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, list[bytes]]]:
+def sliced(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """The texts of a column as bytes (null: empty), a few megabytes at a time, with the first row's number.
 
     A single longer text is a slice of its own.
@@ -27,11 +30,29 @@ def sliced(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, list[bytes
     start, n = 0, len(column)
     while start < n:
         before = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield start, [x or b"" for x in column.slice(start, stop - start).to_pylist()]
         start = stop
 
 
+def worker_memory(name: str, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps from one task to the next: a loaded model, a bounded memory of words."""
+    holder = sys.modules.setdefault("mirrorkeep_worker_memory", ModuleType("mirrorkeep_worker_memory"))
+    if name not in vars(holder):
+        setattr(holder, name, make())
+    return vars(holder)[name]
+
+
+def read_all(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    held = [b for b in batches if len(b)]
+    return pa.Table.from_batches(held) if held else None
+
+
+def tasks(df: DataFrame) -> int:
+    """Tasks that hold their rows in Python: never fewer than the session's number, which its user sets by memory."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def md5_bits(col: Column, bits: int) -> Column:
     """The first bits (a multiple of 4, at most 60) of the MD5 of a text, as a number."""
     return F.conv(F.substring(F.md5(col.cast("binary")), 1, bits // 4), 16, 10).cast("bigint")

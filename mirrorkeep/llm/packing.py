@@ -7,19 +7,21 @@ on until one group is left or merging no longer helps. A bin never comes apart,
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mirrorkeep.common import materialize
-from mirrorkeep.llm.common import sliced
+from mirrorkeep.llm.common import sliced, worker_memory
 
 CAPACITY = 2048
 # Tokens that a bin may lack and still be final.
@@ -29,54 +31,119 @@ FAN_IN = 8
 MAX_ITEMS = 200_000
 # A level that saves a smaller share of the bins is the last.
 LEAST_GAIN = 0.002
+# Words that a worker remembers, and new words that are encoded together.
 REMEMBERED = 400_000
-
-SPECIAL = "<|endoftext|>"
+TOGETHER = 500
+
+# How the tokenizer's tokens show a space, and the id that ends a document.
+SPACE = "Ġ"
+CLOSING = b"\0\0\0\0"
+# White space, for a regular expression.
+WHITE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Marks that are parted from the word before them.
+MARKS = ("\n", ".", ",")
+# Texts that are not words with single spaces between them: a space at an end, or white space or a mark behind a space.
+ODD = rf"^ | $| [{WHITE}.,]|<\|endoftext\|>"
+# Texts whose marks stay where they are: a mark behind something else than a letter or digit, or white space beside a line end.
+UNCLEAR = rf"^[.,\n]|[^\pL\pN][.,]|[{WHITE}]\n|\n[{WHITE}]|\n$"
+# Bytes of text that are encoded together.
+SLICE_BYTES = 16 << 20
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit numbers, with a memory of words.
+    """Token ids of texts, with a memory of words that come again.
 
-    The tokenizer cuts a text by a pattern before it merges; a space that follows something else and precedes
-    something that is no white space always begins a part. Texts with other runs of white space, or with the
-    special token, go to the tokenizer as they are.
+    The tokenizer cuts a text by a pattern before it merges. A space that follows something else and precedes something
+    that is no white space always begins a part, and so do a full stop, a comma or a single line end behind a letter or
+    digit. So a text is its first word and then words with a space or nothing before them. Texts with other runs of white space, or
+    with the special token, go to the tokenizer as they are. New words go there many at a time: the tokens that begin with a
+    space are where a word begins.
     """
 
-    odd = re.compile(r"^ | \s| $")
-
     def __init__(self, path: str):
+        # A task has one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.once: set[str] = set()
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
 
     def ids(self, texts: Iterable[str]) -> list[bytes]:
         many = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in many]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if SPECIAL in t or self.odd.search(t)]
-        for i, ids in zip(odd, self.ids(texts[i] for i in odd), strict=True):
-            out[i] = ids
-        words = {i: texts[i].split(" ") for i in sorted(set(range(len(texts))).difference(odd)) if texts[i]}
-        firsts = self.ids(w[0] for w in words.values())
-        plain = {x for w in words.values() for x in w[1:]}
-        new = list(plain.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(plain)
-        self.known.update(zip(new, self.ids(" " + x for x in new), strict=True))
-        for (i, w), first in zip(words.items(), firsts, strict=True):
-            out[i] = first + b"".join(map(self.known.__getitem__, w[1:]))
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before them, but for those that begin with a mark."""
+        marked = [w for w in words if w.startswith(MARKS)]
+        if marked:
+            ids = dict(zip(marked, self.ids(marked), strict=True))
+            others = iter(self.word_ids([w for w in words if w not in ids]))
+            return [ids[w] if w in ids else next(others) for w in words]
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self.ids(" " + " ".join(g) for g in groups), strict=True):
+            starts = 4 * np.flatnonzero(self.begins[np.frombuffer(ids, dtype="<u4")])
+            if len(starts) == len(group):
+                out += [ids[i:j] for i, j in pairwise([*starts.tolist(), len(ids)])]
+            else:
+                out += self.ids(" " + w for w in group)
         return out
 
+    def remembered(self, words: list[str], counts: np.ndarray) -> list[bytes]:
+        """Ids of different words; those that come again are kept, up to a number of words, and the others marked."""
+        out = [self.known.get(w) for w in words]
+        new = [i for i, ids in enumerate(out) if ids is None]
+        found = self.word_ids([words[i] for i in new])
+        again = {}
+        for i, ids in zip(new, found, strict=True):
+            out[i] = ids
+            if counts[i] > 1 or words[i] in self.once:
+                again[words[i]] = ids
+        if len(self.known) + len(again) > REMEMBERED:
+            self.known = {}
+        if len(self.once) + len(new) > REMEMBERED:
+            self.once = set()
+        self.known.update(again)
+        self.once.update(words[i] for i in new)
+        return out
 
-def pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all the texts in a row, each followed by the closing id, and the texts' bounds."""
+        odd = pc.match_substring_regex(texts, ODD)
+        marked = texts
+        for mark in MARKS:
+            marked = pc.replace_substring(marked, mark, " " + mark)
+        apart = pc.if_else(pc.match_substring_regex(texts, UNCLEAR), texts, marked)
+        cut = pc.split_pattern(pc.if_else(odd, "", apart), " ")
+        offsets, words = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        unit, n = words.indices.to_numpy(), len(words.dictionary)
+        counts = np.bincount(unit, minlength=n)
+        # The first unit of a text is its first word, or all of an odd one; the last is the closing id.
+        firsts = pc.if_else(odd, texts, cut.flatten().take(pa.array(offsets[:-1])))
+        unit = unit.copy()
+        unit[offsets[:-1]] = n + np.arange(len(texts))
+        unit = np.insert(unit, offsets[1:], n + len(texts))
+        ids = [*self.remembered(words.dictionary.to_pylist(), counts), *self.ids(firsts.to_pylist()), CLOSING]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        lengths = sizes[unit]
+        ends = np.cumsum(lengths)
+        bounds = np.concatenate([[0], ends[offsets[1:] + np.arange(len(texts))]])
+        place = np.arange(ends[-1] if len(ends) else 0)
+        place += np.repeat((np.cumsum(sizes) - sizes)[unit] - ends + lengths, lengths)
+        return pool[place], bounds
+
+
+def pieces(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int, int]]:
     """Number, start, length and checksum of the pieces of a document; only the first of several may be shorter."""
-    n = len(ids) // 4
+    n = len(ids)
     first = n if n <= capacity else n % capacity or capacity
     for i, start in enumerate([0, *range(first, n, capacity)]):
         length = first if i == 0 else capacity
-        yield i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])
+        yield i, start, length, zlib.crc32(ids[start : start + length])
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,15 +178,16 @@ def pack_locally(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     names = ["piece", "start", "length", "ids_crc32"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder = TaskContext.get().partitionId(), Encoder(path)
+        part, encoder = TaskContext.get().partitionId(), worker_memory(f"encoder {path}", lambda: Encoder(path))
         ids, cut, owner, seen = [], [], [], 0
         for batch in batches:
             ids.append(batch.column(0))
-            for start, texts in sliced(batch.column(1)):
-                for i, tokens in enumerate(encoder.encode([t.decode() for t in texts])):
-                    for p in pieces(tokens + b"\0\0\0\0", capacity):
-                        cut.append(p)
-                        owner.append(seen + start + i)
+            for start, texts in sliced(batch.column(1), SLICE_BYTES):
+                tokens, bounds = encoder.encode(pa.array(texts, pa.binary()).cast(pa.string()))
+                for i, (begin, end) in enumerate(pairwise(bounds.tolist()), seen + start):
+                    found = list(pieces(tokens[begin:end], capacity))
+                    cut += found
+                    owner += [i] * len(found)
             seen += len(batch)
         if not cut:
             return

@@ -5,8 +5,10 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from llm_cases import corpus, edge_rows, frame
@@ -138,9 +140,11 @@ def test_best_fit():
 
 def test_words_are_encoded_as_in_the_text():
     dice, encoder = random.Random(7), packing.Encoder(BPE)
-    texts = ["".join(dice.choices(["a", "the", "'s", " ", " ", "\n", "\t", "é", "日本", ".", "12", "<|endoftext|>", "\x1c", " ", "　", "​", "᠎", "\r"], k=dice.randint(0, 30))) for _ in range(3000)]
+    texts = ["".join(dice.choices(["a", "the", "'s", " ", " ", "\n", "\t", "é", "日本", ".", "12", "<|endoftext|>", "\x1c", " ", "　", "​", "᠎", "\r", ",", ",", ".", "a.b", "x,", "é.", "̈", "\n"], k=dice.randint(0, 30))) for _ in range(6000)]
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert encoder.encode(texts) == want
+    tokens, bounds = encoder.encode(pa.array(texts))
+    assert [tokens[i : j - 1].tobytes() for i, j in pairwise(bounds)] == want and set(tokens[bounds[1:] - 1]) == {0}
+    assert encoder.encode(pa.array(texts))[0].tobytes() == tokens.tobytes()
 
 
 def plain_top(vectors, k, asks):
