@@ -47,10 +47,10 @@ def test_known_counts(spark):
     assert count(spark, "peer_match", "how") == {
         "exact": 40_074, "replica1": 3_115, "replica2": 2_761, "unmatched": 12_540,
     }
-    assert run("best_replica").count() == 18_279
+    assert run("best_replica").count() == 26_215
     best = run("core_to_best")
-    assert best.where("best_core is null").count() == 16_602
-    assert best.where("best_core is not null").count() == 23_472
+    assert best.where("best_core is null").count() == 22_549
+    assert best.where("best_core is not null").count() == 37_451
     assert count(spark, "data_match", "ok")[True] == 8_971
     assert run("data_match").select("unavailable", "behind", "drift").distinct().count() == 8
     assert count(spark, "alias_diff", "op") == {"create": 300, "repoint": 172, "skip": 1_028}
