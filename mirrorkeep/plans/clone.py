@@ -22,9 +22,9 @@ from ..operators.selection import (
 from ..operators.skew import lookup
 from ..operators.verify import content_digest, shard_parity
 
-# Shards to copy are broadcast up to this many (three names each, some 100 MB), so
-# that the documents need not be shuffled to find theirs.
-MAX_BROADCAST_SHARDS = 500_000
+# The list of shards to copy is broadcast up to this size, so that the documents need
+# not be shuffled to find theirs.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 NO_PEERS = "no peers at the destination"
@@ -195,7 +195,8 @@ def clone_collections(
     units = materialize(
         requests.where("ok").select(*by, "dest_collection").distinct(), "clone-shards"
     )
-    if units.count() <= MAX_BROADCAST_SHARDS:
+    size = units.agg(F.sum(F.octet_length(F.concat_ws("", *units.columns)) + 64)).first()[0] or 0
+    if size <= MAX_BROADCAST_BYTES:
         found = contents.join(F.broadcast(units), by)
     else:
         found = lookup(contents, units, by, "inner")
@@ -206,7 +207,7 @@ def clone_collections(
 
     # Both digests are combined where the documents are read; only sums are shuffled.
     want = (
-        content_digest(contents)
+        content_digest(found.select(*contents.columns))
         .join(units, by)
         .select(
             *keys[:-1],

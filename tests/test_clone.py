@@ -246,7 +246,7 @@ def test_same_core_name_in_two_collections(spark):
 
 
 def test_more_shards_than_are_broadcast(spark, source, documents, monkeypatch, small_groups_hot):
-    monkeypatch.setattr(clone, "MAX_BROADCAST_SHARDS", 0)
+    monkeypatch.setattr(clone, "MAX_BROADCAST_BYTES", 0)
     empty = spark.createDataFrame([], INV)
     done = clone.clone_collections(source, empty, documents, names=["a", "c"])
     assert {r["status"] for r in done.diagnostics.collect()} == {"ok"}
