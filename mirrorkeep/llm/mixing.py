@@ -13,7 +13,7 @@ timetable's size depends on the weights alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,21 +34,23 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def streams(docs: DataFrame, weights: Mapping[str, int], rest_weight: int, pieces: int) -> DataFrame:
-    """row, stream, weight, size, order, chunk of every row. ``chunk`` cuts a stream into ranges of its order."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+def streams(docs: DataFrame, weights: Mapping[str, int], rest_weight: int, pieces: int, carry: Sequence[str] | None) -> DataFrame:
+    """row, stream, weight, size, order, id, tie, chunk of every row. ``chunk`` cuts a stream into ranges of its order."""
+    # Kept apart from the columns worked with, whatever their names.
+    kept = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
+    rows = docs.select(kept.alias("row"), F.struct("doc_id", "source", "text").alias("d"))
     names = sorted(weights)
     number, weight = F.lit(len(names)), F.lit(rest_weight)
     if names:
-        source = F.col("row.source")
+        source = F.col("d.source")
         number = F.coalesce(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])[source], number)
         weight = F.coalesce(F.create_map(*[F.lit(x) for n in names for x in (n, weights[n])])[source], weight)
-    identity = F.concat_ws("/", F.col("row.doc_id").cast("string"), F.col("row.source"))
-    return row.select(
+    identity = F.concat_ws("/", F.col("d.doc_id").cast("string"), F.col("d.source"))
+    return rows.select(
         "row", number.alias("stream"), weight.alias("weight"),
         # A document takes up a place even if it has no text.
-        (F.coalesce(F.octet_length("row.text"), F.lit(0)) + 1).cast("bigint").alias("size"),
-        md5_bits(identity, HASH_BITS).alias("order"),
+        (F.coalesce(F.octet_length("d.text"), F.lit(0)) + 1).cast("bigint").alias("size"),
+        md5_bits(identity, HASH_BITS).alias("order"), F.col("d.doc_id").alias("id"), F.xxhash64("d.text").alias("tie"),
     ).withColumn("chunk", F.shiftright(F.shiftright("order", HASH_BITS - 30) * pieces, 30))
 
 
@@ -105,26 +107,28 @@ def timetable(stats: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: Mapping[str, int], rest_weight: int = REST_WEIGHT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """row (all columns of ``docs``), stream, block, slot, release, due, place: where each row goes in the mix.
+def mix(
+    docs: DataFrame, weights: Mapping[str, int], rest_weight: int = REST_WEIGHT, block_bytes: int = BLOCK_BYTES, carry: Sequence[str] | None = None
+) -> DataFrame:
+    """row (the columns of ``docs`` to ``carry``, all if none are named), stream, block, slot, release, due, place: where each row goes in the mix.
 
     Sorted by slot and place, the rows are the mix; nothing is left out or repeated. Weights are positive whole
     numbers; sources without one, and null ones, share ``rest_weight`` as one stream. A block is
     ``block_bytes`` of a stream (a document belongs to the block it begins in, and counts its bytes and one more, so an
     empty or null text has a place). Repeated rows, and rows that agree in id and source, get places of their own
-    in the order of their texts.
+    in the order of a hash of their texts.
     """
     if not all(isinstance(w, int) and w > 0 for w in [*weights.values(), rest_weight]):
         raise ValueError("weights are positive whole numbers")
     pieces = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = streams(docs, weights, rest_weight, pieces)
+    rows = streams(docs, weights, rest_weight, pieces, carry)
     # One row per stream and range of its order, however many documents a source has.
     totals = materialize(rows.groupBy("stream", "weight", "chunk").agg(F.sum("size").alias("size")), "mix-totals")
     before = totals.select("stream", "chunk", (F.sum("size").over(W.partitionBy("stream").orderBy("chunk")) - F.col("size")).alias("before"))
     stats = totals.groupBy("stream", "weight").agg(F.ceil(F.sum("size") / block_bytes).alias("blocks"))
     # Its size follows from the weights.
     slots = F.broadcast(timetable(stats))
-    within = W.partitionBy("stream", "chunk").orderBy("order", "row.doc_id", "row.text").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("stream", "chunk").orderBy("order", "id", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(before, ["stream", "chunk"])
     placed = placed.withColumn("start", F.col("before") + F.col("inside"))
     placed = placed.withColumn("block", F.expr(f"start div {block_bytes}")).withColumn("at", F.col("start") % block_bytes)

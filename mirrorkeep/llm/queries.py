@@ -70,7 +70,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, carry=("doc_id", "source"))
     return mixed.select("row.doc_id", "row.source", "block", "slot", "release", "due", "place")
 
 
