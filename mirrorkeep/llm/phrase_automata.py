@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirrorkeep.common import materialize
-from mirrorkeep.llm.common import sliced
+from mirrorkeep.llm.common import read_all, sliced, tasks
 
 WINDOW = 35
 SEED = 8
@@ -54,13 +54,13 @@ def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return phrases, at
 
 
-def read_all(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if len(b)]
-    return pa.Table.from_batches(held) if held else None
-
-
 def seed_rows(texts: DataFrame) -> DataFrame:
-    """seed, mark, place, copies: where the seeds of every text are; equal texts of a task are one row with a count."""
+    """deal, mark, place, copies: where the seeds of every text are; equal texts of a batch are one row with a count.
+
+    Rows are to be dealt by ``deal``. It is the seed, but a seed that a batch has twice or more recurs for sure: it goes on once,
+    with all its copies, for others to meet, and the batch's further rows of it (copies 0) are dealt by their text, so
+    that a seed found everywhere is not one task's work.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,10 +76,16 @@ def seed_rows(texts: DataFrame) -> DataFrame:
                     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
                     out.append((phrases[at].view(np.int64), np.full(len(at), marks[i]), at, np.full(len(at), counts[i])))
                 if out:
-                    columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["seed", "mark", "place", "copies"])
+                    seed, mark, place, copies = (np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True))
+                    _, first, group = np.unique(seed, return_index=True, return_inverse=True)
+                    total = np.bincount(group, copies).astype(np.int64)[group]
+                    further = np.ones(len(seed), dtype=bool)
+                    further[first] = False
+                    deal = np.where(further, mark, seed)
+                    columns = [deal, mark, place, np.where(further, 0, total)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["deal", "mark", "place", "copies"])
 
-    return texts.mapInArrow(emit, "seed long, mark long, place long, copies long")
+    return texts.mapInArrow(emit, "deal long, mark long, place long, copies long")
 
 
 def recurring_seeds(rows: DataFrame) -> DataFrame:
@@ -88,11 +94,12 @@ def recurring_seeds(rows: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (table := read_all(batches)) is None:
             return
-        _, group = np.unique(table["seed"].to_numpy(), return_inverse=True)
-        again = pa.array(np.bincount(group, table["copies"].to_numpy())[group] > 1.5)
+        copies = table["copies"].to_numpy()
+        _, group = np.unique(table["deal"].to_numpy(), return_inverse=True)
+        again = pa.array((np.bincount(group, copies)[group] > 1.5) | (copies == 0))
         yield from table.select(["mark", "place"]).filter(again).to_batches(max_chunksize=50_000)
 
-    kept = rows.repartition("seed").mapInArrow(keep, "mark long, place long")
+    kept = rows.repartition(tasks(rows), "deal").mapInArrow(keep, "mark long, place long")
     # No more than a text has words.
     return kept.groupBy("mark").agg(F.collect_set("place").alias("places"))
 
@@ -154,7 +161,7 @@ def homes(rows: DataFrame) -> DataFrame:
         table = pa.table({"home": pairs[0], "mark": pairs[1], "start": pa.nulls(pairs.shape[1], pa.int64())})
         yield from table.to_batches(max_chunksize=50_000)
 
-    return rows.repartition("window").mapInArrow(find, "home long, mark long, start long")
+    return rows.repartition(tasks(rows), "window").mapInArrow(find, "home long, mark long, start long")
 
 
 def passages(found: DataFrame, candidates: DataFrame) -> DataFrame:
