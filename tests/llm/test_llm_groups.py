@@ -78,6 +78,16 @@ def test_the_tree_leaves_no_pair_out():
     assert want <= set(zip(query.tolist(), found.tolist(), strict=True)) and len(query) < 300 * 300 / 2
 
 
+def test_finer_points_bound_the_overlap():
+    dice = np.random.RandomState(3)
+    for _ in range(200):
+        both = dice.randint(0, 1 << 62, dice.randint(1, 900)).astype(np.uint64)
+        sets = [np.unique(np.concatenate([both, dice.randint(0, 1 << 62, dice.choice([1, 50, 3000])).astype(np.uint64)])) for _ in range(2)]
+        points = [jaccard_join.point(m, jaccard_join.fine_groups(len(m))) for m in sets]
+        shared = len(np.intersect1d(*sets))
+        assert shared <= jaccard_join.fine_bound(*points) == jaccard_join.fine_bound(*points[::-1]) <= min(map(len, sets))
+
+
 def test_prefixes_of_similar_sets_meet():
     dice = np.random.RandomState(1)
     for _ in range(300):
