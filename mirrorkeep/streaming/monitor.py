@@ -11,9 +11,10 @@ Tables may lead with ``cluster`` and ``snapshot_ts``; requests and cores are the
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,7 +25,7 @@ from ..operators.monitor import COPY_LIMIT, MAX_FAILURES, completion_outcome, re
 # late still counts. Our choice: as long as a copy may take.
 LATENESS = COPY_LIMIT
 
-# How long a request is remembered after its last sample, so that it gives one alarm only.
+# How long a request is carried on after its last sample, so that it gives one alarm only.
 KEEP = "30 days"
 
 
@@ -136,33 +137,52 @@ def run_overdue(
 
     The clock is the latest time of any sample, less ``lateness``. A micro-batch that takes the clock past a
     deadline writes the alarm to ``out``/alarms, whether it has samples of the request or not. The requests seen, with
-    a mark on those that had their alarm, are carried in ``out``/requests, a table per micro-batch of which two are
-    kept; a request is forgotten ``keep`` after its last sample. Samples without a time are left out.
+    a mark on those that had their alarm, are written to ``out``/requests, a table per micro-batch of which two are
+    kept. A request is carried on to the next micro-batch while its deadline is ahead of the clock, and ``keep`` after its
+    last sample; then it goes to ``out``/forgotten, which is read only when a sample comes that is older than ``keep``, so
+    that such a sample gives no second alarm. A newer sample of a forgotten request starts a request anew. Samples
+    without a time are left out.
     """
 
+    def clock(latest: dt.datetime | None) -> tuple[Column, Column]:
+        """Of a request at a latest time: its deadline has passed; it is carried on."""
+        now = F.lit(latest).cast("timestamp_ntz")
+        passed = F.col("started") + F.expr(f"interval {timeout}") <= now - F.expr(f"interval {lateness}")
+        return passed, ~passed | (F.col("seen") >= now - F.expr(f"interval {keep}"))
+
     def write(batch: DataFrame, number: int) -> None:
         spark, keys = batch.sparkSession, scoped(batch, "req")
         batch = batch.where(F.col("ts").isNotNull())
         part = completion_part(batch).join(batch.groupBy(*keys).agg(F.max("ts").alias("seen")), keys)
         known = part.withColumn("alarmed", F.lit(False))
+        columns, latest, forgotten = known.columns, None, f"{out}/forgotten"
         before, now = (f"{out}/requests/batch={n}" for n in (number - 1, number))
+        first, last = batch.agg(F.min("ts"), F.max("ts")).first()
         if exists(spark, before):
-            known = known.unionByName(spark.read.parquet(before).select(*known.columns))
+            carried = spark.read.parquet(before).select(*columns)
+            latest, edge = carried.agg(F.max("seen"), F.max("seen") - F.expr(f"interval {keep}")).first()
+            known = known.unionByName(carried.where(clock(latest)[1]))
+            if edge is not None and first is not None and first < edge and exists(spark, forgotten):
+                old = part.where(F.col("started") < F.lit(edge).cast("timestamp_ntz")).select(*keys)
+                # Those of this number are of an attempt that failed.
+                gone = spark.read.parquet(forgotten).where(F.col("batch") < number)
+                known = known.unionByName(gone.join(old, keys, "left_semi").select(*columns))
         merged = known.groupBy(*keys).agg(
             F.min("started").alias("started"),
             F.min("finished").alias("finished"),
             F.max("seen").alias("seen"),
             F.bool_or("alarmed").alias("alarmed"),
         )
-        latest = F.lit(known.agg(F.max("seen")).first()[0]).cast("timestamp_ntz")
+        latest = max((t for t in (latest, last) if t is not None), default=None)
+        passed, stays = clock(latest)
         deadline = F.col("started") + F.expr(f"interval {timeout}")
         late = F.col("finished").isNull() | (F.col("finished") > deadline)
-        fires = ~F.col("alarmed") & late & (deadline <= latest - F.expr(f"interval {lateness}"))
-        remembered = F.col("seen") >= latest - F.expr(f"interval {keep}")
-        fired = merged.where(remembered).withColumn("fires", fires)
+        fired = merged.withColumn("fires", ~F.col("alarmed") & late & passed)
         fired.withColumn("alarmed", F.col("alarmed") | F.col("fires")).write.mode("overwrite").parquet(now)
-        alarms = spark.read.parquet(now).where("fires").select(*keys, "started")
+        requests = spark.read.parquet(now)
+        alarms = requests.where("fires").select(*keys, "started")
         alarms.write.mode("overwrite").parquet(f"{out}/alarms/batch={number}")
+        requests.where(~stays).select(*columns).write.mode("overwrite").parquet(f"{forgotten}/batch={number}")
         remove(spark, f"{out}/requests/batch={number - 2}")
 
     return _each_batch(progress, write, state, every)

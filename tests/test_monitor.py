@@ -183,6 +183,48 @@ def test_alarms_after_each_file(spark, tmp_path):
     assert len(list((tmp_path / "out" / "requests").glob("batch=*"))) == 2
 
 
+DAY = 24 * 60
+
+
+@pytest.mark.parametrize(
+    "files",
+    [
+        [[("stuck", 0, "replicating"), ("ok", 0, "replicating"), ("ok", 9, "done"), ("newer", 60 * DAY, "failed")]],
+        [[("stuck", 0, "replicating"), ("ok", 0, "replicating"), ("ok", 9, "done")], [("newer", 40 * DAY, "failed")]],
+    ],
+    ids=["one file of 60 days", "gap of 40 days"],
+)
+def test_alarms_across_more_days_than_requests_are_kept(spark, tmp_path, files):
+    out, run = str(tmp_path / "out"), lambda stream, **o: streaming.run_overdue(stream, out, timeout="20 minutes", lateness="20 minutes", **o)
+    for table in files_one_by_one(spark, tmp_path, files, run):
+        assert rows(streaming.read_alarms(spark.read.parquet(f"{out}/alarms")), "req", "started") == overdue(table, 20, 20)
+    assert rows(spark.read.parquet(f"{out}/alarms"), "req") == [("stuck/r",)]
+
+
+def test_samples_of_forgotten_requests_give_no_second_alarm(spark, tmp_path):
+    files = [
+        [("stuck", 0, "replicating"), ("ok", 0, "replicating"), ("ok", 9, "done")],
+        [("newer", 40 * DAY, "replicating")],
+        [("stuck", 1, "failed"), ("ok", 1, "replicating"), ("late", 2, "replicating")],
+    ]
+    out, counts = str(tmp_path / "out"), []
+    run = lambda stream, **o: streaming.run_overdue(stream, out, timeout="20 minutes", lateness="20 minutes", **o)
+    for table in files_one_by_one(spark, tmp_path, files, run):
+        alarms = streaming.read_alarms(spark.read.parquet(f"{out}/alarms"))
+        assert rows(alarms, "req", "started") == overdue(table, 20, 20)
+        counts.append(alarms.count())
+    assert counts == [0, 1, 2]
+
+
+def test_requests_with_a_deadline_ahead_are_carried_on(spark, tmp_path):
+    files = [("stuck", 0, "replicating")], [("newer", 40 * DAY, "replicating")], [("newer", 51 * DAY, "done")]
+    out, counts = str(tmp_path / "out"), []
+    run = lambda stream, **o: streaming.run_overdue(stream, out, timeout="50 days", lateness="20 minutes", **o)
+    for _ in files_one_by_one(spark, tmp_path, [list(f) for f in files], run):
+        counts.append(streaming.read_alarms(spark.read.parquet(f"{out}/alarms")).count())
+    assert counts == [0, 0, 1]
+
+
 def test_alarm_comes_once_and_restarts_do_no_harm(spark, folder, tmp_path):
     table, stream, _ = folder
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
