@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mirrorkeep.common import materialize
 from mirrorkeep.llm.mixing import let
 
 # A chunk ends after one line in so many, on average.
@@ -46,10 +47,11 @@ def chunks(text: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """id, mark, removed: for each row (id and hash of its text) the numbers of the chunks to be removed.
+    """id, mark, copies, removed, found: for each row (id and hash of its text) the numbers of the chunks to be removed.
 
-    Of equal chunks, those of the smallest id stay, there the first; rows without an id come last, and rows that
-    share an id count as one document.
+    Of equal chunks, that of the smallest id stays, there the first; rows without an id come last, and of rows that share an
+    id that with the smallest hash comes first. ``copies`` is how many rows have this id and text: ``removed`` is for one of
+    them, ``found`` for the others.
     """
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "text")
     exploded = rows.select("id", "mark", F.posexplode(chunks(F.col("text"))).alias("k", "chunk")).where("chunk.n_lines > 1")
@@ -63,20 +65,40 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     copies = held.select("id", "mark", F.explode(lines).alias("c")).select("id", "mark", "c.k", "c.lines")
     # Equal lines, not equal hashes, from here on. A row's own repeats meet first, then those of all rows.
     inside = copies.groupBy("lines", "id", "mark").agg(F.sort_array(F.collect_set("k")).alias("ks"), F.count("*").alias("n"))
-    first = inside.groupBy("lines").agg(F.sum("n").alias("total"), F.min("id").alias("owner")).where("total > 1")
+    this = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
+    first = inside.groupBy("lines").agg(F.sum("n").alias("total"), F.min(this).alias("owner")).where("total > 1")
     own = F.slice("ks", F.lit(2), F.greatest(F.size("ks") - 1, F.lit(0)))
-    removed = F.when(F.col("id").eqNullSafe(F.col("owner")), own).otherwise(F.col("ks"))
-    return inside.join(first, "lines").groupBy("id", "mark").agg(F.flatten(F.collect_list(removed)).alias("removed"))
+    removed = F.when(F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("mark") == F.col("owner.mark")), own).otherwise(F.col("ks"))
+    return inside.join(first, "lines").groupBy("id", "mark").agg(
+        F.max(F.expr("n div size(ks)")).alias("copies"),
+        F.flatten(F.collect_list(removed)).alias("removed"),
+        F.flatten(F.collect_list("ks")).alias("found"),
+    )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """row (all columns of ``docs``), text (what is left), n_lines, n_removed.
 
+    Every row is a document, also where rows share an id, have none or are equal; which of equal rows is the first is open.
     A null text stays null and has no lines; an empty one is one empty line. Where every chunk of a text is removed, it becomes empty.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    removed = repeated_chunks(docs).withColumnsRenamed({"id": "r_id", "mark": "r_mark"})
+    repeated = materialize(repeated_chunks(docs).withColumnsRenamed({"id": "r_id", "mark": "r_mark"}), "repeated-chunks")
     same = F.col("row.doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("row.text") == F.col("r_mark"))
+    # Rows that share id and text, and of which one alone keeps something.
+    shared = (F.col("copies") > 1) & (F.size("removed") < F.size("found"))
+    # One plan for every size: what comes again grows with the table.
+    held = row.join(repeated.withColumn("shared", shared).hint("merge"), same, "left")
+    several = materialize(repeated.where(shared), "shared-chunks")
+    if several.isEmpty():
+        marked = held.select("row", "removed")
+    else:
+        copies = row.join(several, same).withColumn("number", F.monotonically_increasing_id())
+        # The numbers are written, so they hold.
+        copies = materialize(copies, "numbered-copies")
+        heads = copies.groupBy("r_id", "r_mark").agg(F.min("number").alias("number")).select("number", F.lit(True).alias("is_first"))
+        other = copies.join(heads, "number", "left").select("row", F.when(F.col("is_first"), F.col("removed")).otherwise(F.col("found")).alias("removed"))
+        marked = held.where("shared is null or not shared").select("row", "removed").unionByName(other)
     cut = let(
         chunks(F.col("row.text")),
         lambda c: let(
@@ -88,6 +110,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             ),
         ),
     )
-    out = row.join(removed, same, "left").select("row", F.when(F.col("row.text").isNotNull(), cut).alias("c"))
+    out = marked.select("row", F.when(F.col("row.text").isNotNull(), cut).alias("c"))
     n_lines = F.coalesce("c.n_lines", F.lit(0)).cast("bigint")
     return out.select("row", "c.text", n_lines.alias("n_lines"), (n_lines - F.coalesce("c.n_kept", F.lit(0))).alias("n_removed"))

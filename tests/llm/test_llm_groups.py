@@ -210,6 +210,36 @@ def test_line_chunks(spark, rows):
     assert have == plain_lines(rows)
 
 
+def test_line_chunks_stay_in_one_row_of_those_that_share_an_id(spark):
+    block = [f"line {i} of the block" for i in range(20)]
+    text = "\n".join(block)
+    rows = [(i, t, "en", "src0", 0) for i in (None, 1) for t in (text, text, text + "\nand an end\nof its own")]
+    # Ids of their own in the order that equal rows may come in, for the plain definition.
+    marks = {t: m for t, m in spark.createDataFrame([(r[1],) for r in rows], "t string").selectExpr("t", "xxhash64(t)").collect()}
+    ranked = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, marks[r[1]]))
+    wanted = plain_lines([(n, *r[1:]) for n, r in enumerate(ranked)])
+    got = line_dedup.dedup_lines(frame(spark, rows, clashing=True)).select("row.doc_id", "text", "n_lines", "n_removed").collect()
+    have = Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got)
+    assert have == Counter({k: sum(n for (i, *rest), n in wanted.items() if (ranked[i][0], *rest) == k) for k in {(ranked[i][0], *rest) for i, *rest in wanted}})
+    assert sum(line in block for r in got for line in r.text.split("\n")) < 2 * len(block)
+
+
+def test_one_row_of_each_group(spark):
+    near = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"v{i}" for i in range(100))
+    rows = [
+        (1, near, "en", "src0", 0), (1, near, "en", "src0", 0), (1, near, "en", "src1", 0), (2, near + " end", "en", "src0", 0),
+        (1, other, "en", "src0", 0), (None, other, "en", "src0", 0),
+        (None, "no id at all here", "en", "src0", 0), (None, "no id at all here", "en", "src0", 0), (None, "no id at all here", "en", "src2", 0),
+        (3, "alone with its five words", "en", "src0", 0), (4, None, "en", "src0", None), (4, "", "en", "src0", 0), (None, None, "en", "src0", None),
+    ]
+    docs = frame(spark, rows, clashing=True)
+    out = jaccard_join.one_of_each_group(docs)
+    assert out.schema.names == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == Counter([(1, near), (1, other), (None, "no id at all here"), (3, rows[9][1]), (4, None), (4, ""), (None, None)])
+
+
 def test_chunks_come_back_after_a_shift():
     dice = random.Random(2)
     lines = [f"line {dice.random()}" for _ in range(200)]
