@@ -19,7 +19,7 @@ TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversati
 
 def test_every_operator_is_registered():
     registered = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) <= set(registered) and "pipeline" in registered
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
 

@@ -1,0 +1,287 @@
+"""Token alignment, whitening and archives against plain definitions."""
+
+import gzip
+import hashlib
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from llm_cases import corpus, edge_rows, frame
+from pyspark.sql.datasource import EqualNullSafe, EqualTo, In, IsNotNull, IsNull, Not, StringStartsWith
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from tokenizers import Tokenizer
+
+from mirrorkeep.llm import alignment, warc, whitening
+
+PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+SPACED = ["a\n\nb  c \n d", "x\r\ny", "\n", "  ", " a", "a ", "é　z  b", "ﬁ① \x1c a", "日本語のテキスト 文", "'s don't  'll", "😀😀 a😀", "<s> </s> <0x41>\n<|endoftext|>", "a \nb", "\tq", "q\t w", "▁ a"]
+
+
+def plain_alignment(texts):
+    """Groups of every text, straight from the definition: walk both token rows and cut where both end."""
+    first, second = Tokenizer.from_file(PATHS[0]), sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
+    first.encode_special_tokens = True
+    alphabet = alignment.byte_alphabet()
+    out = []
+    for text in texts:
+        raw = (" " + (text or "")).encode()
+        ids = first.encode(" " + text, add_special_tokens=False).ids if text else [], second.encode(text) if text else []
+        parts = (
+            [bytes(alphabet[c] for c in first.id_to_token(i)) for i in ids[0]],
+            [bytes([int(second.id_to_piece(i)[3:5], 16)]) if second.is_byte(i) else second.id_to_piece(i).replace("▁", " ").encode() for i in ids[1]],
+        )
+        if not text or b"".join(parts[0]) != raw or b"".join(parts[1]) != raw:
+            out.append([])
+            continue
+        ends = [np.cumsum([len(p) for p in side]).tolist() for side in parts]
+        cuts, groups = sorted(set(ends[0]) & set(ends[1])), []
+        for low, high in zip([0, *cuts], cuts):
+            groups.append(tuple([i for i, e in zip(ids[k], ends[k]) if low < e <= high] for k in (0, 1)))
+        out.append(groups)
+    return out
+
+
+def plain_rows(rows):
+    groups = plain_alignment([r[1] for r in rows])
+    links = [Counter((a, b) for g in gs for a in g[0] for b in g[1]) if max((len(g[0]) * len(g[1]) for g in gs), default=0) < 1 << 16 else product_links(gs) for gs in groups]
+    held = Counter(p for found in links for p in found)
+    highest = {}
+    for (a, _), n in held.items():
+        highest[a] = max(n, highest.get(a, 0))
+    out = []
+    for r, gs, found in zip(rows, groups, links):
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in gs)
+        best = sum(n for p, n in found.items() if held[p] == highest[p[0]])
+        out.append((r[0], sum(len(g[0]) for g in gs), sum(len(g[1]) for g in gs), len(gs), found.total(), best, sum(n * held[p] for p, n in found.items()),
+                    hashlib.sha256(text.encode()).hexdigest() if gs else ""))
+    return Counter(out)
+
+
+def product_links(groups):
+    out = Counter()
+    for a, b in groups:
+        for x, n in Counter(a).items():
+            for y, m in Counter(b).items():
+                out[x, y] += n * m
+    return out
+
+
+@pytest.mark.parametrize("rows", [corpus(71), edge_rows() + [(100 + i, t, "en", "src0", len(t)) for i, t in enumerate(SPACED)]], ids=["corpus", "edges"])
+@pytest.mark.parametrize("limit", [alignment.MAX_BROADCAST_BYTES, 0], ids=["broadcast", "joined"])
+def test_alignment(spark, rows, limit):
+    got = alignment.align(frame(spark, rows, clashing=True), *PATHS, broadcast_bytes=limit)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert Counter(map(tuple, got.collect())) == plain_rows(rows)
+
+
+def test_alignment_of_nothing(spark):
+    assert alignment.align(frame(spark, []), *PATHS).collect() == []
+
+
+def test_segments_are_remembered_from_slice_to_slice(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 40)
+    monkeypatch.setattr(alignment, "TOGETHER", 7)
+    aligner = alignment.Aligner(*PATHS)
+    texts = [r[1] for r in corpus(72, 30)] + SPACED
+    for part in (texts[:9], texts[9:], texts[:30], texts):
+        rows, pairs, times = alignment.slice_rows(aligner, part)
+        for groups, row, p, t in zip(plain_alignment(part), rows, pairs, times, strict=True):
+            assert row[:3] == (sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups), len(groups))
+            assert {divmod(x, 32_000): n for x, n in zip(p.tolist(), t.tolist())} == product_links(groups)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, row string"
+
+
+def vectors(seed, n=300, size=24, scale=None):
+    dice = np.random.default_rng(seed)
+    x = dice.standard_normal((n, size)) * (scale if scale is not None else np.linspace(0.2, 1.5, size)) @ np.linalg.qr(dice.standard_normal((size, size)))[0]
+    return [(i, [float(c) for c in v], 0, "r") for i, v in enumerate(x.astype(np.float32))]
+
+
+def plain_whitening(rows, k=8):
+    whole = [r for r in rows if r[1] is not None and all(c is not None and math.isfinite(c) for c in r[1])]
+    x = np.array([[math.floor(1024 * c) + 100_000 for c in r[1]] for r in whole])
+    n, sums = len(x), [int(s) for s in x.sum(axis=0)]
+    centred = x - np.array(sums) / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+    deviation = [sum((n * int(v) - s) ** 2 for v, s in zip(row, sums)) for row in x]
+    return whole, n, deviation, centred @ vectors / np.sqrt(values), values / np.trace(centred.T @ centred / n)
+
+
+@pytest.mark.parametrize("size", [3, 24, 64])
+def test_whitening(spark, size):
+    rows = vectors(size, size=size) + [(900, None, 0, "r"), (901, [None] * size, 0, "r"), (902, [float("nan")] + [0.0] * (size - 1), 0, "r"), (903, [float("-inf")] * size, 0, "r")]
+    rows += [(None, [0.5] * size, 0, "r"), *[(7, [0.25] * size, 0, "r")] * 3]
+    whole, n, deviation, whitened, explained = plain_whitening(rows)
+    k = min(8, size)
+    got = whitening.whiten(spark.createDataFrame(rows, VECTORS).repartition(3)).collect()
+    assert Counter((r.vec_id, r.component, r.n, r.deviation) for r in got) == Counter((w[0], c, n, d) for w, d in zip(whole, deviation) for c in range(1, k + 1))
+    assert len({r.identity_error for r in got}) == 1 and got[0].identity_error < 1e-10
+    for c in range(1, k + 1):
+        of = sorted((abs(r.whitened), r.vec_id or -1) for r in got if r.component == c)
+        want = sorted((abs(w), r[0] or -1) for w, r in zip(whitened[:, c - 1].tolist(), whole))
+        assert np.allclose([x for x, _ in of], [x for x, _ in want], atol=1e-9)
+        assert {r.explained for r in got if r.component == c} == {pytest.approx(explained[c - 1], rel=1e-10)}
+
+
+def test_whitening_parts_near_eigenvalues(spark):
+    """Many directions with almost one variance, more than the block has columns."""
+    rows = vectors(5, n=400, size=80, scale=np.linspace(0.5, 0.6, 80))
+    whole, _, _, whitened, _ = plain_whitening(rows)
+    got = whitening.whiten(spark.createDataFrame(rows, VECTORS)).collect()
+    of = {(r.vec_id, r.component): r.whitened for r in got}
+    for c in range(8):
+        mine, want = np.array([of[r[0], c + 1] for r in whole]), whitened[:, c]
+        assert min(np.abs(mine - want).max(), np.abs(mine + want).max()) < 1e-9
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, 0, "r")], [(1, [], 0, "r")], [(1, [0.5, 0.5], 0, "r")] * 4], ids=["none", "null", "empty", "one point"])
+def test_whitening_without_variance(spark, rows):
+    assert whitening.whiten(spark.createDataFrame(rows, VECTORS)).collect() == []
+
+
+def test_whitening_of_few_directions_and_other_lengths(spark):
+    """Directions without variance are no components; vectors of another length are left out."""
+    rows = [(i, [float(i % 5), float(i % 3), 0.0, 1.0], 0, "r") for i in range(30)] + [(99, [1.0, 2.0], 0, "r")]
+    got = whitening.whiten(spark.createDataFrame(rows, VECTORS)).collect()
+    assert {r.component for r in got} == {1, 2} and {r.n for r in got} == {30} and 99 not in {r.vec_id for r in got}
+
+
+def test_deviation_beyond_64_bits():
+    x = np.array([[100_000, 3 << 40], [100_000, 0]])
+    assert whitening.exact_deviation(x, 2, [200_000, 3 << 40]) == [None, None]
+    x = np.array([[1 << 30, 0], [0, 1]])
+    assert whitening.exact_deviation(x, 2, [1 << 30, 1]) == [(1 << 60) + 1] * 2
+
+
+PAGES = "page_id long, url string, html string, record_type string"
+
+
+def pages(seed):
+    dice = random.Random(seed)
+    bodies = [None, "", "short", "x" * 99, "x" * 100, "é" * 50, "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" + "z" * 100, "<html>" + "b" * 5000, "\x00 ▁ 😀" * 40]
+    bodies += ["".join(dice.choices("abc \n\r", k=dice.randint(50, 300))) for _ in range(10)]
+    rows = [(dice.choice([None, *range(30)]), dice.choice([None, "http://a.example/", "http://b.example/ü\r\nWARC-Type: x"]), dice.choice(bodies), "clash") for _ in range(120)]
+    return rows + rows[:5]
+
+
+def plain_archive(rows):
+    heads, out = {}, []
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        payload = (r[2] or "").encode()
+        head = heads.get(payload) if len(payload) >= 100 else None
+        out.append((r[0], len(payload), hashlib.sha256(payload).hexdigest(), "revisit" if head else "response", head[0] if head else None))
+        heads.setdefault(payload, (r[0],))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_archive_round_trip(spark, seed):
+    rows = pages(seed)
+    got = warc.round_trip(spark.createDataFrame(rows, PAGES).repartition(3))
+    assert Counter(map(tuple, got.collect())) == plain_archive(rows)
+
+
+def test_archive_of_one_payload_that_is_hot(spark, small_groups_hot):
+    rows = [(i // 2, f"u{i % 7}", "same payload " * 20, "c") for i in range(400)]
+    got = warc.round_trip(spark.createDataFrame(rows, PAGES).repartition(8))
+    assert Counter(map(tuple, got.collect())) == plain_archive(rows)
+
+
+def test_archive_of_nothing(spark):
+    assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_archive_is_read_in_parts(spark, tmp_path, compression):
+    rows = pages(3)
+    path = f"file://{tmp_path}/archive"
+    warc.archive(spark.createDataFrame(rows, PAGES).repartition(2), path, compression=compression, file_bytes="20000")
+    names = sorted(p.name for p in (tmp_path / "archive").iterdir())
+    assert len(names) > 4 and all(n.endswith(".warc" if compression == "none" else ".warc.gz") for n in names)
+    assert Counter(map(tuple, warc.restore(spark, path).collect())) == plain_archive(rows)
+    assert warc.read_records(spark, path).where("record_type = 'warcinfo'").count() == len(names)
+    few = spark.read.format("warc").option("partition_bytes", "50000").schema("page_id long").load(path)
+    assert 1 < few.rdd.getNumPartitions() < len(names)
+    # Records and their fields are plain WARC.
+    raw = b"".join((gzip.decompress if compression == "gzip" else bytes)((tmp_path / "archive" / n).read_bytes()) for n in names)
+    assert raw.count(b"\r\nWARC-Type: revisit\r\n") == warc.read_records(spark, path, "record_type string").where("record_type = 'revisit'").count()
+    assert warc.read_records(spark, path, "target_uri string").where("target_uri like '%ü%0D%0AWARC-Type: x'").count() > 0
+
+
+def test_filters_reach_the_reader(spark, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    warc.archive(spark.createDataFrame(pages(4), PAGES), path)
+    every = warc.read_records(spark, path, "record_type string, page_id long, refers_to_page long, payload binary")
+    rows = every.collect()
+    for condition, test in {
+        "record_type = 'revisit'": lambda r: r.record_type == "revisit",
+        "record_type in ('response', 'revisit') and page_id > 10": lambda r: (r.page_id or 0) > 10,
+        "refers_to_page is null": lambda r: r.refers_to_page is None,
+        "refers_to_page is not null and page_id <> 3": lambda r: r.refers_to_page is not None and r.page_id not in (None, 3),
+        "record_type like 're%' and not page_id <=> 4": lambda r: r.record_type.startswith("re") and r.page_id != 4,
+        "page_id is null or length(record_type) = 7": lambda r: r.page_id is None or len(r.record_type) == 7,
+    }.items():
+        assert Counter(map(str, every.where(condition).collect())) == Counter(str(r) for r in rows if test(r)), condition
+    plan = every.where("record_type = 'revisit'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(record_type,revisit)" in plan and "Filter (" not in plan.replace("PushedFilters", "")
+
+
+def test_pushed_filters_and_headers_first(tmp_path):
+    schema = StructType([StructField("record_type", StringType()), StructField("page_id", LongType()), StructField("payload", BinaryType())])
+    reader = warc.Reader({"path": str(tmp_path)}, schema)
+    kept = [EqualTo(("payload",), b"x"), EqualTo(("other",), "x"), EqualTo(("a", "b"), "x")]
+    given = [EqualTo(("record_type",), "response"), In(("page_id",), (1, 2)), Not(EqualNullSafe(("page_id",), 2)), IsNotNull(("page_id",)), StringStartsWith(("record_type",), "r")]
+    assert list(reader.pushFilters(kept + given)) == kept
+    assert reader.wanted({"warc-type": "response", "page-id": "1"}) and not reader.wanted({"warc-type": "response", "page-id": "2"})
+    assert not reader.wanted({"warc-type": "response"}) and not reader.wanted({"warc-type": "revisit", "page-id": "1"})
+    reader.tests = [warc.test_of(IsNull(("page_id",)), {"page_id": "number"})]
+    assert reader.wanted({"page-id": "no number"}) and not reader.wanted({"page-id": "5"})
+    # A record that is not wanted is passed over by a seek, so what its member holds does not matter.
+    good = warc.packed(warc.record({"WARC-Type": "response", "Page-Id": "1"}, b"A" * 50_000), 1)
+    broken = bytearray(good)
+    broken[-5000:-20] = b"?" * 4980
+    big = warc.packed(warc.record({"WARC-Type": "resource"}, random.Random(1).randbytes(200_000)), 1)
+    spoilt = bytearray(big)
+    spoilt[100_000:150_000] = bytes(50_000)
+    (tmp_path / "a.warc.gz").write_bytes(bytes(spoilt) + good)
+    reader = warc.Reader({"path": str(tmp_path)}, schema)
+    list(reader.pushFilters([EqualTo(("record_type",), "response")]))
+    got = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+    assert got == [{"record_type": "response", "page_id": 1, "payload": b"A" * 50_000}]
+
+
+def test_foreign_archives(tmp_path):
+    """Members without lengths, one member for a whole file, plain files, folded fields, other line ends, and an archive that is cut off."""
+    two = [warc.record({"WARC-Type": "response", "Page-Id": str(i), "Content-Type": "application/http; msgtype=response"}, b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody %d" % i) for i in (1, 2)]
+    folded = b"WARC/1.0\nWARC-Type:\n resource\nPage-Id: 3\nContent-Length: 6\n\nplain\n\n\n"
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, two)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(two)))
+    (tmp_path / "c.warc").write_bytes(two[0] + folded)
+    (tmp_path / "_d.warc").write_bytes(b"hidden")
+    schema = StructType([StructField("page_id", LongType()), StructField("record_type", StringType()), StructField("payload", BinaryType())])
+    reader = warc.Reader({"path": str(tmp_path)}, schema)
+    got = [tuple(r.values()) for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+    assert Counter(got) == Counter({(1, "response", b"body 1"): 3, (2, "response", b"body 2"): 2, (3, "resource", b"plain\n"): 1})
+    heads = warc.Reader({"path": str(tmp_path)}, StructType(schema.fields[:2]))
+    assert sum(len(b) for part in heads.partitions() for b in heads.read(part)) == 6
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(two[0])[:-30])
+    with pytest.raises(EOFError):
+        [b for part in heads.partitions() for b in heads.read(part)]
+
+
+def test_a_task_that_fails_leaves_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    warc.register(spark)
+    path = tmp_path / "archive"
+    rows = spark.range(2000).select(F.lit("resource").alias("record_type"), F.when(F.col("id") == 1999, F.raise_error(F.lit("no"))).otherwise("x").cast("binary").alias("payload"))
+    with pytest.raises(Exception, match="no"):
+        rows.repartition(4).write.format("warc").mode("append").save(f"file://{path}")
+    assert not path.exists() or not [p for p in path.rglob("*") if p.is_file()]
