@@ -181,7 +181,7 @@ def parse_header(stream: Plain | Inflated) -> dict[str, str] | None:
         if not text:
             return fields
         if text[0] in " \t" and name:
-            fields[name] += " " + text.strip()
+            fields[name] = f"{fields[name]} {text.strip()}".strip()
         else:
             name, _, value = text.partition(":")
             name = name.strip().lower()
@@ -457,7 +457,10 @@ def register(spark: SparkSession) -> None:
 
 
 def read_records(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
-    """The records of the archives below a path; the columns named are the header fields and payloads that are read."""
+    """The records of the archives below a path; the columns named are the header fields and payloads that are read.
+
+    Load anew for each set of filters: a loaded table keeps those pushed to it last, also for a question without any.
+    """
     register(spark)
     return spark.read.format("warc").schema(schema).load(path)
 
