@@ -31,10 +31,12 @@ from mirrorkeep.llm.common import sliced, worker_memory
 from mirrorkeep.operators.skew import lookup
 
 MARK = "▁"
-# Segments that a worker remembers, segments that are encoded together, and bytes of text whose segments are aligned together.
-REMEMBERED = 300_000
+# Segments whose alignment a worker remembers, those it remembers to have seen once, segments that are encoded together, and bytes
+# of text whose segments are aligned together.
+REMEMBERED = 120_000
+SEEN_ONCE = 400_000
 TOGETHER = 400
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 # The counts of pairs are broadcast up to this size.
 MAX_BROADCAST_BYTES = 64 << 20
 PAIR_BYTES = 24
@@ -126,6 +128,7 @@ class Aligner:
         self.space = self.second.piece_to_id(MARK)
         self.decimals = [str(i) + mark for side in (self.a, self.b) for i in range(len(side.raw)) for mark in ",|;"]
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.once: set[str] = set()
 
     def ids_a(self, texts: list[str]) -> list[list[int]]:
@@ -226,17 +229,20 @@ class Aligner:
 
     def of_segments(self, segments: list[str], counts: list[int], uneven: set[str]) -> tuple[Segments, list[int]]:
         """``aligned`` of different segments, in another order, and the place of each in it; those that come again are kept, up to a number."""
-        old = [i for i, s in enumerate(segments) if s in self.known]
-        new = [i for i, s in enumerate(segments) if s not in self.known]
+        rows = [self.known.get(s) or self.older.get(s) for s in segments]
+        old = [i for i, row in enumerate(rows) if row]
+        new = [i for i, row in enumerate(rows) if not row]
         fresh, order = self.aligned([segments[i] for i in new], uneven)
-        found = fresh + Segments.of([self.known[segments[i]] for i in old])
+        found = fresh + Segments.of([rows[i] for i in old])
         again = [k for k, i in enumerate(order) if (counts[new[i]] > 1 or segments[new[i]] in self.once) and len(segments[new[i]]) < 100]
-        if len(self.known) + len(again) > REMEMBERED:
-            self.known = {}
-        if len(self.once) + len(new) > REMEMBERED:
+        # What is asked for again goes from the older half of the memory to the newer one.
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        self.known.update((segments[i], rows[i]) for i in old)
+        self.known.update((segments[new[order[k]]], fresh.row(k)) for k in again[: REMEMBERED // 2])
+        if len(self.once) + len(new) > SEEN_ONCE:
             self.once = set()
-        self.known.update((segments[new[order[k]]], fresh.row(k)) for k in again[:REMEMBERED])
-        self.once.update(segments[i] for i in new[:REMEMBERED])
+        self.once.update(segments[i] for i in new[:SEEN_ONCE])
         return found, [new[i] for i in order] + old
 
 
