@@ -107,15 +107,27 @@ def curve(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[np.ndarray, float, float]:
-    """The model, from at most ``rows`` labelled rows that are not held out; rows without a label or id are not used.
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """doc_id, quality, text of at most ``rows`` labelled rows that are not held out; rows without a label or id are not used.
 
-    Features are taken where the texts are read; one task gets at most ``rows`` lists of places and fits.
+    Rows that share id, text and label are one. Of an id with very many texts or labels no more than ``rows`` are taken either.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    chosen = usable.select("doc_id", "quality").orderBy(md5_bits(F.col("doc_id").cast("string"), 60), "doc_id", "quality").limit(rows)
-    # Bounded by the number of rows.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    order = md5_bits(F.col("doc_id").cast("string"), 60)
+    chosen = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct().orderBy(order, "doc_id", "quality").limit(rows)
+    # Both lists are bounded by the number of rows.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    keys = texts.select("doc_id", "mark").join(F.broadcast(chosen), "doc_id").distinct().orderBy(order, "doc_id", "quality", "mark").limit(rows)
+    sample = texts.join(F.broadcast(keys), ["doc_id", "mark"]).groupBy("doc_id", "mark", "quality").agg(F.first("text").alias("text"))
+    return sample.select("doc_id", "quality", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[np.ndarray, float, float]:
+    """The model, from ``training_rows``.
+
+    Features are taken where the texts are; one task gets at most ``rows`` lists of places and fits.
+    """
+    sample = training_rows(docs, labels, rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -133,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tupl
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()]), pa.array([slope]), pa.array([offset])], ["weights", "slope", "offset"])
 
     fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, places array<long>"
-    extracted = sample.withColumn("quality", F.col("quality").cast("int")).mapInArrow(extract, fields)
+    extracted = sample.mapInArrow(extract, fields)
     ordered = extracted.repartition(1).sortWithinPartitions("doc_id", "quality", F.hash("places"))
     model = ordered.mapInArrow(solve, "weights binary, slope double, offset double").first()
     if model is None:

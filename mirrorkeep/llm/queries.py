@@ -38,11 +38,11 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op8_topk_search"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), term AS (SELECT vec_id, unnest(range(len(v))) AS t, unnest(v) AS w FROM v),
-scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.w * c.w)::BIGINT AS score
-  FROM term q JOIN term c ON q.t = c.t AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)

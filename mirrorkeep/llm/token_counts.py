@@ -66,8 +66,11 @@ def chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, int,
 
 
 def splice_place(text: str, starts: list[int], begin: int, end: int) -> int | None:
-    """Number of the first token in text[begin:end] that starts at a stable boundary."""
-    return next((n for n, s in enumerate(starts) if max(begin, 1) <= s < end and text[s] == " " and text[s - 1] != " "), None)
+    """Number of the first token behind ``begin`` and before ``end`` that starts at a stable boundary.
+
+    The place at ``begin`` has nothing before it in the chunk on its right, so neither chunk looks at it.
+    """
+    return next((n for n, s in enumerate(starts) if begin < s < end and text[s] == " " and text[s - 1] != " "), None)
 
 
 def count_huge(docs: DataFrame, path: str, size: int, overlap: int) -> DataFrame:

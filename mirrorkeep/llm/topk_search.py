@@ -24,9 +24,9 @@ QUERY_BLOCK = 1024
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """id, v: each component x as floor(scale * x). Rows with a null vector, component or id, or a component
-    that is not finite, are left out, and so are vectors without components."""
+    that is not finite, are left out. A vector without components takes part, with products of 0."""
     x = F.col(vec_col)
-    usable = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0)
+    usable = F.col(id_col).isNotNull() & x.isNotNull()
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     whole = F.transform(x, lambda e: F.floor(e.cast("double") * scale))
     return vectors.where(usable & finite).select(F.col(id_col).cast("bigint").alias("id"), whole.alias("v"))

@@ -148,7 +148,7 @@ def test_words_are_encoded_as_in_the_text():
 
 
 def plain_top(vectors, k, asks):
-    rows = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    rows = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for q, a in rows:
         if asks(q):

@@ -96,6 +96,21 @@ def test_a_splice_is_a_boundary_of_both_chunks():
             assert 200 * i + place in whole and {200 * i + s for s in starts if s >= place and s < 200} <= whole
 
 
+def test_plain_texts_align_in_round_one():
+    """Both chunks of every boundary find the same splice, also where the boundary is a space."""
+    dice, counter = random.Random(8), token_counts.Counter(MODEL)
+    for size, overlap in [(32_768, 256), (1000, 64)] * 4:
+        text = " ".join("".join(dice.choices("abcdeé", k=dice.randint(1, 9))) for _ in range(25_000))[:100_000]
+        covered, tokens = 0, 0
+        for _, head, tail, part in token_counts.chunks(text, size, overlap):
+            starts = counter.starts(part)
+            first = token_counts.splice_place(part, starts, 0, head) if head else 0
+            last = token_counts.splice_place(part, starts, len(part) - tail, len(part)) if tail else len(starts)
+            covered += (starts[last] if tail else len(part)) - (starts[first] if head else 0)
+            tokens += last - first
+        assert covered == len(text) and tokens == len(counter.model.encode(text))
+
+
 def labelled(n):
     dice = random.Random(9)
     rows, labels = [], []
@@ -130,11 +145,46 @@ def test_classifier_without_labels_or_rows(spark):
     assert quality_model.classify(frame(spark, []), none).count() == 0
 
 
+def test_labelled_rows_are_bounded_whatever_repeats(spark):
+    rows, labels = labelled(40)
+    docs = frame(spark, rows + [(1, f"text number {i} of one id", "en", "src0", 0) for i in range(300)] + [rows[3]] * 50)
+    known = spark.createDataFrame(labels + labels[:3] + [(1, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    every = quality_model.training_rows(docs, known)
+    open_ids = {i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert every.count() == len(open_ids) + (301 * 2 - 1) * (1 in open_ids)
+    assert quality_model.training_rows(docs, known, 20).count() == 20
+    models = [quality_model.train(d, known) for d in (docs, docs.unionByName(docs))]
+    assert np.array_equal(models[0][0], models[1][0]) and models[0][1:] == models[1][1:]
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
-    """The primal and the dual value meet."""
+    """The value reached is that of a dense plain solver, whose primal and dual values meet; the margins are too."""
     dice = np.random.RandomState(3)
     rows = [np.unique(np.concatenate([dice.randint(0, 40, 6), [quality_model.SIZE - 1]])) for _ in range(60)]
     good = np.array([int(0 in r or 1 in r or 2 in r) for r in rows], dtype=bool)
     weights, slope, _ = quality_model.fit(rows, good)
     margins = np.array([weights[r].sum() / np.sqrt(len(r)) for r in rows])
     assert slope > 0 and ((margins > 0) == good).mean() > 0.95
+    # The same problem, dense: ratio-scaled indicators of the columns in use.
+    used = np.unique(np.concatenate(rows))
+    counts = [np.ones(quality_model.SIZE), np.ones(quality_model.SIZE)]
+    for r, g in zip(rows, good):
+        counts[int(g)][r] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    ratio[quality_model.SIZE - 1] = 1.0
+    x = np.array([np.isin(used, r) * ratio[used] / np.sqrt(len(r)) for r in rows])
+    y = np.where(good, 1.0, -1.0)
+    cost = quality_model.COST * len(y) / 2 / np.where(good, good.sum(), (~good).sum())
+    alpha, gram = np.zeros(len(y)), (x @ x.T) * np.outer(y, y)
+    for _ in range(4000):
+        for i in range(len(y)):
+            alpha[i] = min(max(alpha[i] + (1 - gram[i] @ alpha) / gram[i, i], 0.0), cost[i])
+    best = (alpha * y) @ x
+
+    def primal(w):
+        return w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+
+    dual = alpha.sum() - alpha @ gram @ alpha / 2
+    assert abs(primal(best) - dual) <= 1e-6 * dual
+    mine = np.where(ratio[used] == 0, 0, weights[used] / np.where(ratio[used] == 0, 1, ratio[used]))
+    assert abs(primal(mine) - dual) <= 1e-3 * dual and np.abs(margins - x @ best).max() < 0.05
