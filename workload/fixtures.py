@@ -222,6 +222,32 @@ def content_dst_inv(spark: SparkSession, sf_dir: str, rules: str | None) -> Data
     )
 
 
+def other_contents(docs: DataFrame) -> DataFrame:
+    """The documents as another cluster has them: some are missing, some have no text, some it has alone."""
+    kept = docs.where("doc_id % 50 <> 7").withColumn("text", F.when(F.col("doc_id") % 64 == 1, F.lit("")).otherwise(F.col("text")))
+    return kept.unionByName(docs.where("doc_id % 97 = 5").withColumn("doc_id", F.col("doc_id") + 10_000_000))
+
+
+def later_contents(docs: DataFrame) -> DataFrame:
+    """The documents some time later: a collection is gone, and some texts of another are changed."""
+    changed = (F.col("collection") == "src3_collection") & (F.col("doc_id") % 10 == 3)
+    return docs.where("collection <> 'src9_collection'").withColumn("text", F.when(changed, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+
+
+def content_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of the replicas of the documents: size, largest id and a time of their shard."""
+    sizes = contents(spark, sf_dir).groupBy("collection", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("version"))
+    return content_inv(spark, sf_dir).join(sizes, ["collection", "shard"]).select(
+        "collection",
+        F.col("node").alias("host"),
+        "core",
+        "available",
+        F.col("n").cast("int").alias("num_docs"),
+        "version",
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(n as int))").alias("last_modified"),
+    )
+
+
 def samples(events: DataFrame) -> DataFrame:
     """Event rows as polled status samples; works on a stream too."""
     core = F.concat(F.lit("core"), F.col("user_id").cast("string"))

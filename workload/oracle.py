@@ -212,23 +212,19 @@ _REASON = """
   ||case when drift then '  last index update time between source and replica are different more than 60 minutes: source: '
                          ||src_time||' replica: '||dst_time else '' end"""
 
+# One pass over the plan: each destination core has one status, and so has each source core.
 _POST_COPY = f"""
-select p.dest_collection, p.dest_core as entity, p.source_core,
-  case when not p.ok or not m.dst_up or not m.src_up or m.src_version > m.dst_version or m.drift
-       then 'failed' else 'ok' end as status,
-  case when not p.ok then p.reason
-       when not m.dst_up then 'Replication Failed since source Core is not available..'
-       else {_REASON} end as reason
-from plan p
-left join (
-  select d.core as dst_core, s.core as src_core, d.available as dst_up, s.available as src_up,
+select dest_collection, entity, source_core,
+  case when not ok or not dst_up or not src_up or src_version > dst_version or drift then 'failed' else 'ok' end as status,
+  case when not ok then said when not dst_up then 'Replication Failed since source Core is not available..' else {_REASON} end as reason
+from (
+  select p.dest_collection, p.dest_core as entity, p.source_core, p.ok, p.reason as said, d.available as dst_up, s.available as src_up,
     s.version as src_version, d.version as dst_version,
-    strftime(s.last_modified,'%Y-%m-%dT%H:%M:%S.%gZ') as src_time,
-    strftime(d.last_modified,'%Y-%m-%dT%H:%M:%S.%gZ') as dst_time,
-    s.node||'/'||s.core as src_label, d.node||'/'||d.core as dst_label,
+    strftime(s.last_modified,'%Y-%m-%dT%H:%M:%S.%gZ') as src_time, strftime(d.last_modified,'%Y-%m-%dT%H:%M:%S.%gZ') as dst_time,
+    s.node||'/'||s.core||case when s.available then '' else ' [Unavailable]' end as src_label,
+    d.node||'/'||d.core||case when d.available then '' else ' [Unavailable]' end as dst_label,
     abs(date_diff('millisecond', s.last_modified, d.last_modified)) > 3600000 as drift
-  from plan q join src_inv s on s.core=q.source_core join dst_inv d on d.core=q.dest_core) m
-  on m.dst_core=p.dest_core and m.src_core=p.source_core"""
+  from plan p left join dst_inv d on d.core=p.dest_core left join src_inv s on s.core=p.source_core) m"""
 
 _COMPLETION = """
 select req, started, finished,
@@ -453,6 +449,24 @@ select core, leader is not null and available as ok,
 from inv""",
     "clone_collections": _clone(_PLAIN_FORWARD, 1),
     "clone_with_rename": _clone(_NEW_FORWARD, 4),
+    "content_diff": """
+with other as (
+  select collection, shard, doc_id, case when doc_id%64=1 then '' else text end as text, n_chars from contents where doc_id%50<>7
+  union all select collection, shard, doc_id+10000000, text, n_chars from contents where doc_id%97=5)
+select coalesce(c.collection, o.collection) as collection, coalesce(c.shard, o.shard) as shard, coalesce(c.doc_id, o.doc_id) as doc_id,
+  case when o.doc_id is null then 'add' when c.doc_id is null then 'remove' else 'replace' end as op
+from contents c full join other o on o.collection=c.collection and o.shard=c.shard and o.doc_id=c.doc_id
+where o.doc_id is null or c.doc_id is null or o.text<>c.text or o.n_chars<>c.n_chars""",
+    "clone_resumed": f"""
+select dest_collection, dest_core as entity, source_core, status, reason, 0::bigint as copied_twice from ({_clone(_PLAIN_FORWARD, 1)}) c""",
+    "clone_incremental": """
+select collection, case when collection='src9_collection' then 'dropped'
+    when bool_or(collection='src3_collection' and doc_id%10=3) then 'written' else 'kept' end as action,
+  case when collection='src9_collection' then 0 else count(*) end as docs
+from contents group by collection""",
+    "drop_partitions": """
+select collection, count(*) as docs, cast(sum(n_chars) as bigint) as chars from contents
+where collection not in ('src1_collection','src7_collection') group by collection""",
     "full_backup": f"""
 select 'tree' as step, s.path as entity, 'ok' as status,
   case when d.path is null then 'create' when d.data=s.data then 'same' else 'set' end as detail
@@ -527,10 +541,14 @@ def _views(sql: str) -> list[str]:
     return order
 
 
+# Views that others use several times.
+ONCE = ("inv", "src_inv", "dst_inv", "wanted", "best", "plan")
+
+
 def statements() -> dict[str, str]:
     out = {}
     for name, sql in SQL.items():
-        ctes = ",\n".join(f"{v} as ({VIEWS[v]})" for v in _views(sql))
+        ctes = ",\n".join(f"{v} as {'materialized ' if v in ONCE else ''}({VIEWS[v]})" for v in _views(sql))
         body = sql.strip()
         if ctes and body.startswith("with "):
             out[name] = f"with {ctes},\n{body[5:]}"

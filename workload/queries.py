@@ -18,8 +18,8 @@ from mirrorkeep.functions.naming import (
     shard_key,
 )
 from mirrorkeep.functions.status import core_label, is_replicating, source_gate
-from mirrorkeep.operators import inventory, matching, metadata, monitor, selection, verify
-from mirrorkeep.plans import clone, sync
+from mirrorkeep.operators import difference, inventory, matching, metadata, monitor, selection, verify
+from mirrorkeep.plans import clone, store, sync
 from mirrorkeep.sources import cluster_state, status, tree
 from mirrorkeep.streaming import monitor as streaming
 from workload import fixtures as t
@@ -573,6 +573,47 @@ def apply_delete(spark, sf_dir):
     return left.groupBy("collection").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
 
 
+@query
+def content_diff(spark, sf_dir):
+    docs = t.contents(spark, sf_dir)
+    return difference.content_diff(docs, t.other_contents(docs))
+
+
+@query
+def clone_resumed(spark, sf_dir):
+    """A clone that stops after its first wave and is started again: the check of its cores, and partitions that both runs wrote."""
+    into = store.Store(shared_dir(spark, "store"))
+    tables = t.content_inv(spark, sf_dir), t.content_dst_inv(spark, sf_dir, None), t.contents(spark, sf_dir), t.content_status(spark, sf_dir)
+    size = tables[2].agg(F.sum(F.octet_length("text"))).first()[0]
+    first = store.clone_into(into, *tables, wave_bytes=max(size // 3, 1), max_waves=1)
+    second = store.clone_into(into, *tables, wave_bytes=max(size // 3, 1))
+    written = [done.refreshed.partitions.where("action = 'written'").select("collection", "bits", "part") for done in (first, second)]
+    twice = written[0].join(written[1], ["collection", "bits", "part"]).count()
+    return second.diagnostics.withColumn("copied_twice", F.lit(twice).cast("long"))
+
+
+@query
+def clone_incremental(spark, sf_dir):
+    """What a second copy does with each collection, after some documents have changed and a collection has gone."""
+    into = store.Store(shared_dir(spark, "store"))
+    docs = t.contents(spark, sf_dir)
+    store.refresh(docs, into)
+    done = store.refresh(t.later_contents(docs), into)
+    return done.partitions.groupBy("collection").agg(F.max("action").alias("action"), F.sum("docs").alias("docs"))
+
+
+@query
+def drop_partitions(spark, sf_dir):
+    """What a store holds after a delete plan was applied to its partitions, twice."""
+    into = store.Store(shared_dir(spark, "store"))
+    docs = t.contents(spark, sf_dir)
+    store.refresh(docs, into)
+    plan = selection.delete_plan(docs, ["collection1", "src1_collection", "src7_collection", "no_such_collection"])
+    for _ in range(2):
+        store.drop_collections(spark, into, plan)
+    return store.read(spark, into).groupBy("collection").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
+
+
 @query
 def full_backup(spark, sf_dir):
     return sync.full_backup(
