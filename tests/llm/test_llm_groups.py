@@ -46,6 +46,54 @@ def test_jaccard_groups(spark, rows):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_groups(rows)
 
 
+@pytest.mark.parametrize("block, members", [(8, 1 << 19), (512, 1 << 19), (512, 700)])
+def test_jaccard_in_homes_cut_into_blocks(spark, monkeypatch, block, members):
+    """Copies of one text that are similar to it but mostly not to each other: only all pairs of the group tell its components."""
+    monkeypatch.setattr(jaccard_join, "HOME_FROM", 4)
+    monkeypatch.setattr(jaccard_join, "HOME_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "HOME_MEMBERS", members)
+    dice = random.Random(77)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(90)]
+        texts = [" ".join(base)] * (g > 0)
+        for _ in range(40):
+            parts = list(base)
+            for at in dice.sample(range(30, 90), dice.choice([1, 2, 3, 3, 4])):
+                parts[at] = f"x{dice.randrange(10**6)}"
+            texts.append(" ".join(parts))
+        rows += texts
+    dice.shuffle(rows)
+    rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate(rows)]
+    want = plain_groups(rows)
+    assert 3 < len({c for _, _, c in want}) < len(rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(frame(spark, rows)).collect()) == want
+
+
+def test_blocks_are_compared_by_postings():
+    dice = np.random.RandomState(4)
+    sets = [np.unique(dice.randint(0, 30, 20)).astype(np.uint64) for _ in range(60)]
+    sizes = np.array(list(map(len, sets)))
+    plain = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert plain and set(zip(*(x.tolist() for x in jaccard_join.linked(sets, sizes, 60)))) == plain
+    assert set(zip(*(x.tolist() for x in jaccard_join.linked(sets, sizes, 25)))) == {p for p in plain if p[0] < 25}
+    a, b = (np.array(x) for x in zip(*sorted(plain)))
+    kept = jaccard_join.forest(a, b, 60)
+    assert kept.sum() < len(a)
+    few, every = ({frozenset(c) for c in parts(60, zip(x.tolist(), y.tolist()))} for x, y in ((a[kept], b[kept]), (a, b)))
+    assert few == every
+
+
+def parts(n, links):
+    of = {i: {i} for i in range(n)}
+    for x, y in links:
+        if of[x] is not of[y]:
+            of[x] |= of[y]
+            for z in of[y]:
+                of[z] = of[x]
+    return of.values()
+
+
 def test_jaccard_in_a_large_group_of_near_copies(spark):
     """A bucket that needs a tree, where the copies differ from each other by more than from the first."""
     dice = random.Random(4)
