@@ -108,7 +108,7 @@ def parse_core_status(docs: DataFrame) -> DataFrame:
 
 
 def parse_replication_status(docs: DataFrame) -> DataFrame:
-    """Is the copy of each core still running, how far is it, and for how long."""
+    """Is the copy of each core still running, how far is it, and for how long; what is left of it, null where the document does not say."""
     keep = [c for c in docs.columns if c != "doc"]
     part = (
         docs.select(*keep, _xml(F.col("doc"), REPLICATION_STATUS).alias("x"))
@@ -119,9 +119,16 @@ def parse_replication_status(docs: DataFrame) -> DataFrame:
     def field(name: str) -> Column:
         return F.coalesce(_named(F.col("s"), F.lit(name))["_VALUE"], F.lit(""))
 
+    def transfer(name: str) -> Column:
+        return F.when(~blank(field(name)), F.trim(field(name)))
+
     return part.select(
         *keep,
         is_replicating(field("currentDate"), field("isReplicating")).alias("replicating"),
         field("totalPercent").alias("percent_complete"),
         field("timeElapsed").alias("time_elapsed"),
+        transfer("downloadSpeed").alias("download_speed"),
+        transfer("timeRemaining").alias("time_remaining"),
+        transfer("bytesDownloaded").alias("bytes_downloaded"),
+        transfer("bytesToDownload").alias("bytes_to_download"),
     )

@@ -169,12 +169,13 @@ def test_replication_status(spark):
     doc = (
         '<response><lst name="details"><lst name="slave"><str name="currentDate">x</str>'
         '<str name="isReplicating">true</str><str name="totalPercent">42.0</str>'
-        '<str name="timeElapsed">10s</str></lst></lst></response>'
+        '<str name="timeElapsed">10s</str><str name="bytesDownloaded">7</str><str name="bytesToDownload">9 MB</str>'
+        '<str name="timeRemaining"> </str></lst></lst></response>'
     )
     none = '<response><lst name="details"/></response>'
     table = spark.createDataFrame([(1, doc), (2, none), (3, "<oops")], "id int, doc string")
     assert rows(parse_replication_status(table)) == [
-        (1, True, "42.0", "10s"), (2, True, "", ""), (3, True, "", ""),
+        (1, True, "42.0", "10s", None, None, "7", "9 MB"), (2, True, "", "", *[None] * 4), (3, True, "", "", *[None] * 4),
     ]
 
 

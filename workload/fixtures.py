@@ -13,7 +13,7 @@ from mirrorkeep.common import materialize, shared_dir
 from mirrorkeep.functions.naming import map_forward, parse_rules
 from mirrorkeep.operators.skew import lookup, numbered
 
-RULES = "_collection:_collectionnew,default:_copy"
+RULES = "_collection:_colmirror,default:_copy"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -270,17 +270,19 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as files in order of time, which a stream takes one by one."""
     events = table(spark, sf_dir, "events")
-    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    low, high, count = events.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
     folder = shared_dir(spark, "event-files")
     cuts = [low + (high - low) * i / 4 for i in range(1, 4)]
+    # Every quarter has so many files, and a micro-batch takes as many.
+    files = 1 + count // 1_000_000
     for begin, end in zip([None, *cuts], [*cuts, None]):
         part = events
         if begin is not None:
             part = part.where(F.col("ts") >= F.lit(begin).cast("timestamp_ntz"))
         if end is not None:
             part = part.where(F.col("ts") < F.lit(end).cast("timestamp_ntz"))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        part.repartition(files, "event_id").write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files)
     return samples(stream.parquet(folder))
 
 
@@ -303,7 +305,7 @@ def state_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "leader",
     )
     shard = F.struct(
-        F.lit("80000000-7fffffff").alias("range"),
+        F.concat("shard", F.lit("/"), F.col("rn").cast("string")).alias("range"),
         F.lit("active").alias("state"),
         F.create_map(F.concat(F.lit("core_node"), F.col("rn").cast("string")), replica).alias(
             "replicas"
@@ -311,8 +313,8 @@ def state_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     state = F.struct(
         F.create_map("shard", shard).alias("shards"),
-        F.lit("100").alias("maxShardsPerNode"),
-        F.lit("2").alias("replicationFactor"),
+        F.col("num_docs").cast("string").alias("maxShardsPerNode"),
+        F.col("rn").cast("string").alias("replicationFactor"),
     )
     return inv(spark, sf_dir).select(
         "collection", F.to_json(F.create_map("collection", state)).alias("doc")
@@ -421,6 +423,10 @@ def progress_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             *_value("str", "isReplicating", flag),
             *_value("str", "totalPercent", F.floor("value").cast("string")),
             *_value("str", "timeElapsed", F.concat(F.col("user_id").cast("string"), F.lit("s"))),
+            *_value("str", "bytesDownloaded", F.when(kind != "error", F.col("event_id").cast("string")).otherwise("")),
+            *_value("str", "bytesToDownload", (F.col("event_id") * 2).cast("string")),
+            *_value("str", "downloadSpeed", F.when(kind == "view", F.concat(F.col("user_id").cast("string"), F.lit(" KB"))).otherwise("")),
+            *_value("str", "timeRemaining", F.when(kind == "view", F.lit(" ")).otherwise(F.concat(F.col("user_id").cast("string"), F.lit("s")))),
             F.lit("</lst></lst></response>"),
         ).alias("doc"),
     )

@@ -26,10 +26,10 @@ from (select case when l_orderkey%3<>0 then 'c'||cast(l_orderkey as varchar)||'_
       from lineitem) t""",
     "src_inv": "select * from inv where l_returnflag<>'N'",
     "dst_inv": """
-select case when collection like '%collection' then replace(collection,'_collection','_collectionnew')
+select case when collection like '%collection' then replace(collection,'_collection','_colmirror')
             else collection||'_copy' end as collection,
   shard,
-  case when collection like '%collection' then replace(core,'_collection','_collectionnew')
+  case when collection like '%collection' then replace(core,'_collection','_colmirror')
        else replace(core,collection,collection||'_copy') end as core,
   rn, node, available, num_docs, version+(l_suppkey%3)-1 as version,
   last_modified + interval '1' minute * (l_partkey%90) as last_modified
@@ -58,11 +58,11 @@ from events""",
 select 'host'||cast(s_suppkey as varchar) as private, 'pub-'||s_name as public
 from supplier where s_suppkey%4<>0""",
     "state_doc": """
-select *, '{"'||collection||'":{"shards":{"'||shard||'":{"range":"80000000-7fffffff","state":"active","replicas":{"core_node'
+select *, '{"'||collection||'":{"shards":{"'||shard||'":{"range":"'||shard||'/'||cast(rn as varchar)||'","state":"active","replicas":{"core_node'
   ||cast(rn as varchar)||'":{"state":"'||state||'","core":"'||core||'","node_name":"'||node_name
   ||'","base_url":"http://'||node||':8983"'
   ||case when leader is null then '' else ',"leader":"'||leader||'"' end
-  ||'}}}},"maxShardsPerNode":"100","replicationFactor":"2"}}' as doc
+  ||'}}}},"maxShardsPerNode":"'||cast(num_docs as varchar)||'","replicationFactor":"'||cast(rn as varchar)||'"}}' as doc
 from inv""",
     "metadata": """
 select case when o_orderkey%3<>0 then 'c'||cast(o_orderkey as varchar)||'_collection'
@@ -72,12 +72,12 @@ from orders""",
     # Source names and the core each destination replica wants, for known collections only.
     "wanted": """
 select d.collection as dest_collection, d.shard, d.core as dest_core, d.node as dest_node,
-  case when d.collection like '%collectionnew' then replace(d.collection,'_collectionnew','_collection')
+  case when d.collection like '%colmirror' then replace(d.collection,'_colmirror','_collection')
        else replace(d.collection,'_copy','') end as collection,
-  case when d.collection like '%collectionnew' then replace(d.core,'_collectionnew','_collection')
+  case when d.collection like '%colmirror' then replace(d.core,'_colmirror','_collection')
        else replace(d.core,'_copy','') end as core
 from dst_inv d
-where (case when d.collection like '%collectionnew' then replace(d.collection,'_collectionnew','_collection')
+where (case when d.collection like '%colmirror' then replace(d.collection,'_colmirror','_collection')
             else replace(d.collection,'_copy','') end) in (select collection from src_inv)""",
     "peers": """
 select w.dest_collection, w.shard, w.dest_core, w.dest_node, w.collection,
@@ -117,7 +117,7 @@ select s.core as src_core, d.core as dst_core,
   strftime(d.last_modified,'%Y-%m-%dT%H:%M:%S.%gZ') as dst_time,
   abs(date_diff('millisecond', s.last_modified, d.last_modified)) > 3600000 as drift
 from src_inv s join dst_inv d
-  on s.core = case when d.collection like '%collectionnew' then replace(d.core,'_collectionnew','_collection')
+  on s.core = case when d.collection like '%colmirror' then replace(d.core,'_colmirror','_collection')
                    else replace(d.core,'_copy','') end""",
     "content_inv": """
 select collection, shard, collection||'_'||shard||'_replica'||cast(rn as varchar) as core,
@@ -238,13 +238,18 @@ from (select *, row_number() over (partition by core order by ts desc, event_id
       from progress) t
 where place=1"""
 
+_ALARMS = """
+select req, started from first_done
+where (finished is null or finished > started + interval 6 hour)
+  and started + interval 6 hour <= (select max(ts) from events) - interval 20 minute"""
+
 _PLAIN_FORWARD = "collection"
-_NEW_FORWARD = "replace(collection,'_collection','_collectionnew')"
+_NEW_FORWARD = "replace(collection,'_collection','_colmirror')"
 
 SQL = {
     "scan_cluster_state": """
-select collection, 100 as max_shards_per_node, 2 as replication_factor, shard,
-  '80000000-7fffffff' as range, 'active' as shard_state, 'core_node'||cast(rn as varchar) as replica,
+select collection, num_docs as max_shards_per_node, rn as replication_factor, shard,
+  shard||'/'||cast(rn as varchar) as range, 'active' as shard_state, 'core_node'||cast(rn as varchar) as replica,
   core, node_name, 'http://'||node||':8983' as base_url, state, leader from inv""",
     "flatten_state": "select collection, shard, core, rn, node_name, node, state, leader from inv",
     "state_size": """
@@ -264,7 +269,11 @@ from inv""",
     "parse_replication_status": """
 select event_id, event_type not in ('purchase','view') as replicating,
   cast(cast(floor(value) as bigint) as varchar) as percent_complete,
-  cast(user_id as varchar)||'s' as time_elapsed
+  cast(user_id as varchar)||'s' as time_elapsed,
+  case when event_type='view' then cast(user_id as varchar)||' KB' end as download_speed,
+  case when event_type<>'view' then cast(user_id as varchar)||'s' end as time_remaining,
+  case when event_type<>'error' then cast(event_id as varchar) end as bytes_downloaded,
+  cast(event_id*2 as varchar) as bytes_to_download
 from events""",
     "collection_size": "select collection, count(*) as docs from contents group by 1",
     "tree_paths": """
@@ -295,14 +304,14 @@ select distinct collection from inv except select collection from src_inv""",
     "shard_key": "select core, split_part(core,'_replica',1) as shard_key from inv",
     "map_forward": """
 select distinct collection,
-  case when contains(collection,'_collection') then replace(collection,'_collection','_collectionnew')
+  case when contains(collection,'_collection') then replace(collection,'_collection','_colmirror')
        else collection||'_copy' end as dest_collection
 from inv""",
     "map_reverse": """
 select collection, core,
-  case when contains(collection,'_collectionnew') then replace(collection,'_collectionnew','_collection')
+  case when contains(collection,'_colmirror') then replace(collection,'_colmirror','_collection')
        else replace(collection,'_copy','') end as source_collection,
-  case when contains(core,'_collectionnew') then replace(core,'_collectionnew','_collection')
+  case when contains(core,'_colmirror') then replace(core,'_colmirror','_collection')
        else replace(core,'_copy','') end as source_core
 from dst_inv""",
     "map_config": """
@@ -313,11 +322,11 @@ from (select distinct collection from inv) c left join metadata m on m.collectio
 with names as (select collection from inv union select collection from dst_inv),
 there as (
   select collection,
-    case when contains(collection,'_collection') then replace(collection,'_collection','_collectionnew')
+    case when contains(collection,'_collection') then replace(collection,'_collection','_colmirror')
          else collection||'_copy' end as dest_collection from names),
 back as (
   select *,
-    case when contains(dest_collection,'_collectionnew') then replace(dest_collection,'_collectionnew','_collection')
+    case when contains(dest_collection,'_colmirror') then replace(dest_collection,'_colmirror','_collection')
          else replace(dest_collection,'_copy','') end as back,
     count(*) over (partition by dest_collection) as sources
   from there)
@@ -363,9 +372,9 @@ from src_tree s left join dst_tree d on d.path=s.path""",
 select coalesce(d.collection, s.collection) as dest_collection, coalesce(d.core, s.core) as dest_core,
   case when d.core is null then 'source only' when s.core is null then 'destination only' else 'both' end as side
 from dst_inv d
-full join (select case when collection like '%collection' then replace(collection,'_collection','_collectionnew')
+full join (select case when collection like '%collection' then replace(collection,'_collection','_colmirror')
                        else collection||'_copy' end as collection,
-             case when collection like '%collection' then replace(core,'_collection','_collectionnew')
+             case when collection like '%collection' then replace(core,'_collection','_colmirror')
                   else replace(core,collection,collection||'_copy') end as core
            from src_inv) s on s.core=d.core""",
     "collections": "select distinct collection from inv",
@@ -520,10 +529,8 @@ select distinct r.core,
   case when r.core in (select core from progress where status='done') then 'unverified' else 'failed' end as verdict
 from failed_runs r""",
     # Alarms go off once the latest sample, less the allowed lateness, is past the deadline.
-    "overdue_alarms_stream": """
-select req, started from first_done
-where (finished is null or finished > started + interval 6 hour)
-  and started + interval 6 hour <= (select max(ts) from events) - interval 20 minute""",
+    "overdue_alarms_stream": _ALARMS,
+    "overdue_timers_stream": _ALARMS,
 }
 
 

@@ -22,6 +22,7 @@ from mirrorkeep.operators import difference, inventory, matching, metadata, moni
 from mirrorkeep.plans import clone, store, sync
 from mirrorkeep.sources import cluster_state, status, tree
 from mirrorkeep.streaming import monitor as streaming
+from mirrorkeep.streaming import timers
 from workload import fixtures as t
 
 RULES = parse_rules(t.RULES)
@@ -714,3 +715,11 @@ def overdue_alarms_stream(spark, sf_dir):
     stream = t.progress_stream(spark, sf_dir)
     streaming.run_overdue(stream, out, timeout=TIMEOUT).awaitTermination()
     return streaming.read_alarms(spark.read.parquet(f"{out}/alarms"))
+
+
+@query
+def overdue_timers_stream(spark, sf_dir):
+    """The alarms by timers in the state store; schema and rows are those of the alarms by a table of requests."""
+    out = shared_dir(spark, "alarms")
+    timers.run_overdue_timers(t.progress_stream(spark, sf_dir), out, timeout=TIMEOUT).awaitTermination()
+    return spark.read.schema("req string, started timestamp_ntz").parquet(out)
