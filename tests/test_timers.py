@@ -40,14 +40,14 @@ def test_a_timer_goes_off_in_a_file_of_others(spark, tmp_path):
     files = [[("stuck", 0, "replicating"), ("ok", 0, "replicating"), ("ok", 5, "done")], [("other", 100, "done")], [("more", 200, "done")]]
     out = str(tmp_path / "out")
     seen = [rows(alarms(spark, out), "req") for _ in files_one_by_one(spark, tmp_path, files, runner(out))]
-    assert seen == [[], [("stuck",)], [("stuck",)]]
+    assert seen == [[], [("stuck/r",)], [("stuck/r",)]]
 
 
 def test_state_is_taken_away_by_a_timer(spark, tmp_path):
     day = 24 * 60
     files = [[("stuck", 0, "replicating")], [("other", day, "done")], [("third", 40 * day, "done")], [("stuck", 40 * day, "replicating"), ("x", 41 * day, "done")]]
     out = str(tmp_path / "out")
-    counts = [alarms(spark, out).where("req = 'stuck'").count() for _ in files_one_by_one(spark, tmp_path, files, runner(out, keep="30 days"))]
+    counts = [alarms(spark, out).where("req = 'stuck/r'").count() for _ in files_one_by_one(spark, tmp_path, files, runner(out, keep="30 days"))]
     # After 30 days the name may stand for a new request.
     assert counts == [0, 1, 1, 2]
 
