@@ -24,7 +24,7 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull,
@@ -489,7 +489,7 @@ def with_record_types(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     return plain.withColumn("first", F.when(F.col("record_type") == "revisit", F.col("first"))).select(columns)
 
 
-def digest_id(digest: str) -> F.Column:
+def digest_id(digest: str) -> Column:
     """The id of the one response with a repeated payload."""
     parts = [F.substring(digest, start, n) for start, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
