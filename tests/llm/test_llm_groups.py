@@ -72,7 +72,7 @@ def test_jaccard_in_homes_cut_into_blocks(spark, monkeypatch, block, members):
 
 def test_blocks_are_compared_by_postings():
     dice = np.random.RandomState(4)
-    sets = [np.unique(dice.randint(0, 30, 20)).astype(np.uint64) for _ in range(60)]
+    sets = [np.unique(dice.randint(0, 30, 45)).astype(np.uint64) for _ in range(60)]
     sizes = np.array(list(map(len, sets)))
     plain = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
     assert plain and set(zip(*(x.tolist() for x in jaccard_join.linked(sets, sizes, 60)))) == plain
