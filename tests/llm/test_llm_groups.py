@@ -136,6 +136,20 @@ def test_finer_points_bound_the_overlap():
         assert shared <= jaccard_join.fine_bound(*points) == jaccard_join.fine_bound(*points[::-1]) <= min(map(len, sets))
 
 
+def test_finer_points_of_a_task_bound_the_overlap_of_any_two_rows():
+    dice = np.random.RandomState(12)
+    sets = [np.unique(dice.randint(0, 1 << 62, n, dtype=np.int64).astype(np.uint64)) for n in (1, 3, 90, 300, 700, 1500, 3000, 200_000)]
+    sets += [np.unique(np.concatenate([m[dice.rand(len(m)) < 0.9], sets[3][:20]])) for m in sets]
+    points = [jaccard_join.point(m, min(jaccard_join.fine_groups(len(m)), jaccard_join.SENT_GROUPS)) for m in sets]
+    # A coordinate that is full bounds nothing.
+    points[1] = bytes([jaccard_join.FULL]) + points[1][1:]
+    a, b = np.divmod(np.arange(len(sets) ** 2), len(sets))
+    most = jaccard_join.FinePoints(points).bound(a, b)
+    for x, y, found in zip(a, b, most):
+        assert found == jaccard_join.fine_bound(points[x], points[y])
+        assert found >= len(np.intersect1d(sets[x], sets[y]))
+
+
 def test_prefixes_of_similar_sets_meet():
     dice = np.random.RandomState(1)
     for _ in range(300):
