@@ -128,6 +128,25 @@ def core_health(inv: DataFrame, status: DataFrame) -> DataFrame:
     ).withColumn("available", F.coalesce("available", F.lit(False)))
 
 
+def cluster_health_rollup(inv: DataFrame) -> DataFrame:
+    """Health of every shard, every collection and each cluster, by grouping sets in one pass; ``level`` says which.
+
+    A row of a level has null in the finer columns; a null collection or shard of the table itself is a group of its level.
+    """
+    keys = scoped(inv, "collection", "shard")
+    up = F.coalesce("available", F.lit(False))
+    level = F.grouping_id()
+    return (
+        inv.groupingSets([keys, keys[:-1], keys[:-2]], *keys)
+        .agg(
+            F.when(level == 0, "shard").when(level == 1, "collection").otherwise("cluster").alias("level"),
+            F.bool_and(up).alias("healthy"),
+            F.count(F.lit(1)).alias("cores"),
+            F.count_if(~up).alias("unavailable"),
+        )
+    )
+
+
 def cluster_health(inv: DataFrame, by: str | None = "collection") -> DataFrame:
     """Are all cores available, and how many are not, per collection or in total."""
     keys = scoped(inv, by) if by else scoped(inv)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..common import DEFAULT_COLLECTION, scoped, shared_scope
 from ..functions.naming import Rules, map_config, map_forward, map_reverse
 from .inventory import collections, exclude_default, shard_count
-from .skew import lookup
+from .skew import lookup, numbered
 
 # Fixed value: the limit the create call is given.
 MAX_SHARDS_PER_NODE = 500
@@ -108,6 +108,31 @@ def missing_in_dest(
     )
 
 
+def place_replicas(replicas: DataFrame, nodes: DataFrame, limit: int = MAX_SHARDS_PER_NODE) -> DataFrame:
+    """``replicas`` (collection, shard, core, rn, node) with a live node each, out of ``nodes`` (node).
+
+    Replicas are numbered in order and nodes are taken in turn, so the copies of a shard are on different nodes, and the numbers of
+    replicas that any two nodes get, of a collection or in all, differ by one at most. A collection with a shard of more copies than there are nodes, or with
+    more than ``limit`` replicas a node, is not placed at all: its node is null.
+    """
+    keys = scoped(replicas, "collection")
+    on = shared_scope(replicas, nodes, "_all")
+    there = nodes.where("node is not null").select(*on[:-1], "node").distinct().withColumn("_all", F.lit(1))
+    slots = numbered(there, on, ["node"], "_slot")
+    sizes = there.groupBy(*on).agg(F.count(F.lit(1)).alias("_nodes"))
+    copies = replicas.groupBy(*keys, "shard").agg(F.count(F.lit(1)).alias("_copies"))
+    fit = copies.groupBy(*keys).agg(F.max("_copies").alias("_most"), F.sum("_copies").alias("_count"))
+    fit = fit.withColumn("_all", F.lit(1)).join(sizes, on, "left")
+    fits = (F.col("_most") <= F.col("_nodes")) & (F.col("_count") <= limit * F.col("_nodes"))
+    fit = fit.select(*keys, "_nodes", F.coalesce(fits, F.lit(False)).alias("_fits"))
+    rows = lookup(replicas.drop("node"), fit, keys, "left")
+    rows = numbered(rows, [*keys[:-1], "_fits"], ["collection", "shard", "rn", "core"], "_number")
+    turn = F.when(F.col("_fits"), (F.col("_number") - 1) % F.col("_nodes") + 1)
+    rows = rows.withColumn("_slot", turn.cast("int")).withColumn("_all", F.lit(1))
+    placed = lookup(rows, slots.select(*on, "_slot", "node"), [*on, "_slot"], "left")
+    return placed.select(*replicas.columns)
+
+
 def mapping_roundtrip(names: DataFrame, rules: Rules) -> DataFrame:
     """Names the rules do not bring back, or that share their destination with another.
 

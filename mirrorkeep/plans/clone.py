@@ -51,7 +51,7 @@ class CloneResult:
 def created_replicas(create: DataFrame, src_inv: DataFrame) -> DataFrame:
     """Replica rows of the collections to create: the source's shards, so many copies each.
 
-    Where a replica is placed is up to the destination cluster, so its node is null.
+    Where a replica is placed is up to the destination cluster, so its node is null; ``place_replicas`` deals them to live nodes.
     """
     keys = scoped(src_inv, "collection")
     shards = src_inv.select(*keys, "shard").distinct()

@@ -1,0 +1,91 @@
+import random
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from mirrorkeep.operators import inventory, selection
+from tests.helpers import ordered, rows
+
+SCHEMA = "cluster string, collection string, shard string, core string, rn int, node string, note string"
+
+
+def drawn(seed):
+    """Replicas to create in two clusters, and their live nodes; some collections ask for too much."""
+    dice = random.Random(seed)
+    nodes = {"east": [f"n{k}" for k in range(5)], "west": ["m1", "m2", "m3"]}
+    out = []
+    for cluster in nodes:
+        for c in range(12):
+            copies = dice.choice([1, 2, 3, 3, 4, 6])
+            for s in range(dice.randint(1, 9)):
+                for rn in range(1, copies + 1):
+                    out.append((cluster, f"c{c}", f"shard{s}", f"c{c}_shard{s}_replica{rn}", rn, None, "x"))
+    dice.shuffle(out)
+    return nodes, out
+
+
+def frames(spark, nodes, replicas):
+    live = [(c, n) for c, names in nodes.items() for n in [*names, names[0], None]]
+    return spark.createDataFrame(replicas, SCHEMA), spark.createDataFrame(live, "cluster string, node string")
+
+
+def test_replicas_are_dealt_evenly_within_the_limit(spark):
+    limit = 6
+    nodes, replicas = drawn(4)
+    got = selection.place_replicas(*frames(spark, nodes, replicas), limit).collect()
+    assert ordered(tuple(r)[:5] + tuple(r)[6:] for r in got) == ordered(r[:5] + r[6:] for r in replicas)
+    by_collection, by_shard = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_collection[r.cluster, r.collection].append(r.node)
+        by_shard[r.cluster, r.collection, r.shard].append(r.node)
+    verdicts = Counter()
+    for (cluster, name), placed in by_collection.items():
+        shards = [v for k, v in by_shard.items() if k[:2] == (cluster, name)]
+        fits = max(map(len, shards)) <= len(nodes[cluster]) and len(placed) <= limit * len(nodes[cluster])
+        verdicts[fits] += 1
+        if not fits:
+            assert set(placed) == {None}
+            continue
+        assert all(len(set(s)) == len(s) for s in shards)
+        load = [Counter(placed)[n] for n in nodes[cluster]]
+        assert sum(load) == len(placed) and max(load) - min(load) <= 1 and max(load) <= limit
+    assert verdicts[True] and verdicts[False]
+    for cluster, names in nodes.items():
+        load = Counter(r.node for r in got if r.cluster == cluster and r.node)
+        assert set(load) <= set(names) and max(load.values()) - min(load[n] for n in names) <= 1
+
+
+def test_placement_does_not_depend_on_how_hot_keys_are_cut(spark):
+    nodes, replicas = drawn(9)
+    plain = rows(selection.place_replicas(*frames(spark, nodes, replicas)))
+    spark.conf.set("mirrorkeep.skew.minRows", "1")
+    try:
+        assert rows(selection.place_replicas(*frames(spark, nodes, replicas))) == plain
+    finally:
+        spark.conf.unset("mirrorkeep.skew.minRows")
+
+
+def test_without_nodes_or_replicas(spark):
+    nodes, replicas = drawn(1)
+    made, live = frames(spark, nodes, replicas)
+    assert {r.node for r in selection.place_replicas(made, live.limit(0)).collect()} == {None}
+    assert selection.place_replicas(made.limit(0), live).count() == 0
+
+
+def test_health_at_every_level(spark):
+    cores = [("c1", "s1", True), ("c1", "s1", False), ("c1", None, True), ("c2", "s1", True), (None, None, None)]
+    inv = spark.createDataFrame(cores, "collection string, shard string, available boolean").withColumn("cluster", F.lit("east"))
+    got = inventory.cluster_health_rollup(inv)
+    assert got.columns == ["cluster", "collection", "shard", "level", "healthy", "cores", "unavailable"]
+    assert rows(got) == ordered(
+        [
+            ("east", "c1", "s1", "shard", False, 2, 1),
+            ("east", "c1", None, "shard", True, 1, 0),
+            ("east", "c2", "s1", "shard", True, 1, 0),
+            ("east", None, None, "shard", False, 1, 1),
+            ("east", "c1", None, "collection", False, 3, 1),
+            ("east", "c2", None, "collection", True, 1, 0),
+            ("east", None, None, "collection", False, 1, 1),
+            ("east", None, None, "cluster", False, 5, 2),
+        ]
+    )

@@ -13,7 +13,7 @@ from mirrorkeep.common import materialize, shared_dir
 from mirrorkeep.functions.naming import map_forward, parse_rules
 from mirrorkeep.operators.skew import lookup, numbered
 
-RULES = "_collection:_colmirror,default:_copy"
+RULES = "_collection:_twin,default:_copy"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

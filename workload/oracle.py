@@ -26,10 +26,10 @@ from (select case when l_orderkey%3<>0 then 'c'||cast(l_orderkey as varchar)||'_
       from lineitem) t""",
     "src_inv": "select * from inv where l_returnflag<>'N'",
     "dst_inv": """
-select case when collection like '%collection' then replace(collection,'_collection','_colmirror')
+select case when collection like '%collection' then replace(collection,'_collection','_twin')
             else collection||'_copy' end as collection,
   shard,
-  case when collection like '%collection' then replace(core,'_collection','_colmirror')
+  case when collection like '%collection' then replace(core,'_collection','_twin')
        else replace(core,collection,collection||'_copy') end as core,
   rn, node, available, num_docs, version+(l_suppkey%3)-1 as version,
   last_modified + interval '1' minute * (l_partkey%90) as last_modified
@@ -72,12 +72,12 @@ from orders""",
     # Source names and the core each destination replica wants, for known collections only.
     "wanted": """
 select d.collection as dest_collection, d.shard, d.core as dest_core, d.node as dest_node,
-  case when d.collection like '%colmirror' then replace(d.collection,'_colmirror','_collection')
+  case when d.collection like '%twin' then replace(d.collection,'_twin','_collection')
        else replace(d.collection,'_copy','') end as collection,
-  case when d.collection like '%colmirror' then replace(d.core,'_colmirror','_collection')
+  case when d.collection like '%twin' then replace(d.core,'_twin','_collection')
        else replace(d.core,'_copy','') end as core
 from dst_inv d
-where (case when d.collection like '%colmirror' then replace(d.collection,'_colmirror','_collection')
+where (case when d.collection like '%twin' then replace(d.collection,'_twin','_collection')
             else replace(d.collection,'_copy','') end) in (select collection from src_inv)""",
     "peers": """
 select w.dest_collection, w.shard, w.dest_core, w.dest_node, w.collection,
@@ -117,7 +117,7 @@ select s.core as src_core, d.core as dst_core,
   strftime(d.last_modified,'%Y-%m-%dT%H:%M:%S.%gZ') as dst_time,
   abs(date_diff('millisecond', s.last_modified, d.last_modified)) > 3600000 as drift
 from src_inv s join dst_inv d
-  on s.core = case when d.collection like '%colmirror' then replace(d.core,'_colmirror','_collection')
+  on s.core = case when d.collection like '%twin' then replace(d.core,'_twin','_collection')
                    else replace(d.core,'_copy','') end""",
     "content_inv": """
 select collection, shard, collection||'_'||shard||'_replica'||cast(rn as varchar) as core,
@@ -244,7 +244,7 @@ where (finished is null or finished > started + interval 6 hour)
   and started + interval 6 hour <= (select max(ts) from events) - interval 20 minute"""
 
 _PLAIN_FORWARD = "collection"
-_NEW_FORWARD = "replace(collection,'_collection','_colmirror')"
+_NEW_FORWARD = "replace(collection,'_collection','_twin')"
 
 SQL = {
     "scan_cluster_state": """
@@ -304,14 +304,14 @@ select distinct collection from inv except select collection from src_inv""",
     "shard_key": "select core, split_part(core,'_replica',1) as shard_key from inv",
     "map_forward": """
 select distinct collection,
-  case when contains(collection,'_collection') then replace(collection,'_collection','_colmirror')
+  case when contains(collection,'_collection') then replace(collection,'_collection','_twin')
        else collection||'_copy' end as dest_collection
 from inv""",
     "map_reverse": """
 select collection, core,
-  case when contains(collection,'_colmirror') then replace(collection,'_colmirror','_collection')
+  case when contains(collection,'_twin') then replace(collection,'_twin','_collection')
        else replace(collection,'_copy','') end as source_collection,
-  case when contains(core,'_colmirror') then replace(core,'_colmirror','_collection')
+  case when contains(core,'_twin') then replace(core,'_twin','_collection')
        else replace(core,'_copy','') end as source_core
 from dst_inv""",
     "map_config": """
@@ -322,11 +322,11 @@ from (select distinct collection from inv) c left join metadata m on m.collectio
 with names as (select collection from inv union select collection from dst_inv),
 there as (
   select collection,
-    case when contains(collection,'_collection') then replace(collection,'_collection','_colmirror')
+    case when contains(collection,'_collection') then replace(collection,'_collection','_twin')
          else collection||'_copy' end as dest_collection from names),
 back as (
   select *,
-    case when contains(dest_collection,'_colmirror') then replace(dest_collection,'_colmirror','_collection')
+    case when contains(dest_collection,'_twin') then replace(dest_collection,'_twin','_collection')
          else replace(dest_collection,'_copy','') end as back,
     count(*) over (partition by dest_collection) as sources
   from there)
@@ -354,6 +354,17 @@ select i.collection, i.collection as dest_collection, m.config, i.shards, 4 as r
 from (select collection, count(distinct shard) as shards from inv group by 1) i
 left join metadata m on m.collection=i.collection
 where i.collection not in (select collection from src_inv)""",
+    "place_replicas": """
+select r.collection, r.shard, r.core, r.rn, n.node
+from (select collection, shard, collection||'_'||shard||'_replica'||cast(rn as varchar) as core, rn,
+        row_number() over (order by collection, shard, rn) as number,
+        count(*) over (partition by collection) as replicas
+      from (select distinct collection, shard from inv
+            where collection not in (select collection from src_inv)) m
+      cross join (select cast(unnest(range(1, 5)) as int) as rn) k) r
+left join (select node, row_number() over (order by node) as slot, count(*) over () as nodes
+           from (select distinct node from inv where state='active' and node is not null) a) n
+  on (r.number-1)%n.nodes+1 = n.slot and n.nodes >= 4 and r.replicas <= 500*n.nodes""",
     "shard_parity": """
 select a.collection, a.n as source_shards, coalesce(b.n,0) as dest_shards
 from (select collection, count(distinct shard) as n from inv group by 1) a
@@ -372,9 +383,9 @@ from src_tree s left join dst_tree d on d.path=s.path""",
 select coalesce(d.collection, s.collection) as dest_collection, coalesce(d.core, s.core) as dest_core,
   case when d.core is null then 'source only' when s.core is null then 'destination only' else 'both' end as side
 from dst_inv d
-full join (select case when collection like '%collection' then replace(collection,'_collection','_colmirror')
+full join (select case when collection like '%collection' then replace(collection,'_collection','_twin')
                        else collection||'_copy' end as collection,
-             case when collection like '%collection' then replace(core,'_collection','_colmirror')
+             case when collection like '%collection' then replace(core,'_collection','_twin')
                   else replace(core,collection,collection||'_copy') end as core
            from src_inv) s on s.core=d.core""",
     "collections": "select distinct collection from inv",
@@ -401,6 +412,11 @@ group by 1""",
 select collection, core, node, available, case when available then num_docs else 0 end as num_docs,
   case when available then version else 0 end as version
 from inv""",
+    "cluster_health_rollup": """
+select collection, shard,
+  case grouping_id(collection, shard) when 0 then 'shard' when 1 then 'collection' else 'cluster' end as level,
+  bool_and(available) as healthy, count(*) as cores, count(*) filter (where not available) as unavailable
+from inv group by grouping sets ((collection, shard), (collection), ())""",
     "cluster_health": """
 select collection, bool_and(available) as healthy, count(*) as cores,
   count(*) filter (where not available) as unavailable

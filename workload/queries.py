@@ -299,6 +299,13 @@ def missing_in_dest(spark, sf_dir):
     )
 
 
+@query
+def place_replicas(spark, sf_dir):
+    inv = t.placed(spark, sf_dir)
+    create = selection.missing_in_dest(inv, t.src_inv(inv), Rules(), replication_factor=4)
+    return selection.place_replicas(clone.created_replicas(create, inv), inventory.live_nodes(inv))
+
+
 @query
 def shard_parity(spark, sf_dir):
     inv = t.placed(spark, sf_dir)
@@ -382,6 +389,11 @@ def core_health(spark, sf_dir):
     return inventory.core_health(inv, status.parse_core_status(t.status_documents(inv)))
 
 
+@query
+def cluster_health_rollup(spark, sf_dir):
+    return inventory.cluster_health_rollup(t.placed(spark, sf_dir))
+
+
 @query
 def cluster_health(spark, sf_dir):
     return inventory.cluster_health(t.placed(spark, sf_dir))
