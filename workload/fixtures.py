@@ -293,6 +293,20 @@ def host_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def yearly_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of every year: a core per part and supplier, on a node and in a state of its last line item."""
+    collection = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.date_trunc("year", "l_shipdate").cast("timestamp_ntz").alias("snapshot_ts"),
+        collection.alias("collection"),
+        F.lit("shard1").alias("shard"),
+        F.concat(collection, F.lit("_s"), F.col("l_suppkey").cast("string")).alias("core"),
+        F.col("l_orderkey").alias("rn"),
+        F.concat(F.lit("host"), (F.col("l_linenumber") % 2).cast("string")).alias("node"),
+        F.when(F.col("l_returnflag") == "R", "down").otherwise("active").alias("state"),
+    )
+
+
 def state_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State documents of the inventory, one per replica, so no group has to be collected."""
     replica = F.struct(

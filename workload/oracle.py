@@ -429,6 +429,26 @@ from inv group by 1, 2""",
 select date_trunc('year', last_modified) as snapshot_ts, collection, shard,
   coalesce(min_by(node_name||','||core, rn) filter (where lower(leader)='true'), 'NO_LEADER') as leader
 from inv group by 1, 2, 3""",
+    "core_history": """
+with yearly as (
+  select date_trunc('year', cast(l_shipdate as timestamp)) as snapshot_ts, 'p'||cast(l_partkey as varchar) as collection,
+    'p'||cast(l_partkey as varchar)||'_s'||cast(l_suppkey as varchar) as core, l_orderkey as rn,
+    'host'||cast(l_linenumber%2 as varchar) as node,
+    case when l_returnflag='R' then 'down' else 'active' end as state
+  from lineitem),
+last as (
+  select * from yearly
+  qualify row_number() over (partition by snapshot_ts, collection, core order by rn desc, node desc, state desc) = 1),
+times as (
+  select snapshot_ts, row_number() over (order by snapshot_ts) as place, lead(snapshot_ts) over (order by snapshot_ts) as next_ts
+  from (select distinct snapshot_ts from yearly) d),
+numbered as (
+  select l.*, t.place, t.next_ts,
+    t.place - row_number() over (partition by collection, core, node, state order by t.place) as span
+  from last l join times t on t.snapshot_ts=l.snapshot_ts)
+select collection, 'shard1' as shard, core, node, state, cast(min(snapshot_ts) as timestamp) as valid_from,
+  nullif(max(coalesce(next_ts, timestamp '9999-01-01')), timestamp '9999-01-01') as valid_to, count(*) as snapshots
+from numbered group by collection, core, node, state, span""",
     "core_to_best_by_snapshot": """
 with yearly as (select *, date_trunc('year', last_modified) as snapshot_ts from inv),
 picked as (

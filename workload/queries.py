@@ -18,7 +18,7 @@ from mirrorkeep.functions.naming import (
     shard_key,
 )
 from mirrorkeep.functions.status import core_label, is_replicating, source_gate
-from mirrorkeep.operators import difference, inventory, matching, metadata, monitor, selection, verify
+from mirrorkeep.operators import difference, history, inventory, matching, metadata, monitor, selection, verify
 from mirrorkeep.plans import clone, store, sync
 from mirrorkeep.sources import cluster_state, status, tree
 from mirrorkeep.streaming import monitor as streaming
@@ -410,6 +410,12 @@ def leader_by_snapshot(spark, sf_dir):
     return inventory.leader_by_shard(t.inv(spark, sf_dir).withColumn("snapshot_ts", yearly))
 
 
+@query
+def core_history(spark, sf_dir):
+    """A collection per part and a core per supplier of it, as the line items of each year leave them."""
+    return history.core_history(t.yearly_cores(spark, sf_dir))
+
+
 @query
 def core_to_best_by_snapshot(spark, sf_dir):
     yearly = F.date_trunc("year", "last_modified").cast("timestamp_ntz")
