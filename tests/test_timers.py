@@ -6,7 +6,7 @@ import time
 import pytest
 
 from mirrorkeep.streaming import timers
-from tests.helpers import rows
+from tests.helpers import ordered, rows
 from tests.test_monitor import files_one_by_one, overdue
 
 FIELDS = "req string, started timestamp_ntz"
@@ -52,6 +52,23 @@ def test_state_is_taken_away_by_a_timer(spark, tmp_path):
     assert counts == [0, 1, 1, 2]
 
 
+def test_requests_share_states(spark, tmp_path):
+    """States, and so calls, are as many as groups; requests without a name or of other clusters stay apart in them."""
+    t0 = dt.datetime(2024, 5, 1)
+    later = t0 + dt.timedelta(days=1)
+    names = [*(f"r{i}" for i in range(300)), None]
+    cells = [(c, r, t0 + dt.timedelta(seconds=i), "replicating") for c in ("east", "west", None) for i, r in enumerate(names)]
+    cells += [(c, r, t + dt.timedelta(minutes=5), "done") for i, (c, r, t, _) in enumerate(cells) if i % 3]
+    table = spark.createDataFrame([*cells, ("east", "last", later, "replicating")], "cluster string, req string, ts timestamp_ntz, status string")
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    table.repartition(5).write.parquet(path)
+    query = timers.run_overdue_timers(spark.readStream.schema(table.schema).parquet(path), out, timeout="20 minutes", groups=4)
+    query.awaitTermination()
+    wanted = [(c, r, t) for i, (c, r, t, _) in enumerate(cells[: 3 * len(names)]) if not i % 3]
+    assert rows(alarms(spark, out, f"cluster string, {FIELDS}")) == ordered(wanted)
+    assert 1 <= query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 4
+
+
 def test_an_alarm_goes_off_without_further_samples(spark, tmp_path):
     """By the time of day: nothing comes after the first file."""
     now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
