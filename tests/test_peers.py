@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from mirrorkeep.functions.naming import Rules, parse_rules
-from mirrorkeep.operators import inventory, matching, selection
+from mirrorkeep.operators import inventory, matching, selection, verify
 from tests.helpers import collection, draw, inv, replica, rows
 
 def plain_peers(src, dst, forward, back, wanted=None, fallback="first_two"):
@@ -178,3 +179,51 @@ def test_every_core_is_matched_once_in_a_hot_shard(spark, small_groups_hot):
     assert len(got) == len({r["dest_core"] for r in got}) == 60
     assert all(r["source_core"] == r["dest_core"] for r in got if r["how"] == "exact")
     assert sum(r["how"] == "replica1" for r in got) == 20
+
+
+def test_both_clusters_are_shuffled_once(spark, monkeypatch):
+    """Rows equal those of the operators one by one, with repeated, missing and default names; without a hot collection there is one shuffle by collection."""
+    dice, rules = random.Random(5), parse_rules("_collection:_twin,default:_copy")
+
+    def side(there):
+        cells = []
+        for _ in range(400):
+            c, shard = dice.choice(["a_collection", "b_idx", "collection1", None, "c_collection"]), dice.choice(["shard1", "shard2", "shard3", None])
+            n = dice.choice([1, 2, 3, 4, None])
+            if there and c and c != "collection1":
+                c = c.replace("_collection", "_twin") if "_collection" in c else f"{c}_copy"
+            core = None if c is None or n is None else f"{c}_{shard if dice.random() < 0.9 else 'shard1'}_replica{n}"
+            cells.append((dice.choice(["e", "w", None]), c, shard, core, n if dice.random() < 0.9 else None, dice.choice(["h1:8", "h2", None]), dice.choice([True, False, None])))
+        return spark.createDataFrame(cells, "cluster string, collection string, shard string, core string, rn int, node string, available boolean")
+
+    src, dst = side(False), side(True)
+    peers, plan = matching.peer_match(src, dst, rules), matching.copy_plan(src, dst, rules)
+    for df in (peers, plan):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+    monkeypatch.setattr(matching, "_met", lambda *args: None)
+    apart = matching.peer_match(src, dst, rules)
+    assert rows(peers) == rows(apart) and peers.count()
+    assert rows(plan) == rows(matching.replication_plan(apart, inventory.core_to_best(src)))
+
+
+def test_refused_requests_are_not_shuffled(spark, tmp_path):
+    """Each outcome of the check; requests without a source go past both joins, and of an unavailable replica nothing but that is sent."""
+    cells = [(f"{c}", "src", c, c != "refused", "" if c != "refused" else "no source") for c in ("fine", "behind", "down", "odd", "gone", "refused")]
+    spark.createDataFrame([("dst", d, s, c, ok, r) for d, s, c, ok, r in cells], "dest_collection string, dest_core string, collection string, source_core string, ok boolean, reason string").write.parquet(str(tmp_path / "plan"))
+    fields = "collection string, host string, core string, available boolean, num_docs int, version long, last_modified timestamp_ntz"
+    src = spark.createDataFrame([("src", "h", c, True, 1, 5, None) for c, *_ in cells], fields)
+    there = [("fine", True, 5), ("behind", True, 4), ("down", False, 3), ("odd", None, 3), ("refused", True, 5)]
+    dst = spark.createDataFrame([("dst", "h", c, up, 1, v, None) for c, up, v in there], fields)
+    got = verify.post_copy_check(spark.read.parquet(str(tmp_path / "plan")), src, dst)
+    down = "Replication Failed since source Core is not available.."
+    assert [r[1:] for r in rows(got)] == [
+        ("behind", "behind", "failed", "DataMatch-Failed: Version mismatch: this:5 replica:4"),
+        ("down", "down", "failed", down),
+        ("fine", "fine", "ok", ""),
+        ("gone", "gone", "unverified", "no status of the replica"),
+        ("odd", "odd", "failed", down),
+        ("refused", "refused", "failed", "no source"),
+    ]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter coalesce(ok" in text and "CASE WHEN available" in text
