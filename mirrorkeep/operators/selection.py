@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import DEFAULT_COLLECTION, scoped, shared_scope
+from ..common import DEFAULT_COLLECTION, materialize, scoped, shared_scope
 from ..functions.naming import Rules, map_config, map_forward, map_reverse
 from .inventory import collections, exclude_default, shard_count
 from .skew import lookup, numbered
@@ -114,7 +114,10 @@ def place_replicas(replicas: DataFrame, nodes: DataFrame, limit: int = MAX_SHARD
     Replicas are numbered in order and nodes are taken in turn, so the copies of a shard are on different nodes, and the numbers of
     replicas that any two nodes get, of a collection or in all, differ by one at most. A collection with a shard of more copies than there are nodes, or with
     more than ``limit`` replicas a node, is not placed at all: its node is null.
+
+    What the next step reads several times is written to the shared folder first.
     """
+    columns, replicas = replicas.columns, materialize(replicas.drop("node"), "replicas")
     keys = scoped(replicas, "collection")
     on = shared_scope(replicas, nodes, "_all")
     there = nodes.where("node is not null").select(*on[:-1], "node").distinct().withColumn("_all", F.lit(1))
@@ -125,12 +128,13 @@ def place_replicas(replicas: DataFrame, nodes: DataFrame, limit: int = MAX_SHARD
     fit = fit.withColumn("_all", F.lit(1)).join(sizes, on, "left")
     fits = (F.col("_most") <= F.col("_nodes")) & (F.col("_count") <= limit * F.col("_nodes"))
     fit = fit.select(*keys, "_nodes", F.coalesce(fits, F.lit(False)).alias("_fits"))
-    rows = lookup(replicas.drop("node"), fit, keys, "left")
+    rows = materialize(lookup(replicas, fit, keys, "left"), "fitted-replicas")
     rows = numbered(rows, [*keys[:-1], "_fits"], ["collection", "shard", "rn", "core"], "_number")
     turn = F.when(F.col("_fits"), (F.col("_number") - 1) % F.col("_nodes") + 1)
     rows = rows.withColumn("_slot", turn.cast("int")).withColumn("_all", F.lit(1))
+    rows = materialize(rows, "numbered-replicas")
     placed = lookup(rows, slots.select(*on, "_slot", "node"), [*on, "_slot"], "left")
-    return placed.select(*replicas.columns)
+    return placed.select(*columns)
 
 
 def mapping_roundtrip(names: DataFrame, rules: Rules) -> DataFrame:
