@@ -7,7 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from workload import check
+from workload import check, fixtures
 from workload.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -92,3 +92,9 @@ def test_sources_name_no_machine_folder():
         text = open(path).read()
         assert "localCheckpoint" not in text
         assert not re.search(r"[\"']/tmp", text), path
+
+
+def test_snapshots_are_put_together_in_one_shuffle(spark):
+    """Behind the one that numbers the replicas."""
+    plan = fixtures.snapshots(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
