@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows of a task that sorts the snapshots of its cores; it holds about 0.7 kB for each.
+SORTED_ROWS = 500_000
+
 
 def core_history(inv: DataFrame) -> DataFrame:
     """Spans of time in which a core was in every snapshot with the same node and state.
@@ -32,6 +35,8 @@ def core_history(inv: DataFrame) -> DataFrame:
     for c in cluster:
         here = here & F.col(c).eqNullSafe(F.col(f"_{c}"))
     seen = seen.join(times, here).select(*core, "snapshot_ts", "_at", "_next", "last.node", "last.state")
+    parts = max(int(inv.sparkSession.conf.get("spark.sql.shuffle.partitions")), inv.count() // SORTED_ROWS + 1)
+    seen = seen.repartition(parts, *cluster, "collection", "core")
     one = Window.partitionBy(*core).orderBy("_at")
     value = F.struct("node", "state")
     goes_on = (F.lag("_at").over(one) == F.col("_at") - 1) & F.lag(value).over(one).eqNullSafe(value)

@@ -1,6 +1,9 @@
 import random
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from mirrorkeep.operators import history
 from mirrorkeep.operators.history import core_history
 from tests.helpers import ordered, rows
 
@@ -42,3 +45,14 @@ def test_spans_of_cores(spark):
     assert got == plain(inv)
     assert any(r[-2] is None for r in got) and any(r[-1] > 1 for r in got)
     assert core_history(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_tasks_are_bounded_by_rows(spark, monkeypatch):
+    """Cores are dealt to more tasks than shuffle partitions where they have more rows, and each stays in one."""
+    cells = [(datetime(2024, 1, 1 + d), f"c{c}", "s", f"c{c}_r", 1, "n", "up") for d in range(2) for c in range(50)]
+    inv = spark.createDataFrame(cells, "snapshot_ts timestamp_ntz, collection string, shard string, core string, rn int, node string, state string")
+    monkeypatch.setattr(history, "SORTED_ROWS", 5)
+    got = core_history(inv.withColumn("shard", F.lit("s")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ", 21), REPARTITION_BY_NUM" in plan and plan.index("REPARTITION_BY_NUM") > plan.rindex("Window [lag")
+    assert got.count() == 50 and not got.where("snapshots <> 2 or valid_to is not null").count()
