@@ -70,6 +70,38 @@ def test_jaccard_in_homes_cut_into_blocks(spark, monkeypatch, block, members):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(frame(spark, rows)).collect()) == want
 
 
+def test_copies_without_the_largest_bucket_come_to_its_home(spark):
+    buckets = {1: range(90), 2: range(10, 95), 3: range(94, 98), 4: range(200, 260), 5: [*range(255, 260), *range(300, 350)], 6: range(400, 403)}
+    rows = [(bucket, node, 100 + node, node) for bucket, nodes in buckets.items() for node in nodes]
+    rows += [(7, node, 50, 1) for node in range(500, 600)]
+    found = jaccard_join.homes(spark.createDataFrame(rows, "bucket long, node long, n long, component long"), 4).collect()
+    want = {node: (1, 95) for node in range(95)}
+    # Most of bucket 3 is at home there, as most of bucket 5; buckets 6 and 7 are too small and one component.
+    want |= {node: (3, 3) for node in range(95, 98)} | {node: (4, 60) for node in range(200, 260)} | {node: (5, 50) for node in range(300, 350)}
+    assert len(found) == len(want) and {r.node: (r.home, r.size) for r in found} == want
+    assert {r.home: r.most for r in found} == {1: 194, 3: 197, 4: 359, 5: 449}
+
+
+def test_points_are_compared_some_at_a_time(monkeypatch):
+    dice = np.random.RandomState(6)
+    for length in (40, 300):
+        base = np.repeat(dice.randint(1, 5, (5, jaccard_join.GROUPS)), length, axis=0)
+        points = (base + dice.randint(0, 4, base.shape) * (dice.rand(*base.shape) < dice.rand(len(base), 1) / 3)).astype(np.uint8)
+        size, bucket = points.sum(axis=1).astype(np.int64), np.repeat(np.arange(5), length)
+        apart = np.arange(len(bucket))[:, None]
+        want = {(a, b) for a in range(len(bucket)) for b in range(a // length * length, a // length * length + length) if a != b
+                and 100 * min(size[a], size[b]) >= 75 * max(size[a], size[b])
+                and jaccard_join.bound(points[[a]], points[[b]])[0] >= jaccard_join.needed(size[a], size[b])}
+        asked, plain = [], jaccard_join.bound
+        with monkeypatch.context() as m:
+            m.setattr(jaccard_join, "COMPARED_TOGETHER", 64)
+            m.setattr(jaccard_join, "SEARCHED_TOGETHER", 1000, raising=False)
+            m.setattr(jaccard_join, "bound", lambda x, y: asked.append(len(x)) or plain(x, y))
+            found = [set(zip(a.tolist(), b.tolist())) for a, b in jaccard_join.survivors(bucket, size, points, apart)]
+        assert set().union(*found) == want and want
+        assert max(asked) <= 64
+
+
 def test_blocks_are_compared_by_postings():
     dice = np.random.RandomState(4)
     sets = [np.unique(dice.randint(0, 30, 45)).astype(np.uint64) for _ in range(60)]
