@@ -46,8 +46,8 @@ MARKS = ("\n", ".", ",")
 ODD = rf"^ | $| [{WHITE}.,]|<\|endoftext\|>"
 # Texts whose marks stay where they are: a mark behind something else than a letter or digit, or white space beside a line end.
 UNCLEAR = rf"^[.,\n]|[^\pL\pN][.,]|[{WHITE}]\n|\n[{WHITE}]|\n$"
-# Bytes of text that are encoded together.
-SLICE_BYTES = 16 << 20
+# Bytes of text that are encoded together. A worker takes some 50 times as much, and most of that stays with it for later stages.
+SLICE_BYTES = 4 << 20
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
