@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,3 +217,11 @@ def test_found_documents(spark):
     table = docs(spark, {"response": {"numFound": 12, "docs": []}}, "{}")
     got = table.select(cluster_state.found_documents(F.col("doc")).alias("n"))
     assert rows(got) == [(None,), (12,)]
+
+
+def test_a_shard_does_not_carry_its_collection_nor_a_replica_its_shard(spark, drawn):
+    scanned = cluster_state.scan_cluster_state(docs(spark, drawn[0]))
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    carried = re.findall(r"Generate explode\([^)]*\), \[([^\]]*)\]", plan)
+    assert len(carried) == 2
+    assert not any(re.search(r"\b[cs]#", names) for names in carried), carried
