@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mirrorkeep.functions.status import is_replicating, parse_time
 from mirrorkeep.operators import inventory, verify
+from mirrorkeep.sources import status
 from mirrorkeep.sources.status import parse_core_status, parse_replication_status
 from tests.helpers import rows
 
@@ -215,3 +216,59 @@ def test_junk_in_an_optional_number_makes_a_core_unavailable(spark):
     assert rows(parse_core_status(table), "id", "available", "num_docs") == [
         (0, True, 3), (1, False, 0), (2, True, 3), (3, True, 3), (4, False, 0),
     ]
+
+
+LOCKED = '<lst name="c1">locked</lst>'
+USER_DATA = '<lst name="userData"><str name="numDocs">9</str></lst>'
+USUAL = [
+    status_doc(),
+    status_doc(core="c2"),
+    status_doc(failure=LOCKED),
+    status_doc(failure=LOCKED.replace("c1", "c2")),
+    status_doc(index=f'{USER_DATA}<int name="deletedDocs">0</int>\n <long name="version">2</long>{USER_DATA}<int name="numDocs"> 1 </int>'),
+    status_doc(index='<int name="numDocs"></int><int name="numDocs">1</int><int name="deletedDocs">0</int><long name="version">2</long>'),
+    status_doc(index='<int name="numDocs">1</int><int name="deletedDocs">0</int><long name="version">2</long><int name="maxDoc">1.5</int>'),
+    status_doc(index=f'{USER_DATA}<int name="deletedDocs">0</int><long name="version">2</long>'),
+]
+ODD = [
+    status_doc(failure='<lst name="c1"> </lst>'),
+    status_doc(failure='<lst name="c1">a &amp; b</lst>'),
+    status_doc(failure='<lst name="status">locked</lst>'),
+    status_doc(core="index"),
+    status_doc(core="c1").replace("<int", "<!-- none --><int"),
+    status_doc(core="c1").replace(">12<", "><![CDATA[12]]><"),
+    status_doc(core="c1").replace(">12<", ">1]]>2<"),
+    status_doc(core="c1").replace(">c1<", ">\u00fc<"),
+    status_doc(core="c1").replace(">c1<", ">\x01<"),
+    status_doc(core="c1").replace('"numDocs"', "'numDocs'"),
+    status_doc(core="c1").replace('<lst name="index">', '<lst name="index"><lst name="x"><int name="numDocs">5</int></lst>'),
+    status_doc().replace("</response>", ""),
+    status_doc() + "<more/>",
+]
+
+
+def test_usual_documents_are_read_without_the_xml_reader_and_alike(spark, monkeypatch):
+    table = spark.createDataFrame([(i, "c1", d) for i, d in enumerate(USUAL + ODD)], "id int, core string, doc string")
+    usual = rows(table.where(F.col("doc").rlike(status.USUAL_CORE_STATUS)), "id")
+    assert usual == [(i,) for i in range(len(USUAL))]
+    got = [r.asDict() for r in parse_core_status(table).orderBy("id").collect()]
+    assert [g["available"] for g in got[: len(USUAL)]] == [True, False, False, True, True, False, False, False]
+    monkeypatch.setattr(status, "USUAL_CORE_STATUS", r"\A\z")
+    assert got == [r.asDict() for r in parse_core_status(table).orderBy("id").collect()]
+    # The reader is not called for usual documents: with one that cannot work they come out the same.
+    monkeypatch.undo()
+    monkeypatch.setattr(status, "_xml", lambda doc, schema: F.raise_error(F.lit("read")).cast(schema))
+    assert got[: len(USUAL)] == [r.asDict() for r in parse_core_status(table.where(F.col("id") < len(USUAL))).orderBy("id").collect()]
+
+
+def test_a_long_usual_document(spark):
+    many = "".join(f'<int name="n{i}">{i}</int>' for i in range(50_000))
+    doc = status_doc(index=f'{many}<int name="numDocs">1</int><int name="deletedDocs">0</int><long name="version">2</long>{many}')
+    table = spark.createDataFrame([("c1", doc), ("c1", doc[:-1])], "core string, doc string")
+    assert [r[0] for r in table.select(F.col("doc").rlike(status.USUAL_CORE_STATUS)).collect()] == [True, False]
+    assert rows(parse_core_status(table), "available", "num_docs") == [(False, 0), (True, 1)]
+
+
+def test_columns_of_the_documents_are_kept(spark):
+    table = spark.createDataFrame([("c1", status_doc(), 7, 8)], "core string, doc string, text int, usual int")
+    assert rows(parse_core_status(table), "num_docs", "text", "usual") == [(12, 7, 8)]
