@@ -2,13 +2,16 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from llm_cases import corpus, edge_rows, frame, words
+from pyspark.sql import functions as F
 
-from mirrorkeep.llm import components, jaccard_join, line_dedup, phrase_automata
+from mirrorkeep.llm import common, components, jaccard_join, line_dedup, phrase_automata
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -194,6 +197,44 @@ def test_prefixes_of_similar_sets_meet():
             assert set(jaccard_join.prefix(a, frequent)) & set(jaccard_join.prefix(b, frequent))
 
 
+def test_buckets_of_the_same_sets_are_one(spark):
+    """Near copies share hundreds of first hashes: what holds the same sets is searched once."""
+    held = {**{bucket: (1, 2) for bucket in range(50)}, 60: (1, 2, 3), 61: (3, 2, 1, 1), 70: (5,), 71: (5, 5), 80: (2, 3)}
+    rows = [(bucket, node, 10 * node) for bucket, nodes in held.items() for node in nodes]
+    got = jaccard_join.shared_buckets(spark.createDataFrame(rows, "bucket long, node long, n long").repartition(5)).collect()
+    buckets = defaultdict(list)
+    for r in got:
+        assert r.n == 10 * r.node
+        buckets[r.bucket].append(r.node)
+    assert sorted(map(sorted, buckets.values())) == [[1, 2], [1, 2, 3], [2, 3]]
+    none = spark.createDataFrame([(1, 1, 10), (2, 2, 20)], "bucket long, node long, n long")
+    assert jaccard_join.shared_buckets(none).count() == 0
+
+
+def shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    return {name for name in held.split() if name.startswith("shuffle_")}
+
+
+def test_staged_tables_and_their_shuffles_go(spark):
+    """What the join leaves are narrow tables, that its result is read from; a staged table leaves no shuffle."""
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(root.iterdir())
+    rows = corpus(3)
+    out = jaccard_join.similar_groups(frame(spark, rows))
+    assert {p.name.rsplit("-", 1)[0] for p in root.iterdir() if p not in before} == {"sets", "labelled-sets", "components"}
+    assert out.count() == len(rows)
+    scratch, files, set_before = common.Scratch(spark), shuffle_files(spark), spark.conf.get(common.FILES_GO)
+    kept = scratch.keep(spark.range(1000).groupBy(F.col("id") % 100).count(), "counts")
+    until = time.monotonic() + 20
+    while shuffle_files(spark) - files and time.monotonic() < until:  # Spark deletes them in the background
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - files and spark.conf.get(common.FILES_GO) == set_before
+    assert kept.count() == 100
+    scratch.drop("counts")
+    assert not [p for p in root.iterdir() if p.name.startswith("counts")]
+
+
 def test_components(spark):
     dice = random.Random(8)
     links = [(dice.randrange(300), dice.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(900, i) for i in range(901, 990)]
