@@ -235,6 +235,22 @@ def test_staged_tables_and_their_shuffles_go(spark):
     assert not [p for p in root.iterdir() if p.name.startswith("counts")]
 
 
+def test_driver_lets_go_of_ended_rounds(spark, monkeypatch):
+    """What a round of components has broadcast is freed with it, not when the heap is full."""
+    collected, drop = [], common.Scratch.drop
+
+    def seen(self, *names):
+        drop(self, *names)
+        runtime = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        collected.append(sum(b.getCollectionCount() for b in runtime if "Old" in b.getName()))
+
+    monkeypatch.setattr(common.Scratch, "drop", seen)
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    for _ in range(2):
+        assert components.components(links).where("component = 0").count() == 41
+    assert len(collected) == 2 and collected[0] < collected[1]
+
+
 def test_components(spark):
     dice = random.Random(8)
     links = [(dice.randrange(300), dice.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(900, i) for i in range(901, 990)]
