@@ -251,6 +251,19 @@ def test_driver_lets_go_of_ended_rounds(spark, monkeypatch):
     assert len(collected) == 2 and collected[0] < collected[1]
 
 
+def test_merged_components(spark):
+    """Links by parts, between components of what came before, give the same as all at once."""
+    dice = np.random.RandomState(5)
+    links = [(int(a), int(b)) for a, b in dice.randint(0, 200, (170, 2))]
+    label = spark.createDataFrame([(k, k) for k in range(200)], "node long, component long")
+    for part in (links[:60], links[60:61], links[61:]):
+        label = components.merged(label, spark.createDataFrame(part, "a long, b long"))
+    want = {k: k for k in range(200)}
+    want |= {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = label.collect()
+    assert {r.node: r.component for r in got} == want and len(got) == 200
+
+
 def test_components(spark):
     dice = random.Random(8)
     links = [(dice.randrange(300), dice.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(900, i) for i in range(901, 990)]
